@@ -91,3 +91,167 @@ FROM agg a JOIN eligible e USING (market_id)
 @register("certainty_scores", _CERTAINTY_SQL)
 def q_certainty_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(C.certainty(fx.fx_trades(spark, sf_dir), fx.fx_markets(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ rollups
+from marketlens.functions import certainty_bucket  # noqa: E402
+from marketlens.functions import constants as K  # noqa: E402
+from marketlens.operators import enrich as EN  # noqa: E402
+from marketlens.operators import rollups as R  # noqa: E402
+
+
+def sql_category(j: str) -> str:
+    """DuckDB form of ``primary_category``."""
+    slugs = ", ".join(f"'{s}'" for s in K.ALLOWED_SLUGS)
+    return (f"CASE WHEN json_valid({j}) AND ltrim({j}) LIKE '[%' THEN "
+            f"list_filter(from_json({j}, '[{{\"slug\":\"VARCHAR\",\"label\":\"VARCHAR\"}}]'), "
+            f"lambda x: x.slug IN ({slugs}))[1].label END")
+
+
+_CATALOG_CTE = f"""
+catalog AS (
+    SELECT id, question, predicted_label, category FROM (
+        SELECT id, question, predicted_label, created_s, end_s, {sql_category('event_tags_json')} AS category
+        FROM fx_markets) m
+    WHERE category IS NOT NULL AND (end_s - created_s) / 86400.0 >= 1.0
+)"""
+
+
+@register("market_summary", with_fixtures(["fx_markets"], """
+SELECT predicted_label, count(*) AS total_count, round(sum(volume), 4) AS total_volume,
+       round(avg(volume), 6) AS avg_volume
+FROM fx_markets GROUP BY predicted_label"""))
+def q_market_summary(spark, sf_dir):
+    df = R.market_summary(fx.fx_markets(spark, sf_dir))
+    return round_doubles(round_doubles(df, 4, ["total_volume"]), 6, ["avg_volume"])
+
+
+@register("top_markets", with_fixtures(["fx_markets"], """
+SELECT id, predicted_label, question, event_title, volume, closed, created_s
+FROM fx_markets ORDER BY volume DESC NULLS LAST, id LIMIT 10"""))
+def q_top_markets(spark, sf_dir):
+    return R.top_markets(fx.fx_markets(spark, sf_dir), 10)
+
+
+@register("search_markets", with_fixtures(["fx_markets"], """
+SELECT id, predicted_label, question, event_title, volume FROM fx_markets
+WHERE question ILIKE '%ame%' OR event_title ILIKE '%ame%'
+ORDER BY volume DESC NULLS LAST, id LIMIT 50"""))
+def q_search_markets(spark, sf_dir):
+    return R.search(fx.fx_markets(spark, sf_dir), "ame", 50)
+
+
+@register("search_wildcard", with_fixtures(["fx_markets"], """
+SELECT id, predicted_label, question, event_title, volume FROM fx_markets
+WHERE question ILIKE '%a_e%' OR event_title ILIKE '%a_e%'
+ORDER BY volume DESC NULLS LAST, id LIMIT 50"""))
+def q_search_wildcard(spark, sf_dir):
+    return R.search(fx.fx_markets(spark, sf_dir), "a_e", 50)
+
+
+@register("search_literal", with_fixtures(["fx_markets"], f""" {_CATALOG_CTE},
+hits AS (
+    SELECT id, question FROM catalog
+    WHERE coalesce(contains(lower(question), '0001'), false) OR contains(lower(id), '0001')
+)
+SELECT id, question, (SELECT count(*) FROM hits) > 50 AS has_more
+FROM hits ORDER BY id LIMIT 50"""))
+def q_search_literal(spark, sf_dir):
+    return R.search_literal(EN.viable_markets(fx.fx_markets(spark, sf_dir)), "0001", 50)
+
+
+@register("whales", with_fixtures(["fx_users"], """
+totals AS (
+    SELECT market_id, address, role, sum(usd_amount) AS total_usd_volume,
+           sum(token_amount) AS total_tokens, avg(price) AS avg_entry_price
+    FROM fx_users GROUP BY market_id, address, role
+)
+SELECT market_id, address, role, round(total_usd_volume, 4) AS total_usd_volume,
+       round(total_tokens, 4) AS total_tokens, round(avg_entry_price, 6) AS avg_entry_price, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY market_id
+                                   ORDER BY total_usd_volume DESC, address, role) AS rank FROM totals)
+WHERE rank <= 10"""))
+def q_whales(spark, sf_dir):
+    df = R.whales(fx.fx_users(spark, sf_dir), None, 10)
+    df = round_doubles(df, 4, ["total_usd_volume", "total_tokens"])
+    return round_doubles(df, 6, ["avg_entry_price"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("whales_per_market", with_fixtures(["fx_users"], """
+SELECT address, role, round(sum(usd_amount), 4) AS total_usd_volume,
+       round(sum(token_amount), 4) AS total_tokens, round(avg(price), 6) AS avg_entry_price
+FROM fx_users WHERE market_id = '7' GROUP BY address, role
+ORDER BY sum(usd_amount) DESC, address, role LIMIT 10"""))
+def q_whales_per_market(spark, sf_dir):
+    df = R.whales(fx.fx_users(spark, sf_dir), "7", 10).select(
+        "address", "role", "total_usd_volume", "total_tokens", "avg_entry_price")
+    df = round_doubles(df, 4, ["total_usd_volume", "total_tokens"])
+    return round_doubles(df, 6, ["avg_entry_price"])
+
+
+@register("role_distribution", with_fixtures(["fx_users"], """
+SELECT market_id, role, count(DISTINCT address) AS unique_users, round(sum(usd_amount), 4) AS total_volume
+FROM fx_users GROUP BY market_id, role"""))
+def q_role_distribution(spark, sf_dir):
+    return round_doubles(R.role_distribution(fx.fx_users(spark, sf_dir)), 4)
+
+
+def _bars_sql(interval: str) -> str:
+    return with_fixtures(["fx_quant"], f"""
+SELECT market_id, CAST(epoch(time_bucket(INTERVAL '{interval}', make_timestamp(timestamp * 1000000))) AS BIGINT) AS time_window,
+       round(avg(price), 6) AS avg_price, min(price) AS min_price, max(price) AS max_price,
+       round(sum(usd_amount), 6) AS total_volume, count(*) AS transaction_count
+FROM fx_quant GROUP BY ALL""")
+
+
+def _bars_query(interval: str):
+    def q(spark, sf_dir):
+        df = R.bars(fx.fx_quant(spark, sf_dir), interval)
+        return round_doubles(df, 6, ["avg_price", "total_volume"])
+    return q
+
+
+for _name, _iv in (("bars_15m", "15 minutes"), ("bars_1h", "1 hour"), ("bars_1d", "1 day"),
+                   ("bars_7d", "7 days"), ("bars_1mo", "1 month")):
+    register(_name, _bars_sql(_iv))(_bars_query(_iv))
+
+
+@register("bars_one_market", with_fixtures(["fx_quant"], """
+SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', make_timestamp(timestamp * 1000000))) AS BIGINT) AS time_window,
+       round(avg(price), 6) AS avg_price, min(price) AS min_price, max(price) AS max_price,
+       round(sum(usd_amount), 6) AS total_volume, count(*) AS transaction_count
+FROM fx_quant WHERE market_id = '7' GROUP BY ALL ORDER BY time_window"""))
+def q_bars_one_market(spark, sf_dir):
+    df = R.bars(fx.fx_quant(spark, sf_dir), "1 hour", market_id="7").drop("market_id")
+    return round_doubles(df, 6, ["avg_price", "total_volume"]).orderBy("time_window")
+
+
+@register("primary_category", with_fixtures(["fx_markets"], f"""
+SELECT id, event_tags_json, {sql_category('event_tags_json')} AS category FROM fx_markets"""))
+def q_primary_category(spark, sf_dir):
+    return EN.with_category(fx.fx_markets(spark, sf_dir)).select("id", "event_tags_json", "category")
+
+
+@register("viable_markets", with_fixtures(["fx_markets"], f"{_CATALOG_CTE} SELECT * FROM catalog"))
+def q_viable_markets(spark, sf_dir):
+    return EN.viable_markets(fx.fx_markets(spark, sf_dir))
+
+
+@register("facets", with_fixtures(["fx_markets"], f"""{_CATALOG_CTE}
+SELECT DISTINCT 'genre' AS facet, category AS value FROM catalog WHERE category <> ''
+UNION ALL SELECT DISTINCT 'label', predicted_label FROM catalog WHERE predicted_label <> ''
+UNION ALL SELECT 'genre', 'All' UNION ALL SELECT 'label', 'All'"""))
+def q_facets(spark, sf_dir):
+    return R.facets(EN.viable_markets(fx.fx_markets(spark, sf_dir)))
+
+
+@register("facet_filter", with_fixtures(["fx_markets"], f"""{_CATALOG_CTE}
+SELECT * FROM catalog WHERE category = 'Crypto'"""))
+def q_facet_filter(spark, sf_dir):
+    return R.facet_filter(EN.viable_markets(fx.fx_markets(spark, sf_dir)), genre="Crypto", label="All")
+
+
+@register("facet_filter_both", with_fixtures(["fx_markets"], f"""{_CATALOG_CTE}
+SELECT * FROM catalog WHERE category = 'Politics' AND predicted_label = 'Stochastic'"""))
+def q_facet_filter_both(spark, sf_dir):
+    return R.facet_filter(EN.viable_markets(fx.fx_markets(spark, sf_dir)), genre="Politics", label="Stochastic")

@@ -255,3 +255,188 @@ def q_facet_filter(spark, sf_dir):
 SELECT * FROM catalog WHERE category = 'Politics' AND predicted_label = 'Stochastic'"""))
 def q_facet_filter_both(spark, sf_dir):
     return R.facet_filter(EN.viable_markets(fx.fx_markets(spark, sf_dir)), genre="Politics", label="Stochastic")
+
+
+# -------------------------------------------------------- time-series build
+from marketlens.plans import timeseries as TS  # noqa: E402
+
+_TS_CTES = f"""{_CATALOG_CTE},
+q AS (SELECT * FROM fx_quant WHERE market_id IN (SELECT id FROM catalog)),
+f1 AS (SELECT *, lag(price) OVER (PARTITION BY market_id ORDER BY timestamp, seq) AS prev_price FROM q),
+f2 AS (SELECT *, coalesce(price - prev_price, 0) AS price_diff,
+              CASE WHEN prev_price IS NOT NULL AND price / greatest(prev_price, 0.0001) > 0
+                   THEN ln(price / greatest(prev_price, 0.0001)) END AS ret
+       FROM f1),
+f3 AS (SELECT *, price_diff >= 0 AS is_yes,
+              CASE WHEN price_diff >= 0 THEN usd_amount ELSE 0.0 END AS yes_vol,
+              CASE WHEN price_diff < 0 THEN usd_amount ELSE 0.0 END AS no_vol,
+              CASE WHEN count(ret) OVER w10 = 10 THEN stddev_samp(ret) OVER w10 END AS roll_std
+       FROM f2
+       WINDOW w10 AS (PARTITION BY market_id ORDER BY timestamp, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+ms AS (SELECT market_id, avg(roll_std) AS rm, stddev_samp(roll_std) AS rs FROM f3 GROUP BY market_id),
+f4 AS (SELECT f3.*, CASE WHEN rs IS NULL OR rs < 0.00001 THEN 0.0
+                         WHEN roll_std IS NOT NULL THEN greatest(least((roll_std - rm) / rs, 20.0), -20.0) END AS zscore
+       FROM f3 JOIN ms USING (market_id)),
+feats AS (SELECT *, lead(zscore) OVER (PARTITION BY market_id ORDER BY timestamp, seq) AS future_z FROM f4),
+bins AS (
+    SELECT market_id, timestamp // 1800 AS bin,
+           arg_max(price, (timestamp, seq)) FILTER (WHERE price IS NOT NULL) AS price,
+           arg_max(zscore, (timestamp, seq)) FILTER (WHERE zscore IS NOT NULL) AS zscore,
+           sum(yes_vol) AS yes_volume, sum(no_vol) AS no_volume,
+           count(*) FILTER (WHERE is_yes) AS yes_count, count(*) FILTER (WHERE NOT is_yes) AS no_count,
+           count(*) AS trade_count, sum(usd_amount) AS usd, max(price) AS p_max, min(price) AS p_min
+    FROM feats GROUP BY ALL
+),
+ols AS (
+    SELECT count(*) AS n, sum(yes_vol) AS sy, sum(no_vol) AS sn, sum(yes_vol * yes_vol) AS syy,
+           sum(no_vol * no_vol) AS snn, sum(yes_vol * no_vol) AS syn, sum(future_z) AS sz,
+           sum(yes_vol * future_z) AS syz, sum(no_vol * future_z) AS snz
+    FROM feats WHERE ret IS NOT NULL AND zscore IS NOT NULL AND future_z IS NOT NULL
+),
+cramer AS (
+    SELECT n,
+           n * (syy * snn - syn * syn) - sy * (sy * snn - syn * sn) + sn * (sy * syn - syy * sn) AS det,
+           n * (syz * snn - syn * snz) - sz * (sy * snn - syn * sn) + sn * (sy * snz - syz * sn) AS det1,
+           n * (syy * snz - syz * syn) - sy * (sy * snz - syz * sn) + sz * (sy * syn - syy * sn) AS det2
+    FROM ols
+),
+imp AS (
+    SELECT n, CASE WHEN n > 0 AND det <> 0 THEN det1 / det ELSE 0.000015 END AS yes_impact,
+              CASE WHEN n > 0 AND det <> 0 THEN det2 / det ELSE 0.000015 END AS no_impact
+    FROM cramer
+),
+span AS (
+    SELECT market_id, sum(trade_count) AS n_trades, sum(usd) AS usd, max(p_max) AS p_max, min(p_min) AS p_min,
+           min(bin) AS min_bin, max(bin) AS max_bin, max(bin) - min(bin) + 1 AS n_bins
+    FROM bins GROUP BY market_id
+),
+mid AS (
+    SELECT b.market_id, sum(b.trade_count) AS mid_trades FROM bins b JOIN span s USING (market_id)
+    WHERE b.bin - s.min_bin >= floor(s.n_bins * 0.2) AND b.bin - s.min_bin < floor(s.n_bins * 0.8)
+    GROUP BY b.market_id
+),
+quality AS (
+    SELECT s.*, coalesce(m.mid_trades, 0) AS mid_trades,
+           (s.n_bins > 20 AND s.n_trades > 0 AND coalesce(m.mid_trades, 0) / s.n_trades < 0.05) AS dead_middle
+    FROM span s LEFT JOIN mid m USING (market_id)
+),
+kept AS (
+    SELECT * FROM quality
+    WHERE n_trades >= 50 AND coalesce(usd, 0) >= 5000 AND coalesce(p_max - p_min, 0) >= 0.10
+      AND n_bins >= 24 AND NOT dead_middle AND n_bins > 10
+),
+grid AS (SELECT market_id, unnest(generate_series(min_bin, max_bin)) AS bin FROM kept),
+dj AS (SELECT g.market_id, g.bin, b.price, b.zscore, b.yes_volume, b.no_volume, b.yes_count, b.no_count, b.trade_count
+       FROM grid g LEFT JOIN bins b USING (market_id, bin)),
+dense AS (
+    SELECT market_id, bin,
+           last_value(price IGNORE NULLS) OVER w AS price,
+           coalesce(last_value(zscore IGNORE NULLS) OVER w, 0.0) AS zscore,
+           coalesce(yes_volume, 0.0) AS yes_volume, coalesce(no_volume, 0.0) AS no_volume,
+           coalesce(yes_count, 0) AS yes_count, coalesce(no_count, 0) AS no_count,
+           coalesce(trade_count, 0) AS trade_count
+    FROM dj WINDOW w AS (PARTITION BY market_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+lagged AS (
+    SELECT *, lag(zscore) OVER w AS prev_z, lag(yes_volume) OVER w AS prev_yes,
+              lag(no_volume) OVER w AS prev_no, lag(trade_count) OVER w AS prev_tc
+    FROM dense WINDOW w AS (PARTITION BY market_id ORDER BY bin)
+),
+baseline AS (
+    SELECT id, CASE predicted_label WHEN 'Decision-Agent' THEN 0.1543 WHEN 'Objective Outcome' THEN 0.0836
+                                    WHEN 'Stochastic' THEN 0.0020 ELSE 0.05 END AS baseline_exog
+    FROM catalog
+),
+series AS (
+    SELECT t.market_id, t.bin * 1800000 AS timestamp,
+           round(t.price, 4) AS price, round(t.zscore, 2) AS zscore,
+           round(t.yes_volume, 2) AS yes_volume, round(t.no_volume, 2) AS no_volume,
+           t.yes_count, t.no_count, t.trade_count,
+           CASE WHEN t.prev_z IS NULL THEN NULL ELSE round(
+               coalesce(b.baseline_exog, 0.05)
+               + t.prev_z * 0.9633 * (CASE WHEN t.prev_tc = 0 THEN 0.1 WHEN t.prev_tc <= 2 THEN 0.5 ELSE 1.0 END)
+               + t.prev_yes * i.yes_impact + t.prev_no * i.no_impact, 4) END AS arimax
+    FROM lagged t LEFT JOIN baseline b ON t.market_id = b.id CROSS JOIN imp i
+)"""
+
+
+def _ts_sql(select: str) -> str:
+    return with_fixtures(["fx_quant", "fx_markets"], f"{_TS_CTES}\n{select}")
+
+
+def _ts_build(spark, sf_dir, **kw):
+    return TS.build(fx.fx_quant(spark, sf_dir), fx.fx_markets(spark, sf_dir), **kw)
+
+
+@register("trade_features", _ts_sql("""
+SELECT market_id, timestamp, seq, price_diff, yes_vol, no_vol, round(ret, 9) AS ret,
+       round(roll_std, 9) AS roll_std, round(zscore, 9) AS zscore, round(future_z, 9) AS future_z FROM feats"""))
+def q_trade_features(spark, sf_dir):
+    f = _ts_build(spark, sf_dir, checkpoint=False).features
+    f = f.select("market_id", "timestamp", "seq", "price_diff", "yes_vol", "no_vol", "ret", "roll_std", "zscore", "future_z")
+    return round_doubles(f, 9, ["ret", "roll_std", "zscore", "future_z"])
+
+
+@register("volatility_z", _ts_sql("""
+SELECT market_id, count(*) AS trades, count(roll_std) AS frames, round(avg(roll_std), 9) AS mean_roll_std,
+       round(stddev_samp(roll_std), 9) AS sd_roll_std, round(max(zscore), 9) AS max_z, round(min(zscore), 9) AS min_z
+FROM feats GROUP BY market_id"""))
+def q_volatility_z(spark, sf_dir):
+    f = _ts_build(spark, sf_dir, checkpoint=False).features
+    out = f.groupBy("market_id").agg(
+        F.count(F.lit(1)).alias("trades"), F.count("roll_std").alias("frames"),
+        F.avg("roll_std").alias("mean_roll_std"), F.stddev_samp("roll_std").alias("sd_roll_std"),
+        F.max("zscore").alias("max_z"), F.min("zscore").alias("min_z"))
+    return round_doubles(out, 9)
+
+
+@register("quality_markets", _ts_sql("""
+SELECT market_id, n_trades, round(usd, 6) AS usd, round(p_max - p_min, 9) AS price_range, n_bins, mid_trades,
+       dead_middle, (market_id IN (SELECT market_id FROM kept)) AS keep
+FROM quality"""))
+def q_quality_markets(spark, sf_dir):
+    qm = _ts_build(spark, sf_dir).quality
+    out = qm.select("market_id", "n_trades", F.col("usd"), (F.col("p_max") - F.col("p_min")).alias("price_range"),
+                    "n_bins", "mid_trades", "dead_middle", "keep")
+    return round_doubles(round_doubles(out, 6, ["usd"]), 9, ["price_range"])
+
+
+@register("dense_bars", _ts_sql("""
+SELECT market_id, bin, round(price, 9) AS price, round(zscore, 9) AS zscore, round(yes_volume, 6) AS yes_volume,
+       round(no_volume, 6) AS no_volume, yes_count, no_count, trade_count FROM dense"""))
+def q_dense_bars(spark, sf_dir):
+    d = _ts_build(spark, sf_dir).dense
+    return round_doubles(round_doubles(d, 9, ["price", "zscore"]), 6, ["yes_volume", "no_volume"])
+
+
+@register("impact_fit", _ts_sql("""
+SELECT n, round(yes_impact, 12) AS yes_impact, round(no_impact, 12) AS no_impact FROM imp"""))
+def q_impact_fit(spark, sf_dir):
+    return round_doubles(_ts_build(spark, sf_dir).impact, 12)
+
+
+@register("dashboard_timeseries", _ts_sql("SELECT * FROM series"))
+def q_dashboard_timeseries(spark, sf_dir):
+    return _ts_build(spark, sf_dir).timeseries
+
+
+@register("arimax_series", _ts_sql("SELECT market_id, timestamp, arimax FROM series WHERE arimax IS NOT NULL"))
+def q_arimax_series(spark, sf_dir):
+    return _ts_build(spark, sf_dir).timeseries.where("arimax IS NOT NULL").select("market_id", "timestamp", "arimax")
+
+
+@register("dashboard_catalog", _ts_sql("""
+SELECT id, question, predicted_label, category FROM catalog WHERE id IN (SELECT market_id FROM kept)"""))
+def q_dashboard_catalog(spark, sf_dir):
+    return _ts_build(spark, sf_dir).final_catalog
+
+
+@register("timeseries_of_market", _ts_sql("""
+SELECT timestamp, price, zscore, yes_volume, no_volume, yes_count, no_count, trade_count, arimax
+FROM series WHERE market_id = (SELECT min(market_id) FROM kept) ORDER BY timestamp"""))
+def q_timeseries_of_market(spark, sf_dir):
+    b = _ts_build(spark, sf_dir)
+    first = b.quality.where("keep").agg(F.min("market_id").alias("m"))
+    ts = b.timeseries.join(F.broadcast(first), F.col("market_id") == F.col("m"), "left_semi")
+    return ts.select("timestamp", "price", "zscore", "yes_volume", "no_volume",
+                     "yes_count", "no_count", "trade_count", "arimax").orderBy("timestamp")

@@ -30,17 +30,23 @@ MAX_HOT_KEYS = 1024
 CHUNKS_PER_KEY = 256
 
 
-def assign_chunks(df: DataFrame, key: str, time_col: str, *, rows_per_task: int = ROWS_PER_TASK,
-                  max_hot_keys: int = MAX_HOT_KEYS, chunks_per_key: int = CHUNKS_PER_KEY) -> DataFrame:
+def assign_chunks(df: DataFrame, key: str, time_col: str, **kw) -> DataFrame:
     """Add an int ``_chunk`` column: 0 for ordinary keys, the quantile slot of
     ``time_col`` for hot keys. Chunks of one key are ordered by time."""
+    return split_hot_keys(df, key, time_col, **kw)[0]
+
+
+def split_hot_keys(df: DataFrame, key: str, time_col: str, *, rows_per_task: int = ROWS_PER_TASK,
+                   max_hot_keys: int = MAX_HOT_KEYS, chunks_per_key: int = CHUNKS_PER_KEY) -> tuple[DataFrame, bool]:
+    """``assign_chunks`` plus whether any key was split (when none was, every
+    key is one chunk and callers may use plain per-key windows)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = (counts.where(F.col("_n") > F.lit(rows_per_task))
            .orderBy(F.col("_n").desc(), F.col(key)).limit(max_hot_keys).select(key))
     # The hot-key list is bounded by max_hot_keys: a safe, small driver read.
     hot_keys = [r[0] for r in hot.collect()]
     if not hot_keys:
-        return df.withColumn(CHUNK, F.lit(0))
+        return df.withColumn(CHUNK, F.lit(0)), False
     fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
     splits = (df.where(F.col(key).isin(hot_keys))
               .groupBy(key)
@@ -48,9 +54,10 @@ def assign_chunks(df: DataFrame, key: str, time_col: str, *, rows_per_task: int
                    .alias("_splits")))
     chunk = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col(time_col))), F.lit(0))
     # Keys outside the split table get _splits = NULL -> chunk 0.
-    return (df.join(F.broadcast(splits), key, "left")
-              .withColumn(CHUNK, F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"))
-              .drop("_splits"))
+    out = (df.join(F.broadcast(splits), key, "left")
+             .withColumn(CHUNK, F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"))
+             .drop("_splits"))
+    return out, True
 
 
 def chunk_window(key: str, *order: str | Column) -> Window:

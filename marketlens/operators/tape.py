@@ -20,7 +20,6 @@ from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
 from marketlens.operators import skew
-from marketlens.operators.joins import join_small
 
 KEY = "market_id"
 ORDER = ("timestamp", "seq")
@@ -51,7 +50,9 @@ def _std_of_last(arr: Column, n: int) -> Column:
 def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking: dict | None = None) -> DataFrame:
     """Per trade: price_diff, yes_vol, no_vol, is_yes, ret, roll_std, zscore,
     future_z (next trade's z) plus the input columns and ``_chunk``."""
-    q = skew.assign_chunks(quant, KEY, order[0], **(chunking or {}))
+    q, split = skew.split_hot_keys(quant, KEY, order[0], **(chunking or {}))
+    if not split:
+        return _features_whole_markets(q, order)
     w = skew.chunk_window(KEY, *order)
     whole = Window.partitionBy(KEY, skew.CHUNK)
     ord_struct = F.struct(*order)
@@ -69,7 +70,9 @@ def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking
         KEY, skew.CHUNK,
         F.array_sort(F.flatten(F.collect_list("_tail").over(wc))).alias("_prior"))
     prior = prior.select(KEY, skew.CHUNK, last_n(F.col("_prior"), W).alias("_prior"))
-    q = join_small(q, prior, [KEY, skew.CHUNK], "left")
+    # Summary tables have one row per chunk; joined on (market, chunk) they only
+    # shuffle themselves: the trade rows are already partitioned that way.
+    q = q.join(prior, [KEY, skew.CHUNK], "left")
 
     prior_prices = F.transform(F.coalesce(F.col("_prior"), F.array()), lambda s: s["price"])
     prev = F.when(F.col("_rn") == 1, F.try_element_at(prior_prices, F.lit(-1))).otherwise(F.col("_lag_p"))
@@ -99,8 +102,8 @@ def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking
     # so a hot market is summed by many tasks) attached per chunk.
     mstats = q.groupBy(KEY).agg(F.avg("roll_std").alias("_rm"), F.stddev_samp("roll_std").alias("_rs"))
     chunk_ids = tails.select(KEY, skew.CHUNK)
-    cstats = join_small(chunk_ids, mstats, KEY, "inner")
-    q = join_small(q, cstats, [KEY, skew.CHUNK], "left")
+    cstats = chunk_ids.join(mstats, KEY, "inner")
+    q = q.join(cstats, [KEY, skew.CHUNK], "left")
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
     z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
@@ -110,7 +113,31 @@ def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking
     # next chunk's first row.
     firsts = q.groupBy(KEY, skew.CHUNK).agg(F.min_by("zscore", ord_struct).alias("_fz"))
     firsts = skew.next_chunk_first(firsts, KEY, ["_fz"]).select(KEY, skew.CHUNK, "next__fz")
-    q = join_small(q, firsts, [KEY, skew.CHUNK], "left")
+    q = q.join(firsts, [KEY, skew.CHUNK], "left")
     q = q.withColumn("future_z", F.when(F.col("_rn") == F.col("_n"), F.col("next__fz"))
                      .otherwise(F.lead("zscore").over(w)))
     return q.drop("_rn", "_n", "_lag_p", "_prior", "_prev", "_rm", "_rs", "next__fz")
+
+
+def _features_whole_markets(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The same features when no market is hot: one window partition per
+    market, and the market statistics as window aggregates (no joins)."""
+    w = Window.partitionBy(KEY).orderBy(*order)
+    whole = Window.partitionBy(KEY)
+    prev = F.lag("price").over(w)
+    q = (q.withColumn("_prev", prev)
+          .withColumn("price_diff", F.coalesce(F.col("price") - F.col("_prev"), F.lit(0.0)))
+          .withColumn("is_yes", F.col("price_diff") >= 0)
+          .withColumn("yes_vol", F.when(F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
+          .withColumn("no_vol", F.when(~F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
+          .withColumn("ret", _log_return(F.col("price"), F.col("_prev"))))
+    frame = w.rowsBetween(-(W - 1), 0)
+    q = q.withColumn("roll_std", F.when(F.count("ret").over(frame) == W, F.stddev_samp("ret").over(frame)))
+    rm, rs = F.avg("roll_std").over(whole), F.stddev_samp("roll_std").over(whole)
+    q = q.withColumn("_rm", rm).withColumn("_rs", rs)
+    flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
+    z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
+    clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
+    q = q.withColumn("zscore", F.when(flat, F.lit(0.0)).otherwise(clipped))
+    q = q.withColumn("future_z", F.lead("zscore").over(w))
+    return q.drop("_prev", "_rm", "_rs")

@@ -20,7 +20,7 @@ from marketlens.operators import forecast as FC
 from marketlens.operators import impact as IM
 from marketlens.operators import tape as TP
 from marketlens.operators.joins import join_small
-from marketlens.session import cut_lineage
+from marketlens.session import write_table
 
 
 def restrict_to(quant: DataFrame, ids: DataFrame, key: str = "market_id") -> DataFrame:
@@ -48,7 +48,7 @@ def build(quant: DataFrame, markets: DataFrame, *, order=TP.ORDER, chunking: dic
     feats = TP.trade_features(q, order=order, chunking=chunking)
     bins = B.bin_table(feats, order=order)
     if checkpoint:
-        bins = cut_lineage(bins)
+        bins = write_table(bins, "bins")
     impact = IM.fit_impact(bins)
     quality = B.market_quality(bins)
     kept = quality.where("keep")

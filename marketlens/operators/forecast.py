@@ -24,8 +24,9 @@ def arimax(series: DataFrame, catalog: DataFrame, impact: DataFrame,
     w = Window.partitionBy(KEY).orderBy("bin")
     base = catalog.select(F.col("id").alias(KEY), baseline_exog("predicted_label").alias("_base"))
     s = join_small(series, base, KEY, "left")
-    # the coefficients are a one-row table: broadcasting it is always safe
-    s = s.crossJoin(F.broadcast(impact.select("yes_impact", "no_impact")))
+    # the coefficients are one row: read the two numbers back as literals
+    coef = impact.select("yes_impact", "no_impact").first()
+    s = s.withColumn("yes_impact", F.lit(coef["yes_impact"])).withColumn("no_impact", F.lit(coef["no_impact"]))
     prev_z, prev_y = F.lag("zscore").over(w), F.lag("yes_volume").over(w)
     prev_n, prev_t = F.lag("no_volume").over(w), F.lag("trade_count").over(w)
     raw = (F.coalesce(F.col("_base"), F.lit(K.DEFAULT_BASELINE_EXOG))

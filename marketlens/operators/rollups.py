@@ -89,10 +89,9 @@ def search_literal(catalog: DataFrame, term: str, limit: int = K.SEARCH_LIMIT) -
     t = F.lit(term.lower())
     hits = catalog.where(F.coalesce(F.lower("question").contains(t), F.lit(False))
                          | F.coalesce(F.lower(F.col("id").cast("string")).contains(t), F.lit(False)))
-    total = hits.agg(F.count(F.lit(1)).alias("matches"))
+    more = hits.limit(limit + 1).count() > limit
     first = hits.select("id", "question").orderBy("id").limit(limit)
-    return first.crossJoin(F.broadcast(total)).select(
-        "id", "question", (F.col("matches") > F.lit(limit)).alias("has_more"))
+    return first.select("id", "question", F.lit(more).alias("has_more"))
 
 
 def facet_filter(catalog: DataFrame, genre: str = "All", label: str = "All") -> DataFrame:

@@ -391,7 +391,7 @@ def q_volatility_z(spark, sf_dir):
 
 
 @register("quality_markets", _ts_sql("""
-SELECT market_id, n_trades, round(usd, 6) AS usd, round(p_max - p_min, 9) AS price_range, n_bins, mid_trades,
+SELECT market_id, CAST(n_trades AS BIGINT) AS n_trades, round(usd, 6) AS usd, round(p_max - p_min, 9) AS price_range, n_bins, CAST(mid_trades AS BIGINT) AS mid_trades,
        dead_middle, (market_id IN (SELECT market_id FROM kept)) AS keep
 FROM quality"""))
 def q_quality_markets(spark, sf_dir):
@@ -440,3 +440,130 @@ def q_timeseries_of_market(spark, sf_dir):
     ts = b.timeseries.join(F.broadcast(first), F.col("market_id") == F.col("m"), "left_semi")
     return ts.select("timestamp", "price", "zscore", "yes_volume", "no_volume",
                      "yes_count", "no_count", "trade_count", "arimax").orderBy("timestamp")
+
+
+# ---------------------------------------------------------- dashboard layer
+from marketlens.operators import dashboard as DB  # noqa: E402
+
+_DS_CTES = """,
+ds0 AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp) - 1 AS pos,
+               count(*) OVER (PARTITION BY market_id) AS npts FROM series),
+ds1 AS (SELECT * EXCLUDE (pos, npts) FROM ds0
+        WHERE npts <= 1440 OR pos % CAST(ceil(npts / 1440.0::DOUBLE) AS BIGINT) = 0),
+ds AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp) - 1 AS idx FROM ds1)"""
+
+_FLOW_CTES = """,
+dcat AS (SELECT * FROM catalog WHERE id IN (SELECT market_id FROM kept)),
+names AS (
+    SELECT CASE WHEN category IS NULL OR category = '' THEN 'Unknown'
+                ELSE upper(substr(category, 1, 1)) || substr(category, 2) END AS source,
+           CASE WHEN predicted_label IS NULL OR predicted_label = '' THEN 'Unclassified'
+                ELSE upper(substr(predicted_label, 1, 1)) || substr(predicted_label, 2) END AS target
+    FROM dcat)"""
+
+
+def _share_sql(n: str, total: str) -> str:
+    raw = f"({n} * 100.0::DOUBLE / {total})"
+    return f"CASE WHEN {raw} < 0.1 THEN round({raw}, 3) ELSE round({raw}, 1) END"
+
+
+def _series(spark, sf_dir):
+    return _ts_build(spark, sf_dir).timeseries
+
+
+@register("market_kpis", _ts_sql("""
+SELECT market_id, CAST(sum(coalesce(trade_count, 0)) AS BIGINT) AS total_trades, max(coalesce(zscore, 0)) AS max_z,
+       round(avg(CASE WHEN coalesce(zscore, 0) > 1.96 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE, 1) AS anomaly_pct,
+       coalesce(arg_max(zscore, timestamp), 0) AS current_z, coalesce(arg_max(arimax, timestamp), 0) AS current_arimax
+FROM series GROUP BY market_id"""))
+def q_market_kpis(spark, sf_dir):
+    return DB.market_kpis(_series(spark, sf_dir))
+
+
+@register("flow_links", _ts_sql(_FLOW_CTES + f"""
+SELECT source, target, count(*) AS n, {_share_sql('count(*)', '(SELECT count(*) FROM names)')} AS share_pct,
+       sqrt(count(*)) AS weight
+FROM names GROUP BY source, target"""))
+def q_flow_links(spark, sf_dir):
+    return DB.flow_links(_ts_build(spark, sf_dir).final_catalog)
+
+
+@register("flow_nodes", _ts_sql(_FLOW_CTES + f""",
+ends AS (SELECT source AS name FROM names UNION ALL SELECT target FROM names)
+SELECT name, count(*) AS n, {_share_sql('count(*)', '(SELECT count(*) FROM names)')} AS share_pct
+FROM ends GROUP BY name"""))
+def q_flow_nodes(spark, sf_dir):
+    return DB.flow_nodes(_ts_build(spark, sf_dir).final_catalog)
+
+
+@register("timeline_downsampled", _ts_sql(_DS_CTES + """
+SELECT market_id, idx, timestamp, strftime(make_timestamp(timestamp * 1000), '%-m/%-d %H:%M') AS time_label,
+       price, zscore, CASE WHEN arimax <> 0 THEN arimax END AS arimax,
+       coalesce(yes_volume, 0.0) AS yes_volume, coalesce(no_volume, 0.0) AS no_volume,
+       coalesce(trade_count, 0) AS trade_count,
+       CAST(sum(coalesce(trade_count, 0)) OVER (PARTITION BY market_id ORDER BY idx
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_count,
+       CAST(sum(coalesce(trade_count, 0)) OVER (PARTITION BY market_id) AS BIGINT) AS total_trades
+FROM ds"""))
+def q_timeline_downsampled(spark, sf_dir):
+    return DB.timeline(DB.downsample(_series(spark, sf_dir)))
+
+
+@register("anomaly_regions", _ts_sql(_DS_CTES + """,
+flags AS (SELECT market_id, idx, coalesce(zscore > 1.96, false) AS hot,
+                 max(idx) OVER (PARTITION BY market_id) AS last_idx FROM ds),
+chg AS (SELECT *, CASE WHEN hot <> coalesce(lag(hot) OVER (PARTITION BY market_id ORDER BY idx), false)
+                       THEN 1 ELSE 0 END AS c FROM flags),
+runs AS (SELECT *, sum(c) OVER (PARTITION BY market_id ORDER BY idx
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM chg)
+SELECT market_id, min(idx) AS start, least(max(idx) + 1, max(last_idx)) AS "end"
+FROM runs WHERE hot GROUP BY market_id, run"""))
+def q_anomaly_regions(spark, sf_dir):
+    return DB.anomaly_regions(DB.downsample(_series(spark, sf_dir)))
+
+
+@register("series_extent", _ts_sql(_DS_CTES + """
+SELECT market_id,
+       CASE WHEN max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) = 0 THEN 1.0::DOUBLE
+            ELSE max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) END AS max_volume,
+       min(least(coalesce(zscore, 0), coalesce(arimax, 0), -1.0::DOUBLE)) AS min_z,
+       max(greatest(coalesce(zscore, 0), coalesce(arimax, 0), 4.0::DOUBLE)) AS max_z
+FROM ds GROUP BY market_id"""))
+def q_series_extent(spark, sf_dir):
+    return DB.series_extent(DB.downsample(_series(spark, sf_dir)))
+
+
+@register("liquidity_flags", _ts_sql(_DS_CTES + """,
+v AS (SELECT *, coalesce(yes_volume, 0) + coalesce(no_volume, 0) AS vol,
+             max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) OVER (PARTITION BY market_id) AS mv FROM ds)
+SELECT market_id, idx, timestamp,
+       (vol < (CASE WHEN mv = 0 THEN 1.0::DOUBLE ELSE mv END) * 0.05::DOUBLE OR coalesce(trade_count, 0) < 3) AS low_liquidity,
+       CASE WHEN coalesce(yes_volume, 0) > coalesce(no_volume, 0) THEN 'yes'
+            WHEN coalesce(no_volume, 0) > coalesce(yes_volume, 0) THEN 'no' ELSE 'even' END AS dominant_side
+FROM v"""))
+def q_liquidity_flags(spark, sf_dir):
+    return DB.point_flags(DB.downsample(_series(spark, sf_dir)))
+
+
+@register("certainty_buckets", with_fixtures(["fx_certainty"], """
+SELECT market_id, uncertainty_twap,
+       CASE WHEN uncertainty_twap IS NULL THEN 'no data' WHEN uncertainty_twap >= 0.66 THEN 'decided'
+            WHEN uncertainty_twap >= 0.33 THEN 'contested' ELSE 'coin-flip' END AS bucket
+FROM fx_certainty"""))
+def q_certainty_buckets(spark, sf_dir):
+    c = fx.fx_certainty(spark, sf_dir)
+    return c.select("market_id", "uncertainty_twap", certainty_bucket("uncertainty_twap").alias("bucket"))
+
+
+@register("label_impact", with_fixtures(["fx_markets"], """
+SELECT id, predicted_label,
+       CASE predicted_label WHEN 'Decision-Agent' THEN '0.1543' WHEN 'Objective Outcome' THEN '0.0836' ELSE '0.002' END AS impact,
+       CASE predicted_label WHEN 'Decision-Agent' THEN 'Volatility is based mostly on previous market momentum.'
+            WHEN 'Objective Outcome' THEN 'Volatility is anchored to predictable external events'
+            ELSE 'The market moves randomly regardless of past data.' END AS impact_text
+FROM fx_markets"""))
+def q_label_impact(spark, sf_dir):
+    from marketlens.functions import label_impact
+    m = fx.fx_markets(spark, sf_dir)
+    v, t = label_impact("predicted_label")
+    return m.select("id", "predicted_label", v.alias("impact"), t.alias("impact_text"))

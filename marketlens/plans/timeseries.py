@@ -68,9 +68,9 @@ def timeseries_of_market(timeseries: DataFrame, market_id: str) -> DataFrame:
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """P10: raise when empty, else add the ``data_points`` count (an
-    aggregate joined back as one row, not an unpartitioned window)."""
-    if df.isEmpty():
+    """P10: raise when empty, else add the ``data_points`` count (one number
+    read back, not an unpartitioned window)."""
+    n = df.count()
+    if n == 0:
         raise ValueError(message)
-    n = df.agg(F.count(F.lit(1)).alias("data_points"))
-    return df.crossJoin(F.broadcast(n))
+    return df.withColumn("data_points", F.lit(n))

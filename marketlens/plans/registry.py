@@ -567,3 +567,91 @@ def q_label_impact(spark, sf_dir):
     m = fx.fx_markets(spark, sf_dir)
     v, t = label_impact("predicted_label")
     return m.select("id", "predicted_label", v.alias("impact"), t.alias("impact_text"))
+
+
+# --------------------------------------------------------------- ridgeline
+from marketlens.operators import density as DN  # noqa: E402
+
+
+def _band_sql(v: str) -> str:
+    parts = []
+    for lo, hi, name in K.VOLUME_BANDS:
+        cond = f"{v} >= {lo}" + (f" AND {v} < {hi}" if hi is not None else "")
+        parts.append(f"WHEN NOT isnan({v}) AND {cond} THEN '{name}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+_TYPES_SQL = ", ".join(f"'{t}'" for t in K.MARKET_TYPES)
+_CELLS_VALUES = ", ".join(f"('{t}', {ti}, '{b[2]}', {bi})" for ti, t in enumerate(K.MARKET_TYPES)
+                          for bi, b in enumerate(K.VOLUME_BANDS))
+
+
+def _ridge_ctes(cap: int) -> str:
+    return f"""
+base AS (
+    SELECT market_id, uncertainty_twap AS c, predicted_label AS type, {_band_sql('volume')} AS band
+    FROM fx_certainty
+    WHERE uncertainty_twap IS NOT NULL AND volume IS NOT NULL AND predicted_label IN ({_TYPES_SQL})
+),
+b AS (SELECT * FROM base WHERE band IS NOT NULL),
+grid AS (SELECT * FROM (VALUES {_CELLS_VALUES}) t(type, type_order, band, band_order)),
+stats AS (SELECT type, band, count(*) AS n, min(c) AS lo, max(c) AS hi FROM b GROUP BY ALL),
+cells AS (
+    SELECT g.type, g.type_order, g.band, g.band_order, coalesce(s.n, 0) AS n,
+           coalesce(s.n >= 50 AND s.hi > s.lo, false) AS has_density
+    FROM grid g LEFT JOIN stats s USING (type, band)
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY type, band
+                                 ORDER BY md5(cast(market_id AS varchar) || ':0'), market_id) AS r
+    FROM b
+),
+sample AS (SELECT * FROM ranked WHERE r <= {cap} AND (type, band) IN (SELECT (type, band) FROM cells WHERE has_density)),
+bw AS (SELECT type, band, count(*) AS m, stddev_samp(c) * pow(count(*)::DOUBLE, -0.2) AS h FROM sample GROUP BY ALL),
+pts AS (SELECT s.type, s.band, s.c, w.m, w.h, g.k FROM sample s JOIN bw w USING (type, band)
+        CROSS JOIN (SELECT unnest(range(100)) AS k) g),
+dens AS (
+    SELECT type, band, k,
+           sum(exp(-0.5 * ((k / 99.0::DOUBLE - c) / h) * ((k / 99.0::DOUBLE - c) / h)))
+           / (first(m) * first(h) * sqrt(2 * pi())) AS d
+    FROM pts GROUP BY ALL
+)"""
+
+
+def _ridge_sql(cap: int) -> str:
+    return with_fixtures(["fx_certainty"], _ridge_ctes(cap) + """
+SELECT type, band, CAST(k AS INTEGER) AS k, round(k / 99.0::DOUBLE, 4) AS x, round(d, 5) AS density,
+       round(d / (SELECT max(d) FROM dens), 6) AS rel_height
+FROM dens""")
+
+
+@register("ridgeline_density", _ridge_sql(K.RIDGELINE_KDE_SAMPLE))
+def q_ridgeline_density(spark, sf_dir):
+    return DN.ridgeline_density(fx.fx_certainty(spark, sf_dir))
+
+
+@register("ridgeline_density_capped", _ridge_sql(500))
+def q_ridgeline_density_capped(spark, sf_dir):
+    return DN.ridgeline_density(fx.fx_certainty(spark, sf_dir), cap=500)
+
+
+@register("ridgeline_cells", with_fixtures(["fx_certainty"], _ridge_ctes(K.RIDGELINE_KDE_SAMPLE) + """
+SELECT type, type_order, band, band_order, n, has_density FROM cells"""))
+def q_ridgeline_cells(spark, sf_dir):
+    return DN.ridgeline_cells(fx.fx_certainty(spark, sf_dir))
+
+
+@register("band_share", with_fixtures(["fx_certainty"], _ridge_ctes(K.RIDGELINE_KDE_SAMPLE) + """,
+tot AS (SELECT type, sum(n) AS t FROM cells GROUP BY type)
+SELECT type, band, n, round(CASE WHEN t > 0 THEN n * 100.0::DOUBLE / t ELSE 0.0 END, 6) AS pct
+FROM cells JOIN tot USING (type)"""))
+def q_band_share(spark, sf_dir):
+    return DN.band_share(DN.ridgeline_cells(fx.fx_certainty(spark, sf_dir)))
+
+
+@register("volume_bands", with_fixtures(["fx_certainty"], f"""
+SELECT market_id, volume, {_band_sql('volume')} AS band FROM fx_certainty"""))
+def q_volume_bands(spark, sf_dir):
+    from marketlens.functions import volume_band
+    c = fx.fx_certainty(spark, sf_dir)
+    return c.select("market_id", "volume", volume_band("volume").alias("band"))

@@ -846,3 +846,41 @@ def q_audit(spark, sf_dir):
 def q_json_safe(spark, sf_dir):
     from marketlens.functions import json_safe
     return json_safe(_series(spark, sf_dir).select("market_id", "timestamp", "price", "zscore", "arimax"))
+
+
+# ------------------------------------------------------------ sources, misc
+@register("spread_sample", with_fixtures(["fx_trades"], """
+nb AS (SELECT max(block_number) + 1 AS total FROM fx_trades),
+idx AS (
+    SELECT DISTINCT CAST(round_even(i * (total - 1) / 9.0::DOUBLE, 0) AS BIGINT) AS b
+    FROM nb, range(10) r(i)
+)
+SELECT market_id, timestamp, block_number, log_index, price FROM fx_trades WHERE block_number IN (SELECT b FROM idx)"""))
+def q_spread_sample(spark, sf_dir):
+    """Ten evenly spread blocks (endpoints included) of the trade tape;
+    the block count is one aggregate read back."""
+    from marketlens.sources import spread_sample
+    t = fx.fx_trades(spark, sf_dir)
+    total = t.agg(F.max("block_number")).first()[0] + 1
+    return spread_sample(t, "block_number", 10, int(total)).select(
+        "market_id", "timestamp", "block_number", "log_index", "price")
+
+
+@register("catalog_counts", _ts_sql("""
+SELECT (SELECT count(DISTINCT id) FROM catalog) AS viable_markets,
+       (SELECT count(*) FROM catalog WHERE id IN (SELECT market_id FROM kept)) AS catalog_markets"""))
+def q_catalog_counts(spark, sf_dir):
+    """Distinct viable markets and markets in the final catalog."""
+    b = _ts_build(spark, sf_dir)
+    kept = b.final_catalog.count()  # one number read back
+    return b.catalog.agg(F.countDistinct("id").alias("viable_markets"),
+                         F.lit(kept).cast("long").alias("catalog_markets"))
+
+
+@register("top_markets_display", with_fixtures(["fx_markets"], """
+SELECT id, volume, strftime(make_timestamp(created_s * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at
+FROM fx_markets ORDER BY volume DESC NULLS LAST, id LIMIT 10"""))
+def q_top_markets_display(spark, sf_dir):
+    """T-1 with P16: the creation time rendered as text."""
+    t = R.top_markets(fx.fx_markets(spark, sf_dir), 10)
+    return t.select("id", "volume", F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))

@@ -884,3 +884,24 @@ def q_top_markets_display(spark, sf_dir):
     """T-1 with P16: the creation time rendered as text."""
     t = R.top_markets(fx.fx_markets(spark, sf_dir), 10)
     return t.select("id", "volume", F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+def _score_part(cols: list[str]):
+    def q(spark, sf_dir):
+        return q_certainty_scores(spark, sf_dir).select("market_id", *cols)
+    return q
+
+
+for _name, _cols in (("last_price", ["last_price", "uncertainty_last"]), ("vwap", ["volume", "vwap", "uncertainty_vwap"]),
+                     ("twap", ["twap", "uncertainty_twap"])):
+    register(_name, _certainty_sql(f"SELECT market_id, {', '.join(_cols)} FROM scores"))(_score_part(_cols))
+
+
+@register("dominant_side", _ts_sql("""
+SELECT market_id, timestamp, CASE WHEN coalesce(yes_volume, 0) > coalesce(no_volume, 0) THEN 'yes'
+            WHEN coalesce(no_volume, 0) > coalesce(yes_volume, 0) THEN 'no' ELSE 'even' END AS dominant_side
+FROM series"""))
+def q_dominant_side(spark, sf_dir):
+    from marketlens.functions import dominant_side
+    s = _series(spark, sf_dir)
+    return s.select("market_id", "timestamp", dominant_side("yes_volume", "no_volume").alias("dominant_side"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import band_order, duck_round, volume_band
 from marketlens.functions import constants as K
 from marketlens.operators.rollups import top_n_per_group
+from marketlens.session import write_table
 
 
 def cell_grid(spark: SparkSession) -> DataFrame:
@@ -69,13 +70,18 @@ def ridgeline_density(scores: DataFrame, grid: int = K.RIDGELINE_GRID, min_n: in
     bw = sample.groupBy("type", "band").agg(
         F.count(F.lit(1)).alias("m"),
         (F.stddev_samp("c") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h"))
-    pts = sample.join(F.broadcast(bw), ["type", "band"]).select(
-        "type", "band", "c", "m", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
+    # Equal values contribute equal kernels: weight each distinct value by its
+    # count (exact) before fanning out over the grid.
+    distinct_c = sample.groupBy("type", "band", "c").agg(F.count(F.lit(1)).alias("w"))
+    pts = distinct_c.join(F.broadcast(bw), ["type", "band"]).select(
+        "type", "band", "c", "w", "m", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
     u = (F.col("k") / F.lit(float(grid - 1)) - F.col("c")) / F.col("h")
     dens = pts.groupBy("type", "band", "k").agg(
-        (F.sum(F.exp(F.lit(-0.5) * u * u)) / (F.first("m") * F.first("h") * F.lit(math.sqrt(2 * math.pi))))
-        .alias("_d"))
-    peak = dens.agg(F.max("_d")).first()[0]  # one number over <= cells x grid rows
+        (F.sum(F.col("w") * F.exp(F.lit(-0.5) * u * u))
+         / (F.first("m") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("_d"))
+    # at most cells x grid rows: written once, then read for the peak and the output
+    dens = write_table(dens, "ridgeline")
+    peak = dens.agg(F.max("_d")).first()[0]
     return dens.select(
         "type", "band", F.col("k").cast("int").alias("k"),
         duck_round(F.col("k") / F.lit(float(grid - 1)), 4).alias("x"),

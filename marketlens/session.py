@@ -33,6 +33,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # Small local inputs: let AQE keep several CPU-bound window tasks instead of
+    # coalescing a few MB of shuffle output into one task.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

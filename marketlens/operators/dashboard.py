@@ -69,12 +69,12 @@ def downsample(series: DataFrame, max_points: int = K.MAX_CHART_POINTS) -> DataF
     """Keep positions divisible by ceil(n / max_points) when the
     series is longer than max_points; adds ``idx`` (0-based position)."""
     w = Window.partitionBy(KEY).orderBy("timestamp")
-    s = (series.withColumn("_pos", F.row_number().over(w) - 1)
+    s = (series.withColumn("_pos", (F.row_number().over(w) - 1).cast("long"))
          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY))))
     step = F.ceil(F.col("_n") / F.lit(float(max_points)))
     keep = (F.col("_n") <= max_points) | (F.pmod(F.col("_pos"), step) == 0)
     s = s.where(keep).drop("_pos", "_n")
-    return s.withColumn("idx", F.row_number().over(w) - 1)
+    return s.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
 
 
 def timeline(series: DataFrame) -> DataFrame:

@@ -51,6 +51,24 @@ def ntz_epoch_seconds(c: str | Column) -> Column:
     return F.floor(micros / F.lit(1_000_000)).cast("long")
 
 
+def epoch_date(epoch_s: str | Column) -> Column:
+    """DATE of an epoch-seconds value in UTC (no session time zone involved)."""
+    return F.date_from_unix_date(F.floor(col(epoch_s) / F.lit(86400)).cast("int"))
+
+
+def epoch_label(epoch_s: str | Column, with_date: str = "M/d") -> Column:
+    """'M/d HH:mm' (or 'yyyy-MM-dd HH:mm:ss') text of an epoch-seconds
+    value in UTC, built from date and clock parts so the session time zone
+    does not enter."""
+    s = col(epoch_s)
+    d = epoch_date(s)
+    sec = F.pmod(s, F.lit(86400))
+    hh, mm, ss = F.floor(sec / 3600).cast("int"), F.floor(F.pmod(sec, F.lit(3600)) / 60).cast("int"), F.pmod(sec, F.lit(60)).cast("int")
+    if with_date == "M/d":
+        return F.format_string("%d/%d %02d:%02d", F.month(d), F.dayofmonth(d), hh, mm)
+    return F.format_string("%s %02d:%02d:%02d", F.date_format(d, "yyyy-MM-dd"), hh, mm, ss)
+
+
 def primary_category(tags_json: str | Column) -> Column:
     """Label of the first tag whose slug is allowed; NULL if that label is
     NULL, if no tag is allowed, or if the text is not a JSON array."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketlens.functions import capitalize_first, dominant_side, duck_round
+from marketlens.functions import capitalize_first, dominant_side, duck_round, epoch_label
 from marketlens.functions import constants as K
 
 KEY = "market_id"
@@ -82,10 +82,9 @@ def timeline(series: DataFrame) -> DataFrame:
     the chart's cleaned values (NULL volumes/counts as 0, ARIMAX 0 -> NULL)."""
     w = Window.partitionBy(KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     tc = F.coalesce(F.col("trade_count"), F.lit(0))
-    ts = F.timestamp_millis(F.col("timestamp"))
     return series.select(
         KEY, "idx", "timestamp",
-        F.date_format(ts, "M/d HH:mm").alias("time_label"),
+        epoch_label(F.floor(F.col("timestamp") / 1000)).alias("time_label"),
         "price", "zscore",
         F.when(F.col("arimax") != 0, F.col("arimax")).alias("arimax"),
         F.coalesce(F.col("yes_volume"), F.lit(0.0)).alias("yes_volume"),

@@ -57,7 +57,11 @@ def attach_tags(markets: DataFrame, cache: DataFrame, c: str = "event_id") -> Da
     """Tags JSON by event id, '[]' for missing or unusable ids."""
     m = coerce_id(markets, c, "_k")
     tags = cache.select(F.col("event_id").alias("_k"), F.col("tags_json"))
-    j = join_small(m, tags, "_k", "left")
+    # Rows without a usable id cannot match: they skip the join instead of
+    # piling into the one partition that NULL keys hash to.
+    keyed = join_small(m.where(F.col("_k").isNotNull()), tags, "_k", "left")
+    unkeyed = m.where(F.col("_k").isNull()).withColumn("tags_json", F.lit(None).cast("string"))
+    j = keyed.unionByName(unkeyed)
     return j.withColumn("event_tags_json", F.coalesce(F.col("tags_json"), F.lit("[]"))).drop("_k", "tags_json")
 
 

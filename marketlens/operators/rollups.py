@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
+from marketlens.functions import epoch_date
 
 # time_bucket origin for day/week widths: Monday 2000-01-03 00:00 UTC.
 BUCKET_ORIGIN_S = 946857600
@@ -42,12 +43,12 @@ def bucket_start(epoch_s: str | Column, interval: str) -> Column:
     width, kind = parse_interval(interval)
     if kind == "s":
         return F.lit(BUCKET_ORIGIN_S) + F.floor((c - F.lit(BUCKET_ORIGIN_S)) / F.lit(width)).cast("long") * F.lit(width)
-    ts = F.timestamp_seconds(c)
-    months = (F.year(ts) - MONTH_ORIGIN[0]) * 12 + (F.month(ts) - MONTH_ORIGIN[1])
+    d = epoch_date(c)
+    months = (F.year(d) - MONTH_ORIGIN[0]) * 12 + (F.month(d) - MONTH_ORIGIN[1])
     start = F.floor(months / F.lit(width)).cast("int") * F.lit(width)
     first = F.make_date(F.lit(MONTH_ORIGIN[0]) + F.floor(start / 12).cast("int"),
                         (F.pmod(start, F.lit(12)) + 1).cast("int"), F.lit(1))
-    return F.unix_seconds(F.to_timestamp(first))
+    return F.unix_date(first).cast("long") * F.lit(86400)
 
 
 def bars(trades: DataFrame, interval: str, market_id: str | None = None) -> DataFrame:

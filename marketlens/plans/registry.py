@@ -883,7 +883,8 @@ FROM fx_markets ORDER BY volume DESC NULLS LAST, id LIMIT 10"""))
 def q_top_markets_display(spark, sf_dir):
     """T-1 with P16: the creation time rendered as text."""
     t = R.top_markets(fx.fx_markets(spark, sf_dir), 10)
-    return t.select("id", "volume", F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    from marketlens.functions import epoch_label
+    return t.select("id", "volume", epoch_label("created_s", "iso").alias("created_at"))
 
 
 def _score_part(cols: list[str]):

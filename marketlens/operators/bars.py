@@ -98,3 +98,66 @@ def dense_bars(bins: DataFrame, kept: DataFrame) -> DataFrame:
         F.coalesce("no_count", F.lit(0)).cast("long").alias("no_count"),
         F.coalesce("trade_count", F.lit(0)).cast("long").alias("trade_count"),
     )
+
+
+def dense_series(bins: DataFrame) -> DataFrame:
+    """D6 + D7 in one pass over the sparse bins of each market.
+
+    One window over a market's non-empty bins gives the carried-forward price
+    and z, the next non-empty bin, the previous bin's values and the quality
+    inputs; each non-empty bin then expands to itself plus the empty bins up
+    to the next one (zero volumes and counts, carried price and z). The
+    previous dense bin's values (the ARIMAX inputs) follow from the same row:
+    no grid join and no second window. Only kept markets are expanded.
+    """
+    w = Window.partitionBy(KEY).orderBy("bin")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(KEY)
+    b = (bins.withColumn("_cp", F.last("price", ignorenulls=True).over(upto))
+         .withColumn("_cz", F.coalesce(F.last("zscore", ignorenulls=True).over(upto), F.lit(0.0)))
+         .withColumn("_next", F.lead("bin").over(w))
+         .withColumn("_prev_bin", F.lag("bin").over(w))
+         .withColumn("_prev_yes", F.lag("yes_volume").over(w))
+         .withColumn("_prev_no", F.lag("no_volume").over(w))
+         .withColumn("_prev_tc", F.lag("trade_count").over(w))
+         .withColumn("_min_bin", F.min("bin").over(whole))
+         .withColumn("_n_bins", F.max("bin").over(whole) - F.col("_min_bin") + 1)
+         .withColumn("_n_trades", F.sum("trade_count").over(whole))
+         .withColumn("_usd", F.sum("usd").over(whole))
+         .withColumn("_range", F.max("p_max").over(whole) - F.min("p_min").over(whole)))
+    b = b.withColumn("_prev_cz", F.lag("_cz").over(w))
+    lo_share, hi_share = K.DEAD_MIDDLE_SPAN
+    pos = F.col("bin") - F.col("_min_bin")
+    in_mid = (pos >= F.floor(F.col("_n_bins") * F.lit(lo_share))) & (pos < F.floor(F.col("_n_bins") * F.lit(hi_share)))
+    b = b.withColumn("_mid", F.sum(F.when(in_mid, F.col("trade_count")).otherwise(F.lit(0))).over(whole))
+    dead = ((F.col("_n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("_n_trades") > 0)
+            & (F.col("_mid") / F.col("_n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
+    keep = ((F.col("_n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("_usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))
+            & (F.coalesce(F.col("_range"), F.lit(0.0)) >= F.lit(K.MIN_PRICE_RANGE))
+            & (F.col("_n_bins") >= K.MIN_BINS) & ~dead
+            & (F.col("_n_bins") > K.FINAL_MIN_BINS) & (F.col("_n_trades") >= K.FINAL_MIN_TRADES))
+    b = b.where(keep)
+    gap = F.coalesce(F.col("_next") - F.col("bin") - 1, F.lit(0))
+    e = b.select("*", F.posexplode(F.sequence(F.lit(0), gap.cast("int"))).alias("_off", "_x"))
+    own = F.col("_off") == 0
+    zero_d, zero_l = F.lit(0.0), F.lit(0).cast("long")
+    adjacent = F.col("_prev_bin") == F.col("bin") - 1
+    prev_z = (F.when(own, F.col("_prev_cz"))  # NULL on the first bin
+              .otherwise(F.col("_cz")))
+    prev_yes = (F.when(own, F.when(adjacent, F.col("_prev_yes")).when(F.col("_prev_bin").isNotNull(), zero_d))
+                .when(F.col("_off") == 1, F.col("yes_volume")).otherwise(zero_d))
+    prev_no = (F.when(own, F.when(adjacent, F.col("_prev_no")).when(F.col("_prev_bin").isNotNull(), zero_d))
+               .when(F.col("_off") == 1, F.col("no_volume")).otherwise(zero_d))
+    prev_tc = (F.when(own, F.when(adjacent, F.col("_prev_tc")).when(F.col("_prev_bin").isNotNull(), zero_l))
+               .when(F.col("_off") == 1, F.col("trade_count")).otherwise(zero_l))
+    return e.select(
+        KEY, (F.col("bin") + F.col("_off")).alias("bin"),
+        F.col("_cp").alias("price"), F.col("_cz").alias("zscore"),
+        F.when(own, F.coalesce("yes_volume", zero_d)).otherwise(zero_d).alias("yes_volume"),
+        F.when(own, F.coalesce("no_volume", zero_d)).otherwise(zero_d).alias("no_volume"),
+        F.when(own, F.col("yes_count")).otherwise(zero_l).cast("long").alias("yes_count"),
+        F.when(own, F.col("no_count")).otherwise(zero_l).cast("long").alias("no_count"),
+        F.when(own, F.col("trade_count")).otherwise(zero_l).cast("long").alias("trade_count"),
+        prev_z.alias("prev_z"), prev_yes.alias("prev_yes"), prev_no.alias("prev_no"),
+        prev_tc.cast("long").alias("prev_tc"),
+    )

@@ -15,7 +15,9 @@ KEY = "market_id"
 
 def arimax(series: DataFrame, catalog: DataFrame, impact: DataFrame,
            bin_seconds: int = K.BIN_SECONDS) -> DataFrame:
-    """dashboard_timeseries rows from the dense series.
+    """dashboard_timeseries rows from the dense series (``bars.dense_series``,
+    which carries the previous bin's z, volumes and trade count; a plain dense
+    series without them gets them from lag()).
 
     arimax = baseline(label) + z[-1] * AR * damping(trades[-1])
              + yes[-1] * b_yes + no[-1] * b_no, NULL on the first bin, round 4;
@@ -27,8 +29,11 @@ def arimax(series: DataFrame, catalog: DataFrame, impact: DataFrame,
     # the coefficients are one row: read the two numbers back as literals
     coef = impact.select("yes_impact", "no_impact").first()
     s = s.withColumn("yes_impact", F.lit(coef["yes_impact"])).withColumn("no_impact", F.lit(coef["no_impact"]))
-    prev_z, prev_y = F.lag("zscore").over(w), F.lag("yes_volume").over(w)
-    prev_n, prev_t = F.lag("no_volume").over(w), F.lag("trade_count").over(w)
+    if "prev_z" in series.columns:
+        prev_z, prev_y, prev_n, prev_t = (F.col(c) for c in ("prev_z", "prev_yes", "prev_no", "prev_tc"))
+    else:
+        prev_z, prev_y = F.lag("zscore").over(w), F.lag("yes_volume").over(w)
+        prev_n, prev_t = F.lag("no_volume").over(w), F.lag("trade_count").over(w)
     raw = (F.coalesce(F.col("_base"), F.lit(K.DEFAULT_BASELINE_EXOG))
            + prev_z * F.lit(K.AR_L1) * ar_damping(prev_t)
            + prev_y * F.col("yes_impact") + prev_n * F.col("no_impact"))

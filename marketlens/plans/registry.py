@@ -413,7 +413,7 @@ def q_quality_markets(spark, sf_dir):
 SELECT market_id, bin, round(price, 9) AS price, round(zscore, 9) AS zscore, round(yes_volume, 6) AS yes_volume,
        round(no_volume, 6) AS no_volume, yes_count, no_count, trade_count FROM dense"""))
 def q_dense_bars(spark, sf_dir):
-    d = _ts_build(spark, sf_dir).dense
+    d = _ts_build(spark, sf_dir).dense.drop("prev_z", "prev_yes", "prev_no", "prev_tc")
     return round_doubles(round_doubles(d, 9, ["price", "zscore"]), 6, ["yes_volume", "no_volume"])
 
 

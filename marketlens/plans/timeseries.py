@@ -52,7 +52,7 @@ def build(quant: DataFrame, markets: DataFrame, *, order=TP.ORDER, chunking: dic
     impact = IM.fit_impact(bins)
     quality = B.market_quality(bins)
     kept = quality.where("keep")
-    dense = B.dense_bars(bins, kept)
+    dense = B.dense_series(bins)
     ts = FC.arimax(dense, catalog, impact)
     final = EN.final_catalog(catalog, kept)
     return TimeSeriesBuild(catalog, feats, bins, impact, quality, dense, ts, final)

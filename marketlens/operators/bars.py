@@ -113,23 +113,29 @@ def dense_series(bins: DataFrame) -> DataFrame:
     w = Window.partitionBy(KEY).orderBy("bin")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(KEY)
-    b = (bins.withColumn("_cp", F.last("price", ignorenulls=True).over(upto))
-         .withColumn("_cz", F.coalesce(F.last("zscore", ignorenulls=True).over(upto), F.lit(0.0)))
-         .withColumn("_next", F.lead("bin").over(w))
-         .withColumn("_prev_bin", F.lag("bin").over(w))
-         .withColumn("_prev_yes", F.lag("yes_volume").over(w))
-         .withColumn("_prev_no", F.lag("no_volume").over(w))
-         .withColumn("_prev_tc", F.lag("trade_count").over(w))
-         .withColumn("_min_bin", F.min("bin").over(whole))
-         .withColumn("_n_bins", F.max("bin").over(whole) - F.col("_min_bin") + 1)
-         .withColumn("_n_trades", F.sum("trade_count").over(whole))
-         .withColumn("_usd", F.sum("usd").over(whole))
-         .withColumn("_range", F.max("p_max").over(whole) - F.min("p_min").over(whole)))
-    b = b.withColumn("_prev_cz", F.lag("_cz").over(w))
+    b = bins.withColumns({
+        "_cp": F.last("price", ignorenulls=True).over(upto),
+        "_cz": F.coalesce(F.last("zscore", ignorenulls=True).over(upto), F.lit(0.0)),
+        "_next": F.lead("bin").over(w),
+        "_prev_bin": F.lag("bin").over(w),
+        "_prev_yes": F.lag("yes_volume").over(w),
+        "_prev_no": F.lag("no_volume").over(w),
+        "_prev_tc": F.lag("trade_count").over(w),
+        "_min_bin": F.min("bin").over(whole),
+        "_max_bin": F.max("bin").over(whole),
+        "_n_trades": F.sum("trade_count").over(whole),
+        "_usd": F.sum("usd").over(whole),
+        "_range": F.max("p_max").over(whole) - F.min("p_min").over(whole),
+    })
+    n_bins = F.col("_max_bin") - F.col("_min_bin") + 1
     lo_share, hi_share = K.DEAD_MIDDLE_SPAN
     pos = F.col("bin") - F.col("_min_bin")
-    in_mid = (pos >= F.floor(F.col("_n_bins") * F.lit(lo_share))) & (pos < F.floor(F.col("_n_bins") * F.lit(hi_share)))
-    b = b.withColumn("_mid", F.sum(F.when(in_mid, F.col("trade_count")).otherwise(F.lit(0))).over(whole))
+    in_mid = (pos >= F.floor(n_bins * F.lit(lo_share))) & (pos < F.floor(n_bins * F.lit(hi_share)))
+    b = b.withColumns({
+        "_n_bins": n_bins,
+        "_prev_cz": F.lag("_cz").over(w),
+        "_mid": F.sum(F.when(in_mid, F.col("trade_count")).otherwise(F.lit(0))).over(whole),
+    })
     dead = ((F.col("_n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("_n_trades") > 0)
             & (F.col("_mid") / F.col("_n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
     keep = ((F.col("_n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("_usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))

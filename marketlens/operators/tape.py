@@ -124,20 +124,21 @@ def _features_whole_markets(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
     market, and the market statistics as window aggregates (no joins)."""
     w = Window.partitionBy(KEY).orderBy(*order)
     whole = Window.partitionBy(KEY)
-    prev = F.lag("price").over(w)
-    q = (q.withColumn("_prev", prev)
-          .withColumn("price_diff", F.coalesce(F.col("price") - F.col("_prev"), F.lit(0.0)))
-          .withColumn("is_yes", F.col("price_diff") >= 0)
-          .withColumn("yes_vol", F.when(F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
-          .withColumn("no_vol", F.when(~F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
-          .withColumn("ret", _log_return(F.col("price"), F.col("_prev"))))
     frame = w.rowsBetween(-(W - 1), 0)
-    q = q.withColumn("roll_std", F.when(F.count("ret").over(frame) == W, F.stddev_samp("ret").over(frame)))
-    rm, rs = F.avg("roll_std").over(whole), F.stddev_samp("roll_std").over(whole)
-    q = q.withColumn("_rm", rm).withColumn("_rs", rs)
+    q = q.withColumns({"_prev": F.lag("price").over(w)})
+    diff = F.coalesce(F.col("price") - F.col("_prev"), F.lit(0.0))
+    q = q.withColumns({"price_diff": diff, "ret": _log_return(F.col("price"), F.col("_prev"))})
+    is_yes = F.col("price_diff") >= 0
+    q = q.withColumns({
+        "is_yes": is_yes,
+        "yes_vol": F.when(is_yes, F.col("usd_amount")).otherwise(F.lit(0.0)),
+        "no_vol": F.when(~is_yes, F.col("usd_amount")).otherwise(F.lit(0.0)),
+        "roll_std": F.when(F.count("ret").over(frame) == W, F.stddev_samp("ret").over(frame)),
+    })
+    q = q.withColumns({"_rm": F.avg("roll_std").over(whole), "_rs": F.stddev_samp("roll_std").over(whole)})
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
     z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
-    q = q.withColumn("zscore", F.when(flat, F.lit(0.0)).otherwise(clipped))
-    q = q.withColumn("future_z", F.lead("zscore").over(w))
+    q = q.withColumns({"zscore": F.when(flat, F.lit(0.0)).otherwise(clipped)})
+    q = q.withColumns({"future_z": F.lead("zscore").over(w)})
     return q.drop("_prev", "_rm", "_rs")

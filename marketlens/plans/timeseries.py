@@ -9,7 +9,7 @@ steps, and survives the loss of executors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,33 +29,59 @@ def restrict_to(quant: DataFrame, ids: DataFrame, key: str = "market_id") -> Dat
     return join_small(q, ids.select(F.col("id").cast("string").alias(key)).distinct(), key, "left_semi")
 
 
-@dataclass
 class TimeSeriesBuild:
-    catalog: DataFrame      # viable markets (id, question, predicted_label, category)
-    features: DataFrame     # per trade
-    bins: DataFrame         # per (market, bin), sparse
-    impact: DataFrame       # one row: n, yes_impact, no_impact
-    quality: DataFrame      # per market: filter inputs and keep flag
-    dense: DataFrame        # gap-filled series of kept markets
-    timeseries: DataFrame   # dashboard_timeseries
-    final_catalog: DataFrame  # dashboard_catalog
+    """The build's tables, each computed on first use: a query that needs only
+    the regression never plans the dense series."""
+
+    def __init__(self, quant: DataFrame, markets: DataFrame, order=TP.ORDER, chunking: dict | None = None,
+                 checkpoint: bool = True):
+        self._quant, self._markets, self._order = quant, markets, order
+        self._chunking, self._checkpoint = chunking, checkpoint
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """Viable markets (id, question, predicted_label, category)."""
+        return EN.viable_markets(self._markets)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Per trade features of the viable markets."""
+        q = restrict_to(self._quant, self.catalog)
+        return TP.trade_features(q, order=self._order, chunking=self._chunking)
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        """Per (market, bin), sparse; written once to the checkpoint folder."""
+        b = B.bin_table(self.features, order=self._order)
+        return write_table(b, "bins") if self._checkpoint else b
+
+    @cached_property
+    def impact(self) -> DataFrame:
+        return IM.fit_impact(self.bins)
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return B.market_quality(self.bins)
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        """Gap-filled series of kept markets with the previous bin's values."""
+        return B.dense_series(self.bins)
+
+    @cached_property
+    def timeseries(self) -> DataFrame:
+        """dashboard_timeseries."""
+        return FC.arimax(self.dense, self.catalog, self.impact)
+
+    @cached_property
+    def final_catalog(self) -> DataFrame:
+        """dashboard_catalog."""
+        return EN.final_catalog(self.catalog, self.quality.where("keep"))
 
 
 def build(quant: DataFrame, markets: DataFrame, *, order=TP.ORDER, chunking: dict | None = None,
           checkpoint: bool = True) -> TimeSeriesBuild:
-    catalog = EN.viable_markets(markets)
-    q = restrict_to(quant, catalog)
-    feats = TP.trade_features(q, order=order, chunking=chunking)
-    bins = B.bin_table(feats, order=order)
-    if checkpoint:
-        bins = write_table(bins, "bins")
-    impact = IM.fit_impact(bins)
-    quality = B.market_quality(bins)
-    kept = quality.where("keep")
-    dense = B.dense_series(bins)
-    ts = FC.arimax(dense, catalog, impact)
-    final = EN.final_catalog(catalog, kept)
-    return TimeSeriesBuild(catalog, feats, bins, impact, quality, dense, ts, final)
+    return TimeSeriesBuild(quant, markets, order, chunking, checkpoint)
 
 
 def timeseries_of_market(timeseries: DataFrame, market_id: str) -> DataFrame:

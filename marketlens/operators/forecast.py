@@ -14,7 +14,7 @@ KEY = "market_id"
 
 
 def arimax(series: DataFrame, catalog: DataFrame, impact: DataFrame,
-           bin_seconds: int = K.BIN_SECONDS) -> DataFrame:
+           bin_seconds: int = K.BIN_SECONDS, catalog_fits: bool | None = None) -> DataFrame:
     """dashboard_timeseries rows from the dense series (``bars.dense_series``,
     which carries the previous bin's z, volumes and trade count; a plain dense
     series without them gets them from lag()).
@@ -25,7 +25,7 @@ def arimax(series: DataFrame, catalog: DataFrame, impact: DataFrame,
     """
     w = Window.partitionBy(KEY).orderBy("bin")
     base = catalog.select(F.col("id").alias(KEY), baseline_exog("predicted_label").alias("_base"))
-    s = join_small(series, base, KEY, "left")
+    s = join_small(series, base, KEY, "left", fits=catalog_fits)
     # the coefficients are one row: read the two numbers back as literals
     coef = impact.select("yes_impact", "no_impact").first()
     s = s.withColumn("yes_impact", F.lit(coef["yes_impact"])).withColumn("no_impact", F.lit(coef["no_impact"]))

@@ -21,10 +21,13 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int = BROADCAST_MAX_ROWS, fits: bool | None = None) -> DataFrame:
     """``big`` join ``small``: broadcast ``small`` when its row count is within
     the bound, otherwise a shuffle (sort-merge) join that AQE may still turn
-    into a broadcast at runtime or split when skewed."""
-    if fits_broadcast(small, max_rows):
+    into a broadcast at runtime or split when skewed. ``fits`` passes a check
+    already made on the same table (or one at least as large)."""
+    if fits is None:
+        fits = fits_broadcast(small, max_rows)
+    if fits:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

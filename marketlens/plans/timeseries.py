@@ -19,14 +19,14 @@ from marketlens.operators import enrich as EN
 from marketlens.operators import forecast as FC
 from marketlens.operators import impact as IM
 from marketlens.operators import tape as TP
-from marketlens.operators.joins import join_small
+from marketlens.operators.joins import fits_broadcast, join_small
 from marketlens.session import write_table
 
 
-def restrict_to(quant: DataFrame, ids: DataFrame, key: str = "market_id") -> DataFrame:
+def restrict_to(quant: DataFrame, ids: DataFrame, key: str = "market_id", fits: bool | None = None) -> DataFrame:
     """Trades of the given market ids (text key), as a left semi join."""
     q = quant.withColumn(key, F.col(key).cast("string"))
-    return join_small(q, ids.select(F.col("id").cast("string").alias(key)).distinct(), key, "left_semi")
+    return join_small(q, ids.select(F.col("id").cast("string").alias(key)).distinct(), key, "left_semi", fits=fits)
 
 
 class TimeSeriesBuild:
@@ -43,10 +43,15 @@ class TimeSeriesBuild:
         """Viable markets (id, question, predicted_label, category)."""
         return EN.viable_markets(self._markets)
 
+    @cached_property
+    def catalog_fits_broadcast(self) -> bool:
+        """One size check of the catalog, used by both joins against it."""
+        return fits_broadcast(self.catalog)
+
     @cached_property
     def features(self) -> DataFrame:
         """Per trade features of the viable markets."""
-        q = restrict_to(self._quant, self.catalog)
+        q = restrict_to(self._quant, self.catalog, fits=self.catalog_fits_broadcast)
         return TP.trade_features(q, order=self._order, chunking=self._chunking)
 
     @cached_property
@@ -71,7 +76,7 @@ class TimeSeriesBuild:
     @cached_property
     def timeseries(self) -> DataFrame:
         """dashboard_timeseries."""
-        return FC.arimax(self.dense, self.catalog, self.impact)
+        return FC.arimax(self.dense, self.catalog, self.impact, catalog_fits=self.catalog_fits_broadcast)
 
     @cached_property
     def final_catalog(self) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
 from marketlens.functions import duck_round
@@ -33,9 +32,10 @@ def classes(df: DataFrame, *cols: str) -> list[str]:
 
 
 def label_ids(df: DataFrame, label: str = "label") -> DataFrame:
-    """M2: label <-> id in sorted label order (id = dense rank - 1)."""
-    d = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return d.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("label_id"))
+    """M2: label <-> id in sorted label order. The vocabulary (a handful of
+    labels) is read back and returned as a small literal table."""
+    cls = classes(df, label)
+    return df.sparkSession.createDataFrame(list(zip(cls, range(len(cls)))), "label string, label_id long")
 
 
 def stratified_split(df: DataFrame, test_size: int = K.TEST_SIZE, seed: int = K.RANDOM_SEED,
@@ -151,6 +151,14 @@ def summary_lines(summary: DataFrame, overall: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+def write_summary(summary: DataFrame, overall: DataFrame, path: str) -> None:
+    """The summary as JSON rows (per label and overall) and as a text
+    report, under ``path``/json and ``path``/text."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json/labels")
+    overall.coalesce(1).write.mode("overwrite").json(f"{path}/json/overall")
+    summary_lines(summary, overall).coalesce(1).write.mode("overwrite").text(f"{path}/text")
+
+
 def unknown_labels(holdout: DataFrame, known: DataFrame, label: str = "label") -> DataFrame:
     """Distinct holdout labels missing from the known label set."""
     h = holdout.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()

@@ -13,7 +13,8 @@ Bounds (all enforced, none sampled away):
 * a split key yields up to ``chunks_per_key`` chunks; rows with one identical
   time value stay together (they cannot be ordered apart by time anyway);
 * the split-point table has at most max_hot_keys x (chunks_per_key - 1)
-  entries, a fixed size bound, so broadcasting it is safe.
+  entries, a fixed size bound, so broadcasting it is safe; so do per-chunk
+  summaries of the hot keys (at most max_hot_keys x chunks_per_key rows).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = "_chunk"
+HOT = "_hot"
 
 # Defaults sized for a cluster; tests pass small values to force splitting.
 ROWS_PER_TASK = 4_000_000
@@ -46,7 +48,7 @@ def split_hot_keys(df: DataFrame, key: str, time_col: str, *, rows_per_task: int
     # The hot-key list is bounded by max_hot_keys: a safe, small driver read.
     hot_keys = [r[0] for r in hot.collect()]
     if not hot_keys:
-        return df.withColumn(CHUNK, F.lit(0)), False
+        return df.withColumns({CHUNK: F.lit(0), HOT: F.lit(False)}), False
     fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
     splits = (df.where(F.col(key).isin(hot_keys))
               .groupBy(key)
@@ -55,7 +57,8 @@ def split_hot_keys(df: DataFrame, key: str, time_col: str, *, rows_per_task: int
     chunk = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col(time_col))), F.lit(0))
     # Keys outside the split table get _splits = NULL -> chunk 0.
     out = (df.join(F.broadcast(splits), key, "left")
-             .withColumn(CHUNK, F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"))
+             .withColumns({CHUNK: F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"),
+                           HOT: F.col("_splits").isNotNull()})
              .drop("_splits"))
     return out, True
 

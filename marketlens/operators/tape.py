@@ -14,6 +14,7 @@ The trade rows themselves are shuffled once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,18 +48,43 @@ def _std_of_last(arr: Column, n: int) -> Column:
     return F.when(F.size(arr) >= n, F.when(ok, F.sqrt(ss / F.lit(float(n - 1)))))
 
 
-def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking: dict | None = None) -> DataFrame:
+def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking: dict | None = None,
+                   cache: list | None = None) -> DataFrame:
     """Per trade: price_diff, yes_vol, no_vol, is_yes, ret, roll_std, zscore,
-    future_z (next trade's z) plus the input columns and ``_chunk``."""
+    future_z (next trade's z) plus the input columns.
+
+    Ordinary markets use one window partition per market. Rows of hot markets
+    take the chunked plan; when ``cache`` is a list, its two branch points are
+    persisted (and appended to ``cache`` for the caller to release) so the
+    hot rows are shuffled once instead of once per branch.
+    """
     q, split = skew.split_hot_keys(quant, KEY, order[0], **(chunking or {}))
+    cols = quant.columns
     if not split:
-        return _features_whole_markets(q, order)
+        return _features_whole_markets(q.drop(skew.CHUNK, skew.HOT), order)
+    normal = _features_whole_markets(q.where(~F.col(skew.HOT)).select(*cols), order)
+    hot = _features_chunked(q.where(F.col(skew.HOT)).drop(skew.HOT), order, cache)
+    return normal.unionByName(hot.drop(skew.CHUNK))
+
+
+def _materialize(df: DataFrame, cache: list | None) -> DataFrame:
+    if cache is None:
+        return df
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cache.append(df)
+    return df
+
+
+def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None) -> DataFrame:
+    """Features of hot-market rows partitioned by (market, chunk). Per-chunk
+    summaries (one row per chunk of a hot market, a fixed bound) are
+    broadcast, so the rows keep their partitioning and order."""
     w = skew.chunk_window(KEY, *order)
     whole = Window.partitionBy(KEY, skew.CHUNK)
     ord_struct = F.struct(*order)
-    q = (q.withColumn("_rn", F.row_number().over(w))
-          .withColumn("_n", F.count(F.lit(1)).over(whole))
-          .withColumn("_lag_p", F.lag("price").over(w)))
+    q = q.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(whole),
+                       "_lag_p": F.lag("price").over(w)})
+    q = _materialize(q, cache)
 
     # Last W prices of each chunk, then the W prices preceding each chunk
     # (taken from up to W earlier chunks: each has at least one row).
@@ -70,18 +96,14 @@ def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking
         KEY, skew.CHUNK,
         F.array_sort(F.flatten(F.collect_list("_tail").over(wc))).alias("_prior"))
     prior = prior.select(KEY, skew.CHUNK, last_n(F.col("_prior"), W).alias("_prior"))
-    # Summary tables have one row per chunk; joined on (market, chunk) they only
-    # shuffle themselves: the trade rows are already partitioned that way.
-    q = q.join(prior, [KEY, skew.CHUNK], "left")
+    q = q.join(F.broadcast(prior), [KEY, skew.CHUNK], "left")
 
     prior_prices = F.transform(F.coalesce(F.col("_prior"), F.array()), lambda s: s["price"])
     prev = F.when(F.col("_rn") == 1, F.try_element_at(prior_prices, F.lit(-1))).otherwise(F.col("_lag_p"))
-    q = q.withColumn("_prev", prev)
-    q = (q.withColumn("price_diff", F.coalesce(F.col("price") - F.col("_prev"), F.lit(0.0)))
-          .withColumn("is_yes", F.col("price_diff") >= 0)
-          .withColumn("yes_vol", F.when(F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
-          .withColumn("no_vol", F.when(~F.col("is_yes"), F.col("usd_amount")).otherwise(F.lit(0.0)))
-          .withColumn("ret", _log_return(F.col("price"), F.col("_prev"))))
+    q = q.withColumns({"_prev": prev})
+    diff = F.coalesce(F.col("price") - F.col("_prev"), F.lit(0.0))
+    q = q.withColumns({"price_diff": diff, "ret": _log_return(F.col("price"), F.col("_prev"))})
+    is_yes = F.col("price_diff") >= 0
 
     # Rolling stdev over the last W returns. Frames fully inside the chunk use
     # the window aggregate; the first W-1 rows of a chunk prepend the returns
@@ -94,29 +116,38 @@ def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking
         F.transform(F.sequence(F.lit(2), F.size(pp)),
                     lambda k: F.struct(_log_return(F.element_at(pp, k), F.element_at(pp, k - 1)).alias("ret"))),
     ).otherwise(F.array().cast("array<struct<ret:double>>"))
-    own = F.collect_list(F.struct(F.col("ret").alias("ret"))).over(frame)
+    # The chunk's own returns up to this row, oldest first, from W-1 lags
+    # (cheap offset windows); only rows with rn < W use them.
+    lags = [F.struct(F.lag("ret", k).over(w).alias("ret")) for k in range(W - 1, 0, -1)]
+    own_all = F.array(*lags, F.struct(F.col("ret").alias("ret")))
+    own = F.slice(own_all, F.lit(W + 1) - F.col("_rn"), F.col("_rn"))
     edge = _std_of_last(F.concat(prior_rets, own), W)
-    q = q.withColumn("roll_std", F.when(F.col("_rn") >= W, native).otherwise(edge))
+    q = q.withColumns({
+        "is_yes": is_yes,
+        "yes_vol": F.when(is_yes, F.col("usd_amount")).otherwise(F.lit(0.0)),
+        "no_vol": F.when(~is_yes, F.col("usd_amount")).otherwise(F.lit(0.0)),
+        "roll_std": F.when(F.col("_rn") >= W, native).otherwise(edge),
+    }).drop("_prior", "_lag_p", "_prev")
+    q = _materialize(q, cache)
 
     # Per-market mean / stdev of the rolling volatility (partial aggregation,
     # so a hot market is summed by many tasks) attached per chunk.
     mstats = q.groupBy(KEY).agg(F.avg("roll_std").alias("_rm"), F.stddev_samp("roll_std").alias("_rs"))
-    chunk_ids = tails.select(KEY, skew.CHUNK)
-    cstats = chunk_ids.join(mstats, KEY, "inner")
-    q = q.join(cstats, [KEY, skew.CHUNK], "left")
+    cstats = tails.select(KEY, skew.CHUNK).join(F.broadcast(mstats), KEY, "inner")
+    q = q.join(F.broadcast(cstats), [KEY, skew.CHUNK], "left")
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
     z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
-    q = q.withColumn("zscore", F.when(flat, F.lit(0.0)).otherwise(clipped))
+    q = q.withColumns({"zscore": F.when(flat, F.lit(0.0)).otherwise(clipped)})
 
     # Next trade's z: inside the chunk by lead(); at the chunk end from the
     # next chunk's first row.
     firsts = q.groupBy(KEY, skew.CHUNK).agg(F.min_by("zscore", ord_struct).alias("_fz"))
     firsts = skew.next_chunk_first(firsts, KEY, ["_fz"]).select(KEY, skew.CHUNK, "next__fz")
-    q = q.join(firsts, [KEY, skew.CHUNK], "left")
-    q = q.withColumn("future_z", F.when(F.col("_rn") == F.col("_n"), F.col("next__fz"))
-                     .otherwise(F.lead("zscore").over(w)))
-    return q.drop("_rn", "_n", "_lag_p", "_prior", "_prev", "_rm", "_rs", "next__fz")
+    q = q.join(F.broadcast(firsts), [KEY, skew.CHUNK], "left")
+    q = q.withColumns({"future_z": F.when(F.col("_rn") == F.col("_n"), F.col("next__fz"))
+                       .otherwise(F.lead("zscore").over(w))})
+    return q.drop("_rn", "_n", "_rm", "_rs", "next__fz")
 
 
 def _features_whole_markets(q: DataFrame, order: tuple[str, ...]) -> DataFrame:

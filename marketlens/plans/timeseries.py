@@ -37,6 +37,7 @@ class TimeSeriesBuild:
                  checkpoint: bool = True):
         self._quant, self._markets, self._order = quant, markets, order
         self._chunking, self._checkpoint = chunking, checkpoint
+        self._cached: list = []
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -52,13 +53,20 @@ class TimeSeriesBuild:
     def features(self) -> DataFrame:
         """Per trade features of the viable markets."""
         q = restrict_to(self._quant, self.catalog, fits=self.catalog_fits_broadcast)
-        return TP.trade_features(q, order=self._order, chunking=self._chunking)
+        return TP.trade_features(q, order=self._order, chunking=self._chunking,
+                                 cache=self._cached if self._checkpoint else None)
 
     @cached_property
     def bins(self) -> DataFrame:
         """Per (market, bin), sparse; written once to the checkpoint folder."""
         b = B.bin_table(self.features, order=self._order)
-        return write_table(b, "bins") if self._checkpoint else b
+        if not self._checkpoint:
+            return b
+        out = write_table(b, "bins")
+        for df in self._cached:  # hot-market intermediates are no longer needed
+            df.unpersist()
+        self._cached.clear()
+        return out
 
     @cached_property
     def impact(self) -> DataFrame:

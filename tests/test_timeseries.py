@@ -42,3 +42,18 @@ def test_build_funnel_matches_fixture_notes(spark):
     q = b.quality.where("keep").select("market_id", "n_bins", "n_trades")
     bad = per.join(q, "market_id").where("n <> n_bins OR t <> n_trades").count()
     assert bad == 0
+
+
+def test_mixed_hot_and_normal_markets_with_materialized_branches(spark):
+    q = fx.fx_quant(spark, SF01)
+    hot = q.withColumn("market_id", F.when(F.col("seq") % 3 == 0, F.lit("7")).otherwise(F.col("market_id")))
+    base = _rows(TP.trade_features(hot))
+    cache = []
+    split = _rows(TP.trade_features(hot, chunking={"rows_per_task": 500, "chunks_per_key": 16}, cache=cache))
+    assert len(cache) == 2
+    for d in cache:
+        d.unpersist()
+    assert base.keys() == split.keys()
+    for k, r in base.items():
+        for c in COLS:
+            assert _close(r[c], split[k][c]), (k, c, r[c], split[k][c])

@@ -67,14 +67,19 @@ def flow_nodes(catalog: DataFrame) -> DataFrame:
 
 def downsample(series: DataFrame, max_points: int = K.MAX_CHART_POINTS) -> DataFrame:
     """Keep positions divisible by ceil(n / max_points) when the
-    series is longer than max_points; adds ``idx`` (0-based position)."""
+    series is longer than max_points. Adds ``idx`` (0-based position in the
+    kept series, = pos / step) and ``n_points`` (kept points), both by
+    arithmetic, so one window pass does it."""
     w = Window.partitionBy(KEY).orderBy("timestamp")
-    s = (series.withColumn("_pos", (F.row_number().over(w) - 1).cast("long"))
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY))))
-    step = F.ceil(F.col("_n") / F.lit(float(max_points)))
-    keep = (F.col("_n") <= max_points) | (F.pmod(F.col("_pos"), step) == 0)
-    s = s.where(keep).drop("_pos", "_n")
-    return s.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    s = series.withColumns({"_pos": (F.row_number().over(w) - 1).cast("long"),
+                            "_n": F.count(F.lit(1)).over(Window.partitionBy(KEY))})
+    step = F.when(F.col("_n") <= max_points, F.lit(1)).otherwise(F.ceil(F.col("_n") / F.lit(float(max_points))))
+    s = s.withColumn("_step", step.cast("long"))
+    s = s.where(F.pmod(F.col("_pos"), F.col("_step")) == 0)
+    return s.withColumns({"idx": F.col("_pos") / F.col("_step"),
+                          "n_points": F.ceil(F.col("_n") / F.col("_step"))}) \
+        .withColumns({"idx": F.col("idx").cast("long"), "n_points": F.col("n_points").cast("long")}) \
+        .drop("_pos", "_n", "_step")
 
 
 def timeline(series: DataFrame) -> DataFrame:
@@ -101,10 +106,10 @@ def anomaly_regions(series: DataFrame, threshold: float = K.ANOMALY_Z) -> DataFr
     last index when the run is still open. Gaps-and-islands on ``idx``."""
     w = Window.partitionBy(KEY).orderBy("idx")
     hot = F.coalesce(F.col("zscore") > F.lit(threshold), F.lit(False))
-    s = series.select(KEY, "idx", hot.alias("_hot"))
+    last = (F.col("n_points") - 1) if "n_points" in series.columns else F.max("idx").over(Window.partitionBy(KEY))
+    s = series.select(KEY, "idx", hot.alias("_hot"), last.alias("_last"))
     s = s.withColumn("_chg", F.when(F.col("_hot") != F.lag("_hot", 1, False).over(w), 1).otherwise(0))
     s = s.withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("_last", F.max("idx").over(Window.partitionBy(KEY)))
     runs = s.where("_hot").groupBy(KEY, "_run").agg(
         F.min("idx").alias("start"), F.max("idx").alias("_end"), F.first("_last").alias("_last"))
     return runs.select(KEY, "start", F.least(F.col("_end") + 1, F.col("_last")).alias("end"))

@@ -201,3 +201,23 @@ def score_text(df: DataFrame, model, text: str = "question") -> DataFrame:
     out = scored.withColumn("predicted_label", F.element_at(names, F.col("_pred_idx").cast("int") + 1)) \
         .withColumn("confidence", F.array_max(probs))
     return out.drop("_text", "_tokens", "_tf", "_features", "_raw", "_prob", "_pred_idx")
+
+
+def evaluate_holdout(holdout: DataFrame, model, known: list[str], text: str = "question",
+                     label: str = "label") -> dict[str, DataFrame]:
+    """M5: check the columns (P11) and that every holdout label is known
+    (P12), score the texts (M4), then accuracy, confusion matrix and report
+    over the known classes (D16-D18)."""
+    require_columns(holdout, [text, label])
+    known_df = holdout.sparkSession.createDataFrame([(k,) for k in known], "label string")
+    unknown = [r[0] for r in unknown_labels(holdout.select(F.col(label).alias("label")), known_df).collect()]
+    if unknown:
+        raise ValueError(f"holdout has labels not seen in training data: {sorted(unknown)}; "
+                         f"training labels: {sorted(known)}")
+    scored = score_text(holdout, model, text).select(F.col(label).alias("label"), "predicted_label", "confidence")
+    return {
+        "scored": scored,
+        "accuracy": accuracy(scored),
+        "confusion": confusion(scored, sorted(known)),
+        "report": classification_report(scored, sorted(known)),
+    }

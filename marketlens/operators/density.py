@@ -5,8 +5,8 @@ fixed grid over [0, 1].
 Work is bounded by design: at most ``cap`` rows per cell enter the KDE (a
 deterministic hash order picks them), so the kernel sums are at most
 cells x cap x grid evaluations whatever the table size. The cap's top-n is
-exact and salted, so a cell holding a third of the table is ranked by many
-tasks, and the kernel sums are partial aggregates.
+exact and salted by cell size, so a cell holding a third of the table is
+ranked by many tasks, and the kernel sums are partial aggregates.
 """
 
 from __future__ import annotations

@@ -6,9 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
+from marketlens.operators import skew
 from marketlens.functions import epoch_date
 
 # time_bucket origin for day/week widths: Monday 2000-01-03 00:00 UTC.
@@ -115,11 +117,27 @@ def facets(catalog: DataFrame) -> DataFrame:
 
 
 def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salt_col: str,
-                    salt_buckets: int = 64) -> DataFrame:
-    """Exact top-n per group in two rounds: top-n within (group, salt) first,
-    then within the group over at most salt_buckets * n survivors. A group
-    with a third of all rows is ranked by salt_buckets tasks, not one."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets)))
+                    rows_per_task: int = skew.ROWS_PER_TASK, max_hot_keys: int = skew.MAX_HOT_KEYS) -> DataFrame:
+    """Exact top-n per group (``rank`` 1..n).
+
+    Groups larger than ``rows_per_task`` (at most ``max_hot_keys`` of them,
+    the largest; any other group is then at most total/max_hot_keys rows) are
+    salted into ceil(size / rows_per_task) buckets by a hash of ``salt_col``:
+    top-n is taken within (group, bucket) first, then within the group over at
+    most buckets x n survivors. Without hot groups it is one window pass."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
+    hot = (counts.where(F.col("_cnt") > F.lit(rows_per_task))
+           .orderBy(F.col("_cnt").desc(), F.col(group)).limit(max_hot_keys))
+    hot_rows = hot.collect()  # bounded by max_hot_keys
+    if not hot_rows:
+        w = Window.partitionBy(group).orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    buckets = df.sparkSession.createDataFrame(
+        [(r[0], int(-(-r["_cnt"] // rows_per_task))) for r in hot_rows],
+        T.StructType([df.schema[group], T.StructField("_buckets", T.LongType())]))
+    salted = (df.join(F.broadcast(buckets), group, "left")
+              .withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.coalesce(F.col("_buckets"), F.lit(1))))
+              .drop("_buckets"))
     w1 = Window.partitionBy(group, "_salt").orderBy(*order)
     cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_salt")
     w2 = Window.partitionBy(group).orderBy(*order)

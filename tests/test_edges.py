@@ -120,12 +120,15 @@ def test_salted_top_n_equals_plain_window(spark):
     rows = [Row(market_id="hot" if i % 3 else f"m{i % 5}", address=i % 997, role="maker", usd_amount=float((i * 37) % 101),
                 token_amount=1.0, price=0.5) for i in range(5000)]
     u = spark.createDataFrame(rows)
-    got = {(r["market_id"], r["rank"], r["address"]) for r in R.whales(u, None, 10).collect()}
     t = R.whale_totals(u)
+    order = [F.col("total_usd_volume").desc(), F.col("address"), F.col("role")]
+    got = {(r["market_id"], r["rank"], r["address"])
+           for r in R.top_n_per_group(t, "market_id", order, 10, "address", rows_per_task=50).collect()}
+    plain = {(r["market_id"], r["rank"], r["address"]) for r in R.whales(u, None, 10).collect()}
     w = Window.partitionBy("market_id").orderBy(F.col("total_usd_volume").desc(), "address", "role")
     want = {(r["market_id"], r["rank"], r["address"])
             for r in t.withColumn("rank", F.row_number().over(w)).where("rank <= 10").collect()}
-    assert got == want
+    assert got == want and plain == want
 
 
 def test_split_requires_divisible(spark):

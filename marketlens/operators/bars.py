@@ -68,11 +68,12 @@ def market_quality(bins: DataFrame) -> DataFrame:
            .where((pos >= mid_lo) & (pos < mid_hi))
            .groupBy(KEY).agg(F.sum("trade_count").alias("mid_trades")))
     q = span.join(mid, KEY, "left").withColumn("mid_trades", F.coalesce("mid_trades", F.lit(0)))
-    price_range = F.coalesce(F.col("p_max") - F.col("p_min"), F.lit(0.0))
+    # a market is dropped only when its known price range is too narrow
+    narrow = F.coalesce(F.col("p_max") - F.col("p_min") < F.lit(K.MIN_PRICE_RANGE), F.lit(False))
     dead = ((F.col("n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("n_trades") > 0)
             & (F.col("mid_trades") / F.col("n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
     keep = ((F.col("n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))
-            & (price_range >= F.lit(K.MIN_PRICE_RANGE)) & (F.col("n_bins") >= K.MIN_BINS) & ~dead
+            & ~narrow & (F.col("n_bins") >= K.MIN_BINS) & ~dead
             & (F.col("n_bins") > K.FINAL_MIN_BINS) & (F.col("n_trades") >= K.FINAL_MIN_TRADES))
     return q.withColumn("dead_middle", dead).withColumn("keep", keep)
 
@@ -139,7 +140,7 @@ def dense_series(bins: DataFrame) -> DataFrame:
     dead = ((F.col("_n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("_n_trades") > 0)
             & (F.col("_mid") / F.col("_n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
     keep = ((F.col("_n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("_usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))
-            & (F.coalesce(F.col("_range"), F.lit(0.0)) >= F.lit(K.MIN_PRICE_RANGE))
+            & ~F.coalesce(F.col("_range") < F.lit(K.MIN_PRICE_RANGE), F.lit(False))
             & (F.col("_n_bins") >= K.MIN_BINS) & ~dead
             & (F.col("_n_bins") > K.FINAL_MIN_BINS) & (F.col("_n_trades") >= K.FINAL_MIN_TRADES))
     b = b.where(keep)

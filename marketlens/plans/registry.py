@@ -330,7 +330,7 @@ quality AS (
 ),
 kept AS (
     SELECT * FROM quality
-    WHERE n_trades >= 50 AND coalesce(usd, 0) >= 5000 AND coalesce(p_max - p_min, 0) >= 0.10
+    WHERE n_trades >= 50 AND coalesce(usd, 0) >= 5000 AND NOT coalesce(p_max - p_min < 0.10, false)
       AND n_bins >= 24 AND NOT dead_middle AND n_bins > 10
 ),
 grid AS (SELECT market_id, unnest(generate_series(min_bin, max_bin)) AS bin FROM kept),

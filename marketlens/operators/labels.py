@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import constants as K
 from marketlens.functions import duck_round
 from marketlens.operators.rollups import top_n_per_group
+from marketlens.session import write_table
 
 
 def require_columns(df: DataFrame, cols) -> None:
@@ -87,8 +88,10 @@ def _safe_div(a, b):
 def classification_report(df: DataFrame, cls: list[str] | None = None, label: str = "label",
                           pred: str = "predicted_label", digits: int = 4) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy,
-    macro and weighted averages; 0 where undefined; rounded to ``digits``."""
-    cm = confusion(df, cls, label, pred)
+    macro and weighted averages; 0 where undefined; rounded to ``digits``.
+    The confusion table (classes x classes rows) is written once, so the
+    labelled rows are aggregated a single time for all the report's parts."""
+    cm = write_table(confusion(df, cls, label, pred), "confusion")
     tp = cm.where(F.col("true_label") == F.col("pred_label")).select(F.col("true_label").alias("cls"), F.col("n").alias("tp"))
     sup = cm.groupBy(F.col("true_label").alias("cls")).agg(F.sum("n").alias("support"))
     prd = cm.groupBy(F.col("pred_label").alias("cls")).agg(F.sum("n").alias("predicted"))

@@ -117,3 +117,40 @@ def test_dense_series_equals_pandas(spark):
         assert (yc, nc, tc) == (r["yes_count"], r["no_count"], r["trade_count"]), k
     flat = [r["zscore"] for k, r in got.items() if k[0] == "flat"]
     assert set(flat) == {0.0}
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@st.composite
+def _random_market_rows(draw):
+    rows = []
+    for m in ("m1", "m2", "m3"):
+        n = draw(st.integers(min_value=45, max_value=90))
+        span = draw(st.integers(min_value=20, max_value=60)) * 1800
+        times = sorted(draw(st.lists(st.integers(min_value=0, max_value=span), min_size=n, max_size=n)))
+        prices = draw(st.lists(st.sampled_from([0.1, 0.25, 0.4, 0.5, 0.55, 0.7, 0.9, None]), min_size=n, max_size=n))
+        for i, (t, p) in enumerate(zip(times, prices)):
+            rows.append((m, 1_704_067_200 + t, i, p, 150.0))
+    return rows
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture,
+                                                                 HealthCheck.too_slow])
+@given(_random_market_rows())
+def test_random_markets_equal_pandas_split_and_unsplit(spark, rows):
+    quant = spark.createDataFrame(rows, "market_id string, timestamp long, seq long, price double, usd_amount double")
+    markets = spark.createDataFrame(
+        [(i, "q", "Stochastic", 1704067200, 1704067200 + 5 * 86400, '[{"slug":"crypto","label":"Crypto"}]')
+         for i in ("m1", "m2", "m3")],
+        "id string, question string, predicted_label string, created_s long, end_s long, event_tags_json string")
+    want = {(m, bn): v for m, bn, *v in _brute(rows)}
+    for chunking in (None, {"rows_per_task": 10, "chunks_per_key": 8}):
+        got = {(r["market_id"], r["bin"]): r for r in TS.build(quant, markets, chunking=chunking).dense.collect()}
+        assert got.keys() == want.keys()
+        for k, (p, z, y, n, yc, nc, tc) in want.items():
+            r = got[k]
+            assert _close(p, r["price"]) and _close(z, r["zscore"]), (chunking, k, p, r["price"], z, r["zscore"])
+            assert _close(y, r["yes_volume"]) and _close(n, r["no_volume"]), k
+            assert (yc, nc, tc) == (r["yes_count"], r["no_count"], r["trade_count"]), k

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import certainty_score, safe_bigint
 from marketlens.operators import skew
-from marketlens.operators.joins import join_small
+from marketlens.operators.joins import fits_broadcast, join_small
 
 ORDER = ("timestamp", "block_number", "log_index")
 
@@ -26,13 +26,13 @@ def eligible_markets(markets: DataFrame) -> DataFrame:
     )
 
 
-def normalize_trades(trades: DataFrame, markets: DataFrame) -> DataFrame:
+def normalize_trades(trades: DataFrame, markets: DataFrame, markets_fit: bool | None = None) -> DataFrame:
     """Keep trades on one of the market's two tokens; price as the YES
     side (token1 -> p, token2 -> 1 - p). Only (id, token1, token2) of the
     market table is joined, sized-checked for broadcast."""
     slim = markets.select(safe_bigint("id").alias("market_id"), "token1", "token2")
     t = trades.select(safe_bigint("market_id").alias("market_id"), *ORDER, "asset_id", "price", "usd_amount")
-    j = join_small(t, slim, "market_id", "inner")
+    j = join_small(t, slim, "market_id", "inner", fits=markets_fit)
     j = j.where((F.col("asset_id") == F.col("token1")) | (F.col("asset_id") == F.col("token2")))
     p = (F.when(F.col("asset_id") == F.col("token1"), F.col("price"))
          .when(F.col("asset_id") == F.col("token2"), F.lit(1.0) - F.col("price")))
@@ -95,9 +95,11 @@ def certainty(trades: DataFrame, markets: DataFrame, *, chunking: dict | None =
     """market_uncertainty rows (market_id BIGINT, question, volume,
     last_price, uncertainty_last, twap, uncertainty_twap, vwap,
     uncertainty_vwap, outcome_prices, predicted_label, event_tags_json)."""
-    stats = market_price_stats(normalize_trades(trades, markets), chunking=chunking)
+    # one size check of the market table serves both joins against it
+    fit = fits_broadcast(markets)
+    stats = market_price_stats(normalize_trades(trades, markets, fit), chunking=chunking)
     attrs = eligible_markets(markets).drop("token1", "token2")
-    out = join_small(stats, attrs, "market_id", "inner")
+    out = join_small(stats, attrs, "market_id", "inner", fits=fit)
     return out.select(
         "market_id", "question", "volume", "last_price",
         certainty_score("last_price").alias("uncertainty_last"),

@@ -71,7 +71,7 @@ def market_quality(bins: DataFrame) -> DataFrame:
     # a market is dropped only when its known price range is too narrow
     narrow = F.coalesce(F.col("p_max") - F.col("p_min") < F.lit(K.MIN_PRICE_RANGE), F.lit(False))
     dead = ((F.col("n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("n_trades") > 0)
-            & (F.col("mid_trades") / F.col("n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
+            & (F.try_divide(F.col("mid_trades"), F.col("n_trades")) < F.lit(K.DEAD_MIDDLE_SHARE)))
     keep = ((F.col("n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))
             & ~narrow & (F.col("n_bins") >= K.MIN_BINS) & ~dead
             & (F.col("n_bins") > K.FINAL_MIN_BINS) & (F.col("n_trades") >= K.FINAL_MIN_TRADES))
@@ -138,7 +138,7 @@ def dense_series(bins: DataFrame) -> DataFrame:
         "_mid": F.sum(F.when(in_mid, F.col("trade_count")).otherwise(F.lit(0))).over(whole),
     })
     dead = ((F.col("_n_bins") > K.DEAD_MIDDLE_MIN_BINS) & (F.col("_n_trades") > 0)
-            & (F.col("_mid") / F.col("_n_trades") < F.lit(K.DEAD_MIDDLE_SHARE)))
+            & (F.try_divide(F.col("_mid"), F.col("_n_trades")) < F.lit(K.DEAD_MIDDLE_SHARE)))
     keep = ((F.col("_n_trades") >= K.MIN_TRADES) & (F.coalesce(F.col("_usd"), F.lit(0.0)) >= F.lit(K.MIN_USD))
             & ~F.coalesce(F.col("_range") < F.lit(K.MIN_PRICE_RANGE), F.lit(False))
             & (F.col("_n_bins") >= K.MIN_BINS) & ~dead

@@ -86,7 +86,7 @@ def market_price_stats(norm: DataFrame, *, chunking: dict | None = None) -> Data
     vwap = F.when(F.col("volume") == 0, F.lit(None)).otherwise(F.col("pv") / F.col("volume"))
     span = (F.col("t_max") - F.col("t_min")).cast("double")
     twap = (F.when(F.col("n") == 1, F.col("any_p"))
-            .when(F.col("t_max") == F.col("t_min"), F.col("sum_p") / F.col("cnt_p"))
+            .when(F.col("t_max") == F.col("t_min"), F.try_divide(F.col("sum_p"), F.col("cnt_p")))
             .otherwise(F.col("held") / span))
     return agg.select("market_id", "volume", "last_price", vwap.alias("vwap"), twap.alias("twap"))
 

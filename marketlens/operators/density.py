@@ -75,7 +75,8 @@ def ridgeline_density(scores: DataFrame, grid: int = K.RIDGELINE_GRID, min_n: in
     distinct_c = sample.groupBy("type", "band", "c").agg(F.count(F.lit(1)).alias("w"))
     pts = distinct_c.join(F.broadcast(bw), ["type", "band"]).select(
         "type", "band", "c", "w", "m", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
-    u = (F.col("k") / F.lit(float(grid - 1)) - F.col("c")) / F.col("h")
+    # h > 0 for drawable cells unless the capped sample is constant: then NULL
+    u = F.try_divide(F.col("k") / F.lit(float(grid - 1)) - F.col("c"), F.col("h"))
     dens = pts.groupBy("type", "band", "k").agg(
         (F.sum(F.col("w") * F.exp(F.lit(-0.5) * u * u))
          / (F.first("m") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("_d"))

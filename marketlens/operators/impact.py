@@ -20,13 +20,14 @@ def fit_impact(bins: DataFrame) -> DataFrame:
     n = F.col("ols_n").cast("double")
     sy, sn, sz = F.col("ols_y"), F.col("ols_n1"), F.col("ols_z")
     # centred second moments
-    cyy = F.col("ols_yy") - sy * sy / n
-    cnn = F.col("ols_nn") - sn * sn / n
-    cyn = F.col("ols_yn") - sy * sn / n
-    cyz = F.col("ols_yz") - sy * sz / n
-    cnz = F.col("ols_nz") - sn * sz / n
+    # guarded divisions: ANSI mode raises on x / 0, and n = 0 means no data
+    cyy = F.col("ols_yy") - F.try_divide(sy * sy, n)
+    cnn = F.col("ols_nn") - F.try_divide(sn * sn, n)
+    cyn = F.col("ols_yn") - F.try_divide(sy * sn, n)
+    cyz = F.col("ols_yz") - F.try_divide(sy * sz, n)
+    cnz = F.col("ols_nz") - F.try_divide(sn * sz, n)
     det = cyy * cnn - cyn * cyn
     ok = (F.col("ols_n") > 0) & (det != 0)
-    b_yes = F.when(ok, (cnn * cyz - cyn * cnz) / det).otherwise(F.lit(K.DEFAULT_YES_IMPACT))
-    b_no = F.when(ok, (cyy * cnz - cyn * cyz) / det).otherwise(F.lit(K.DEFAULT_NO_IMPACT))
+    b_yes = F.when(ok, F.try_divide(cnn * cyz - cyn * cnz, det)).otherwise(F.lit(K.DEFAULT_YES_IMPACT))
+    b_no = F.when(ok, F.try_divide(cyy * cnz - cyn * cyz, det)).otherwise(F.lit(K.DEFAULT_NO_IMPACT))
     return s.select(F.col("ols_n").alias("n"), b_yes.alias("yes_impact"), b_no.alias("no_impact"))

@@ -136,7 +136,7 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None)
     cstats = tails.select(KEY, skew.CHUNK).join(F.broadcast(mstats), KEY, "inner")
     q = q.join(F.broadcast(cstats), [KEY, skew.CHUNK], "left")
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
-    z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
+    z = F.try_divide(F.col("roll_std") - F.col("_rm"), F.col("_rs"))
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
     q = q.withColumns({"zscore": F.when(flat, F.lit(0.0)).otherwise(clipped)})
 
@@ -168,7 +168,7 @@ def _features_whole_markets(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
     })
     q = q.withColumns({"_rm": F.avg("roll_std").over(whole), "_rs": F.stddev_samp("roll_std").over(whole)})
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
-    z = (F.col("roll_std") - F.col("_rm")) / F.col("_rs")
+    z = F.try_divide(F.col("roll_std") - F.col("_rm"), F.col("_rs"))
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
     q = q.withColumns({"zscore": F.when(flat, F.lit(0.0)).otherwise(clipped)})
     q = q.withColumns({"future_z": F.lead("zscore").over(w)})

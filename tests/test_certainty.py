@@ -57,3 +57,9 @@ def test_hot_key_chunks_match_unsplit(spark):
         s = split[k]
         for c in ("volume", "last_price", "twap", "vwap"):
             assert abs(r[c] - s[c]) < 1e-9, (k, c, r[c], s[c])
+
+
+def test_null_prices_at_one_instant_give_null_twap(spark):
+    trades = _trades(spark, [("5", 100, 1, 0, "Y", None, 1.0), ("5", 100, 1, 1, "Y", None, 2.0)])
+    out = _by_id(C.certainty(trades, _markets(spark, ["5"])))
+    assert out[5]["twap"] is None and out[5]["last_price"] is None and out[5]["volume"] == 3.0

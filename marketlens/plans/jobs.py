@@ -8,7 +8,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marketlens.operators import certainty as C
 from marketlens.plans import timeseries as TS
@@ -56,4 +55,4 @@ def pushed_filters(df: DataFrame) -> str:
     return "\n".join(line for line in plan.splitlines() if "PushedFilters" in line)
 
 
-__all__ = ["certainty_job", "timeseries_job", "market_series", "pushed_filters", "F"]
+__all__ = ["certainty_job", "timeseries_job", "market_series", "pushed_filters"]

@@ -117,15 +117,20 @@ def facets(catalog: DataFrame) -> DataFrame:
 
 
 def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salt_col: str,
-                    rows_per_task: int = skew.ROWS_PER_TASK, max_hot_keys: int = skew.MAX_HOT_KEYS) -> DataFrame:
+                    rows_per_task: int = skew.ROWS_PER_TASK, max_hot_keys: int = skew.MAX_HOT_KEYS,
+                    sizes: DataFrame | None = None) -> DataFrame:
     """Exact top-n per group (``rank`` 1..n).
 
     Groups larger than ``rows_per_task`` (at most ``max_hot_keys`` of them,
     the largest; any other group is then at most total/max_hot_keys rows) are
     salted into ceil(size / rows_per_task) buckets by a hash of ``salt_col``:
     top-n is taken within (group, bucket) first, then within the group over at
-    most buckets x n survivors. Without hot groups it is one window pass."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
+    most buckets x n survivors. Without hot groups it is one window pass.
+
+    ``sizes`` (group, _cnt) may give upper bounds of the group sizes from a
+    cheaper source (e.g. raw rows before an aggregation); over-estimates only
+    add buckets."""
+    counts = sizes if sizes is not None else df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
     hot = (counts.where(F.col("_cnt") > F.lit(rows_per_task))
            .orderBy(F.col("_cnt").desc(), F.col(group)).limit(max_hot_keys))
     hot_rows = hot.collect()  # bounded by max_hot_keys
@@ -155,7 +160,9 @@ def whales(users: DataFrame, market_id: str | None = None, n: int = K.TOP_WHALES
     within each market (or one market when ``market_id`` is given)."""
     u = users if market_id is None else users.where(F.col("market_id") == F.lit(market_id))
     order = [F.col("total_usd_volume").desc(), F.col("address"), F.col("role")]
-    return top_n_per_group(whale_totals(u), "market_id", order, n, salt_col="address")
+    # raw trade rows per market bound its (address, role) groups from above
+    sizes = u.groupBy("market_id").agg(F.count(F.lit(1)).alias("_cnt"))
+    return top_n_per_group(whale_totals(u), "market_id", order, n, salt_col="address", sizes=sizes)
 
 
 def role_distribution(users: DataFrame, market_id: str | None = None) -> DataFrame:

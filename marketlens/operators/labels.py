@@ -213,7 +213,9 @@ def evaluate_holdout(holdout: DataFrame, model, known: list[str], text: str = "q
     over the known classes (D16-D18)."""
     require_columns(holdout, [text, label])
     known_df = holdout.sparkSession.createDataFrame([(k,) for k in known], "label string")
-    unknown = [r[0] for r in unknown_labels(holdout.select(F.col(label).alias("label")), known_df).collect()]
+    # the error message lists at most 50 of the unknown labels
+    unknown = [r[0] for r in unknown_labels(holdout.select(F.col(label).alias("label")), known_df)
+               .orderBy("label").limit(50).collect()]
     if unknown:
         raise ValueError(f"holdout has labels not seen in training data: {sorted(unknown)}; "
                          f"training labels: {sorted(known)}")

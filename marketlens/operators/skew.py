@@ -38,29 +38,43 @@ def assign_chunks(df: DataFrame, key: str, time_col: str, **kw) -> DataFrame:
     return split_hot_keys(df, key, time_col, **kw)[0]
 
 
-def split_hot_keys(df: DataFrame, key: str, time_col: str, *, rows_per_task: int = ROWS_PER_TASK,
-                   max_hot_keys: int = MAX_HOT_KEYS, chunks_per_key: int = CHUNKS_PER_KEY) -> tuple[DataFrame, bool]:
+def split_hot_keys(df: DataFrame, key: str, time_col: str, **kw) -> tuple[DataFrame, bool]:
     """``assign_chunks`` plus whether any key was split (when none was, every
     key is one chunk and callers may use plain per-key windows)."""
+    splits = hot_key_splits(df, key, time_col, **kw)
+    return apply_splits(df, key, time_col, splits), splits is not None
+
+
+def hot_key_splits(df: DataFrame, key: str, time_col: str, *, rows_per_task: int = ROWS_PER_TASK,
+                   max_hot_keys: int = MAX_HOT_KEYS, chunks_per_key: int = CHUNKS_PER_KEY) -> DataFrame | None:
+    """The split points of the hot keys (key, _splits), or None when no key
+    holds more than ``rows_per_task`` rows. ``df`` may be a superset of the
+    rows that will be split (extra keys only add unused split points)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = (counts.where(F.col("_n") > F.lit(rows_per_task))
            .orderBy(F.col("_n").desc(), F.col(key)).limit(max_hot_keys).select(key))
     # The hot-key list is bounded by max_hot_keys: a safe, small driver read.
     hot_keys = [r[0] for r in hot.collect()]
     if not hot_keys:
-        return df.withColumns({CHUNK: F.lit(0), HOT: F.lit(False)}), False
+        return None
     fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
-    splits = (df.where(F.col(key).isin(hot_keys))
+    return (df.where(F.col(key).isin(hot_keys))
               .groupBy(key)
               .agg(F.percentile_approx(F.col(time_col), fractions, max(10000, 20 * chunks_per_key))
                    .alias("_splits")))
+
+
+def apply_splits(df: DataFrame, key: str, time_col: str, splits: DataFrame | None) -> DataFrame:
+    """Add ``_chunk`` (quantile slot of ``time_col`` for hot keys, else 0)
+    and ``_hot``."""
+    if splits is None:
+        return df.withColumns({CHUNK: F.lit(0), HOT: F.lit(False)})
     chunk = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col(time_col))), F.lit(0))
     # Keys outside the split table get _splits = NULL -> chunk 0.
-    out = (df.join(F.broadcast(splits), key, "left")
-             .withColumns({CHUNK: F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"),
-                           HOT: F.col("_splits").isNotNull()})
-             .drop("_splits"))
-    return out, True
+    return (df.join(F.broadcast(splits), key, "left")
+              .withColumns({CHUNK: F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"),
+                            HOT: F.col("_splits").isNotNull()})
+              .drop("_splits"))
 
 
 def chunk_window(key: str, *order: str | Column) -> Window:

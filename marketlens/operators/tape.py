@@ -48,17 +48,23 @@ def _std_of_last(arr: Column, n: int) -> Column:
     return F.when(F.size(arr) >= n, F.when(ok, F.sqrt(ss / F.lit(float(n - 1)))))
 
 
+_DETECT = object()
+
+
 def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking: dict | None = None,
-                   cache: list | None = None) -> DataFrame:
+                   cache: list | None = None, splits=_DETECT) -> DataFrame:
     """Per trade: price_diff, yes_vol, no_vol, is_yes, ret, roll_std, zscore,
     future_z (next trade's z) plus the input columns.
 
     Ordinary markets use one window partition per market. Rows of hot markets
     take the chunked plan; when ``cache`` is a list, its two branch points are
     persisted (and appended to ``cache`` for the caller to release) so the
-    hot rows are shuffled once instead of once per branch.
+    hot rows are shuffled once instead of once per branch. ``splits`` passes
+    the result of ``skew.hot_key_splits`` when the caller already has it.
     """
-    q, split = skew.split_hot_keys(quant, KEY, order[0], **(chunking or {}))
+    if splits is _DETECT:
+        splits = skew.hot_key_splits(quant, KEY, order[0], **(chunking or {}))
+    q, split = skew.apply_splits(quant, KEY, order[0], splits), splits is not None
     cols = quant.columns
     if not split:
         return _features_whole_markets(q.drop(skew.CHUNK, skew.HOT), order)

@@ -9,6 +9,7 @@ steps, and survives the loss of executors.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from marketlens.operators import bars as B
 from marketlens.operators import enrich as EN
 from marketlens.operators import forecast as FC
 from marketlens.operators import impact as IM
+from marketlens.operators import skew
 from marketlens.operators import tape as TP
 from marketlens.operators.joins import fits_broadcast, join_small
 from marketlens.session import write_table
@@ -51,10 +53,18 @@ class TimeSeriesBuild:
 
     @cached_property
     def features(self) -> DataFrame:
-        """Per trade features of the viable markets."""
-        q = restrict_to(self._quant, self.catalog, fits=self.catalog_fits_broadcast)
+        """Per trade features of the viable markets. The catalog size check and
+        the hot-market detection (on the unrestricted tape: a superset only adds
+        unused split points) are independent jobs and run concurrently."""
+        quant = self._quant.withColumn("market_id", F.col("market_id").cast("string"))
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            fits = pool.submit(lambda: self.catalog_fits_broadcast)
+            splits = pool.submit(skew.hot_key_splits, quant, "market_id", self._order[0], **(self._chunking or {}))
+            fits.result()
+            hot = splits.result()
+        q = restrict_to(quant, self.catalog, fits=self.catalog_fits_broadcast)
         return TP.trade_features(q, order=self._order, chunking=self._chunking,
-                                 cache=self._cached if self._checkpoint else None)
+                                 cache=self._cached if self._checkpoint else None, splits=hot)
 
     @cached_property
     def bins(self) -> DataFrame:

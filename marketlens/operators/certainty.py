@@ -8,6 +8,8 @@ wide text columns never travel with trades.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,19 @@ def normalize_trades(trades: DataFrame, markets: DataFrame, markets_fit: bool |
     return j.select("market_id", *ORDER, p.alias("p"), "usd_amount")
 
 
-def market_price_stats(norm: DataFrame, *, chunking: dict | None = None) -> DataFrame:
+_DETECT = object()
+
+
+def market_price_stats(norm: DataFrame, *, chunking: dict | None = None, splits=_DETECT) -> DataFrame:
     """D5a-d per market from normalised trades (market_id, ORDER..., p, usd_amount).
 
     Hot markets are split into time-ordered chunks; the lead() of the last
     trade of a chunk is the first trade of the next chunk, restored from a
     one-row-per-chunk summary, so the TWAP numerator is exact.
     """
-    t = skew.assign_chunks(norm, "market_id", "timestamp", **(chunking or {}))
+    if splits is _DETECT:
+        splits = skew.hot_key_splits(norm, "market_id", "timestamp", **(chunking or {}))
+    t = skew.apply_splits(norm, "market_id", "timestamp", splits)
     w = skew.chunk_window("market_id", *ORDER)
     t = t.withColumn("_next_ts", F.lead("timestamp").over(w))
     order_struct = F.struct(*ORDER)
@@ -95,9 +102,15 @@ def certainty(trades: DataFrame, markets: DataFrame, *, chunking: dict | None =
     """market_uncertainty rows (market_id BIGINT, question, volume,
     last_price, uncertainty_last, twap, uncertainty_twap, vwap,
     uncertainty_vwap, outcome_prices, predicted_label, event_tags_json)."""
-    # one size check of the market table serves both joins against it
-    fit = fits_broadcast(markets)
-    stats = market_price_stats(normalize_trades(trades, markets, fit), chunking=chunking)
+    # One size check of the market table serves both joins against it; it and
+    # the hot-market detection (on all trades: a superset only adds unused
+    # split points) are independent jobs and run concurrently.
+    keys = trades.select(safe_bigint("market_id").alias("market_id"), "timestamp")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fit_f = pool.submit(fits_broadcast, markets)
+        splits_f = pool.submit(skew.hot_key_splits, keys, "market_id", "timestamp", **(chunking or {}))
+        fit, splits = fit_f.result(), splits_f.result()
+    stats = market_price_stats(normalize_trades(trades, markets, fit), chunking=chunking, splits=splits)
     attrs = eligible_markets(markets).drop("token1", "token2")
     out = join_small(stats, attrs, "market_id", "inner", fits=fit)
     return out.select(

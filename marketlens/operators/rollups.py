@@ -165,8 +165,15 @@ def whales(users: DataFrame, market_id: str | None = None, n: int = K.TOP_WHALES
     return top_n_per_group(whale_totals(u), "market_id", order, n, salt_col="address", sizes=sizes)
 
 
-def role_distribution(users: DataFrame, market_id: str | None = None) -> DataFrame:
-    """D3: exact distinct addresses and total usd per role (per market)."""
+def role_distribution(users: DataFrame, market_id: str | None = None, approx_rsd: float | None = None) -> DataFrame:
+    """D3: distinct addresses and total usd per role (per market). Exact by
+    default; with ``approx_rsd`` the distinct count is a HyperLogLog++
+    estimate with that relative standard deviation (bounded state per group,
+    column named ``approx_unique_users``)."""
     u = users if market_id is None else users.where(F.col("market_id") == F.lit(market_id))
+    if approx_rsd is not None:
+        return u.groupBy("market_id", "role").agg(
+            F.approx_count_distinct("address", approx_rsd).alias("approx_unique_users"),
+            F.sum("usd_amount").alias("total_volume"))
     return u.groupBy("market_id", "role").agg(
         F.countDistinct("address").alias("unique_users"), F.sum("usd_amount").alias("total_volume"))

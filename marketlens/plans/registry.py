@@ -204,6 +204,12 @@ def q_role_distribution(spark, sf_dir):
     return round_doubles(R.role_distribution(fx.fx_users(spark, sf_dir)), 4)
 
 
+@register("role_distribution_approx")
+def q_role_distribution_approx(spark, sf_dir):
+    """D3 with a HyperLogLog++ distinct count (an estimate: no SQL oracle)."""
+    return round_doubles(R.role_distribution(fx.fx_users(spark, sf_dir), approx_rsd=0.02), 4)
+
+
 def _bars_sql(interval: str) -> str:
     return with_fixtures(["fx_quant"], f"""
 SELECT market_id, CAST(epoch(time_bucket(INTERVAL '{interval}', make_timestamp(timestamp * 1000000))) AS BIGINT) AS time_window,

@@ -47,3 +47,14 @@ def test_evaluate_holdout_from_csv(spark):
     bad = hold.withColumn("label", F.lit("unknown-label"))
     with pytest.raises(ValueError):
         LB.evaluate_holdout(bad, model, known)
+
+
+def test_approx_role_distribution_close_to_exact(spark):
+    from marketlens.operators import rollups as R
+    u = fx.fx_users(spark, SF01)
+    exact = {(r["market_id"], r["role"]): r["unique_users"] for r in R.role_distribution(u).collect()}
+    approx = {(r["market_id"], r["role"]): r["approx_unique_users"]
+              for r in R.role_distribution(u, approx_rsd=0.02).collect()}
+    assert exact.keys() == approx.keys()
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(2, 0.1 * v)

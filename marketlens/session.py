@@ -7,7 +7,6 @@ shared ``spark.checkpoint.dir``) and only fills gaps for local runs and tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,10 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    # Small local inputs: let AQE keep several CPU-bound window tasks instead of
-    # coalescing a few MB of shuffle output into one task.
-    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-    builder = builder.config("spark.driver.memory", "16g")
+    builder = builder.config("spark.driver.memory", "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -46,36 +42,48 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to a shared file system path; only
-    when it is unset (local tests) is a scratch folder created.
+    On a cluster it must be set to a path that the driver and all executors
+    share; where it is unset, only a purely local master (one machine) gets a
+    scratch folder and any other master is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="marketlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:
-        spark.sparkContext.setCheckpointDir(path)
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
     except Exception:  # sessions without a local SparkContext (Spark Connect)
         pass
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, removed when the
+    application ends (Hadoop's delete-on-exit)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens/{name}-{uuid.uuid4().hex}"
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    except Exception:  # sessions without a JVM handle (Spark Connect)
+        pass
+    return path
 
-    Used where a result is consumed by several later stages; a lost executor
-    then re-reads the checkpoint instead of recomputing the whole lineage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: one job computes it, later steps read files with known sizes, and
     a lost executor re-reads the files instead of recomputing the lineage."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "marketlens", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

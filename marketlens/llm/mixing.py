@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     p = plan(docs, id_col, text_col, source_col, keep=tuple(docs.columns))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col("kept")[text_col], F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), 0), 1,
                                 F.col("extra").cast("int")), "")
-    whole = F.col("epochs") + F.when((F.col("extra") == F.col("size")) & ((F.col("size") > 0) | (F.col("epochs") == 0)), 1).otherwise(0)
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0))
     rows = F.array_repeat(F.lit(True), whole.cast("int"))
     cut = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
     out = p.withColumn("whole", F.explode(F.concat(rows, cut)))

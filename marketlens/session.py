@@ -26,6 +26,10 @@ DEFAULT_CONF = {
 }
 
 
+#: Spark's setting to drop an execution's shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "marketlens") -> SparkSession:
     """A local session for tests and benchmarks (cluster jobs bring their own)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -84,6 +88,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: one job computes it, later steps read files with known sizes, and
     a lost executor re-reads the files instead of recomputing the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    old = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")  # the written table replaces the shuffle files behind it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, old)
+    return spark.read.schema(df.schema).parquet(path)

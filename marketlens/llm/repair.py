@@ -52,7 +52,7 @@ RULES_PER_ROUND = 4096
 LEAST_SAVED = 0.01
 MAX_ROUNDS = 24
 
-_HEAD = struct.Struct("<4s6IQ")
+_HEAD = "<4s6IQ"
 _SLOTS = 20
 
 
@@ -131,7 +131,7 @@ def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) ->
     base, rules, expands, seq = compress(ids)
     kind = "<u2" if base + len(rules) <= 65_536 else "<u4"
     return b"".join([
-        _HEAD.pack(b"RPG1", base, len(doc_ids), len(rules), len(seq), int(kind[-1]), 0, len(ids)),
+        struct.pack(_HEAD, b"RPG1", base, len(doc_ids), len(rules), len(seq), int(kind[-1]), 0, len(ids)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
         np.asarray(lengths, "<u4").tobytes(), rules.astype(kind).tobytes(), expands.astype("<u4").tobytes(), seq.astype(kind).tobytes(),
     ])
@@ -141,10 +141,10 @@ class Shard:
     """A shard read from its bytes."""
 
     def __init__(self, payload: bytes):
-        magic, self.base, docs, rules, symbols, width, _, self.ids = _HEAD.unpack_from(payload)
+        magic, self.base, docs, rules, symbols, width, _, self.ids = struct.unpack_from(_HEAD, payload)
         if magic != b"RPG1":
             raise ValueError("not a shard of token ids")
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -210,7 +210,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         def row() -> pa.RecordBatch:
             lengths = np.array([len(h) // 4 for h in held], np.int64)
             payload = to_bytes(ids, lengths, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "documents": [len(ids)], "ids": [size], "payload": pa.array([payload], pa.binary())})
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "documents": [len(ids)], "ids": [size], "payload": pa.array([payload], pa.binary())})
 
         for b in batches:
             for i, blob in zip(b.column("id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):

@@ -49,11 +49,12 @@ SHARD_IDS = 1 << 20
 #: rounds end when one saves less than this share of the symbols.
 LEAST_COUNT = 8
 RULES_PER_ROUND = 4096
-LEAST_SAVED = 0.01
+LEAST_SAVED = 0.02
 MAX_ROUNDS = 24
 
 _HEAD = "<4s6IQ"
-_SLOTS = 20
+#: Bits of the slot table, which stays in the processor's cache.
+_SLOTS = 16
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,20 +87,19 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         _, at = np.unique(slot, return_index=True)
         at.sort()
         chosen, slot = chosen[at][: room - made], slot[at][: room - made]
-        pair_of = np.full(1 << _SLOTS, key.dtype.type(0), key.dtype)
+        pair_of = np.zeros(1 << _SLOTS, key.dtype)
         rule_of = np.zeros(1 << _SLOTS, np.int32)
-        pair_of[slot], rule_of[slot] = chosen, np.arange(len(chosen), dtype=np.int32) + 1
-        where = (key * mult) >> shift
-        hit = (pair_of[where] == key) & (rule_of[where] > 0)
-        spots = np.flatnonzero(hit)
+        pair_of[0] = 1  # an empty slot holds a pair that belongs to another: 0 to slot 0, 1 elsewhere
+        pair_of[slot], rule_of[slot] = chosen, np.arange(len(chosen), dtype=np.int32)
+        where = ((key * mult) >> shift).astype(np.int32)
+        spots = np.flatnonzero(pair_of.take(where) == key)
         # runs of overlapping hits: every other one, from the left
         run = np.flatnonzero(np.concatenate([[True], np.diff(spots) > 1])) if len(spots) else spots
         nth = np.arange(len(spots)) - np.repeat(run, np.diff(np.append(run, len(spots))))
         spots = spots[nth % 2 == 0]
-        used = np.bincount(rule_of[where[spots]] - 1, minlength=len(chosen))
-        keep = used >= 2  # rules that overlaps left unused are not stored
+        rule = rule_of[where[spots]]
+        keep = np.bincount(rule, minlength=len(chosen)) >= 2  # rules that overlaps left unused are not stored
         number = np.cumsum(keep) - 1
-        rule = rule_of[where[spots]] - 1
         spots, rule = spots[keep[rule]], number[rule[keep[rule]]]
         if not len(spots):
             break
@@ -137,6 +137,13 @@ def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) ->
     ])
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... up to size[0] of them, then those of the next."""
+    out = np.repeat(begin - np.cumsum(size) + size, size)
+    out += np.arange(len(out))
+    return out
+
+
 class Shard:
     """A shard read from its bytes."""
 
@@ -164,19 +171,32 @@ class Shard:
         inner = self.symbols >= self.base
         size[inner] = self.expands[self.symbols[inner] - self.base]
         self.upto = np.cumsum(size)
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all single symbols and rules in one array, where each begins in it, and its length."""
+        if self._table is None:
+            size = np.concatenate([np.ones(self.base, np.int64), self.expands.astype(np.int64)])
+            begin = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), "<u4")
+            flat[: self.base] = np.arange(self.base)
+            todo, ready = np.arange(len(self.rules)), np.zeros(self.base + len(self.rules), bool)
+            ready[: self.base] = True
+            while len(todo):  # the rules whose two sides are expanded already
+                now = ready[self.rules[todo]].all(axis=1)
+                rules = todo[now]
+                left, right = self.rules[rules].T
+                to = begin[self.base + rules]
+                for side, at in ((left, to), (right, to + size[left])):
+                    flat[_ranges(at, size[side])] = flat[_ranges(begin[side], size[side])]
+                ready[self.base + rules] = True
+                todo = todo[~now]
+            self._table = flat, begin, size
+        return self._table
 
     def _expanded(self, seq: np.ndarray) -> np.ndarray:
-        while True:
-            inner = seq >= self.base
-            if not inner.any():
-                return seq.astype("<u4")
-            n = 1 + inner.astype(np.int64)
-            at = np.cumsum(n) - n
-            out = np.empty(int(n.sum()), np.int64)
-            out[at] = np.where(inner, 0, seq)
-            pairs = self.rules[seq[inner] - self.base]
-            out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
-            seq = out
+        flat, begin, size = self._flat()
+        return flat[_ranges(begin[seq], size[seq])]
 
     def read(self, start: int, n: int) -> np.ndarray:
         """Ids ``start`` to ``start + n`` of the shard, without expanding the others."""

@@ -3,7 +3,7 @@
 The tokenizer splits at white space before anything else looks at the text,
 so its ids for a text are those of its words one after the other. Each worker
 keeps the ids of words it has met (at most ``WORDS`` of them) and hands the
-library only new ones, many at a time. A tokenizer whose file does not show
+library only new ones, many at a time, bare of full stops and commas. A tokenizer whose file does not show
 that property encodes whole texts.
 """
 
@@ -15,6 +15,9 @@ import sys
 import types
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import numpy as np
 
 #: Words kept per worker, and characters encoded at a time.
 WORDS = 1_000_000
@@ -38,6 +41,18 @@ def splits_at_space(path: str) -> bool:
     )
 
 
+def word_ends(path: str, tokenizer) -> np.ndarray | None:
+    """By id, whether the token ends a word; None if the vocabulary does not tell."""
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    return out
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
@@ -48,10 +63,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = splits_at_space(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.ends = word_ends(path, self.tokenizer) if self.by_word else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of single words. Words of letters alone are one piece to the
+        tokenizer; where the last id of a piece shows that it ends a word, they
+        are encoded as one text and cut at those ids."""
+        if self.ends is None or not all(map(str.isalpha, words)):
+            return self._ids(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cut) != len(words) or cut[-1] != ids.nbytes:
+            return self._ids(words)
+        blob = ids.tobytes()
+        return [blob[i:j] for i, j in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of new words into ``known``. Full stops and commas after a
+        letter or digit are pieces of their own, and the case of ASCII letters
+        makes no difference, so the bare word is what is encoded."""
+        known, parts = self.known, []
+        letters, others = set(), set()
+        for w in words:
+            core = w.rstrip(".,")
+            tail = w[len(core) :]
+            if tail and not core[-1:].lower().isalnum():
+                core, tail = w, ""
+            if core.isascii():
+                core = core.lower()
+            parts.append((w, core, tail))
+            if core not in known:
+                (letters if core.isalpha() else others).add(core)
+            if tail and tail not in known:
+                others.add(tail)
+        for group in (list(letters), list(others)):
+            for lo in range(0, len(group), 20_000):
+                part = group[lo : lo + 20_000]
+                known.update(zip(part, self._word_ids(part), strict=True))
+        for w, core, tail in parts:
+            if w not in known:
+                known[w] = known[core] + known[tail] if tail else known[core]
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; about ``CHARS`` characters are worked on at a time."""
         held, size = [], 0
@@ -68,14 +123,12 @@ class Encoder:
             return self._ids(texts)
         known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(known))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            known.update(zip(part, self._ids(part), strict=True))
+        before = len(known)
+        self._learn(list(set().union(*split).difference(known)))
         get = known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(known) > WORDS:  # the words met first are mostly the frequent ones: those stay
-            for w in new:
+            for w in list(islice(reversed(known), len(known) - before)):
                 del known[w]
         return out
 

@@ -84,6 +84,8 @@ def _repeats(chunked: DataFrame) -> DataFrame:
         "chunk", F.xxhash64("chunk").alias("hash"), F.length("chunk").alias("length"), occurrence.alias("at"))
     # two kinds of repeat need no care here: rows equal in id and text give equal occurrences
     twice = c.groupBy("hash", "length").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("hash", "length")
+    # a written table: next to its sums the join could not be split where one chunk is very common
+    twice = write_table(twice, "line-repeats")
     c = write_table(c.join(twice, ["hash", "length"], "left_semi"), "line-chunks")
     first = c.groupBy("hash", "length", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first <> last").drop("last")
     gone = c.join(first, ["hash", "length", "chunk"]).filter("at <> first").select("at.*")

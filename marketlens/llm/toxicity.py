@@ -148,45 +148,41 @@ def features(text: str | None, automaton) -> list[float]:
     ]
 
 
-def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> Lexicon:
-    """The ``TERMS`` strongest terms by (toxic texts with it) x (log ratio)."""
-    scored = []
-    for t, n in toxic.items():
-        if n < LEAST_TEXTS:
-            continue
-        ratio = (n / (n_toxic + 1)) / ((clean.get(t, 0) + 0.5) / (n_clean + 1))
-        if ratio >= LEAST_RATIO:
-            scored.append((-n * float(np.log(ratio)), t, float(np.log(ratio))))
-    scored.sort()
-    return Lexicon({t: w for _, t, w in scored[:TERMS]})
-
-
-def _term_counts(rows: DataFrame) -> pd.DataFrame:
-    """(term, fold, toxic texts, clean texts) of terms in at least ``LEAST_TEXTS`` toxic texts of the sample."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, fold, label, n): texts of the sample with the term, for terms in at least ``LEAST_TEXTS`` toxic texts."""
     spark = rows.sparkSession
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c: Counter = Counter()
-            for fold, text in zip(b["fold"], b["text"], strict=True):
-                c.update((t, fold) for t in terms_of(text))
-            yield pd.DataFrame([(t, f, n) for (t, f), n in c.items()], columns=["term", "fold", "n"])
+    def count(wanted=None):
+        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                c: Counter = Counter()
+                for fold, label, text in zip(b["fold"], b["label"], b["text"], strict=True):
+                    found = terms_of(text)
+                    c.update((t, fold, label) for t in (found if wanted is None else found & wanted.value))
+                yield pd.DataFrame([(t, f, y, n) for (t, f, y), n in c.items()], columns=["term", "fold", "label", "n"])
 
-    toxic = rows.filter("label = 1").mapInPandas(count, "term string, fold int, n long").groupBy("term", "fold").agg(F.sum("n").alias("toxic"))
-    total = toxic.groupBy("term").agg(F.sum("toxic").alias("total")).filter(F.col("total") >= LEAST_TEXTS)
+        return f
+
+    schema = "term string, fold int, label int, n long"
+    toxic = rows.filter("label = 1").mapInPandas(count(), schema)
+    total = toxic.groupBy("term").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_TEXTS)
     # at most 20 candidates per term that is kept in the end, the most frequent first: a bounded list
-    likely = total.orderBy(F.desc("total"), "term").limit(20 * TERMS).select("term").toPandas()["term"]
-    wanted = spark.sparkContext.broadcast(frozenset(likely))
+    likely = total.orderBy(F.desc("total"), "term").limit(20 * TERMS).select("term").collect()
+    wanted = spark.sparkContext.broadcast(frozenset(r["term"] for r in likely))
+    sums = rows.mapInPandas(count(wanted), schema).groupBy("term", "fold", "label").agg(F.sum("n").alias("n"))
+    return write_table(sums, "toxic-terms")
 
-    def count_wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c: Counter = Counter()
-            for fold, label, text in zip(b["fold"], b["label"], b["text"], strict=True):
-                c.update((t, fold, label) for t in terms_of(text) if t in wanted.value)
-            yield pd.DataFrame([(t, f, y, n) for (t, f, y), n in c.items()], columns=["term", "fold", "label", "n"])
 
-    sums = rows.mapInPandas(count_wanted, "term string, fold int, label int, n long").groupBy("term", "fold", "label").agg(F.sum("n").alias("n"))
-    return sums.toPandas()
+def choose_terms(counts: DataFrame, sizes: Counter, without: int | None) -> Lexicon:
+    """The ``TERMS`` strongest terms, by (toxic texts with it) x (log of how
+    much likelier it is in toxic texts), of all folds but ``without``."""
+    n_toxic, n_clean = (sum(n for (f, y), n in sizes.items() if y == k and f != without) for k in (1, 0))
+    c = counts if without is None else counts.filter(F.col("fold") != without)
+    c = c.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((1, "toxic"), (0, "clean"))))
+    ratio = (F.col("toxic") / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    c = c.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    best = c.withColumn("weight", F.log("ratio")).orderBy(F.desc(F.col("toxic") * F.col("weight")), "term").limit(TERMS).select("term", "weight")
+    return Lexicon({r["term"]: r["weight"] for r in best.collect()})
 
 
 def feature_udf(spark: SparkSession, lexicons: list[Lexicon]):
@@ -249,16 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(None, None, [], n_toxic / max(1, n_toxic + n_clean))
 
     counts = _term_counts(rows)
-
-    def lexicon(without: int | None) -> Lexicon:
-        c = counts[counts["fold"] != without] if without is not None else counts
-        sums = c.groupby(["term", "label"])["n"].sum()
-        part = {k: Counter(sums.xs(k, level="label").to_dict()) if k in sums.index.get_level_values("label") else Counter() for k in (1, 0)}
-        left = [sum(n for (f, y), n in sizes.items() if y == k and f != without) for k in (1, 0)]
-        return choose_terms(part[1], part[0], *left)
-
     spark = docs.sparkSession
-    f = feature_udf(spark, [lexicon(i) for i in range(FOLDS)])
+    f = feature_udf(spark, [choose_terms(counts, sizes, i) for i in range(FOLDS)])
     train = write_table(rows.select("id", "label", "fold", f("text", "fold").alias("f")), "toxic-features")
     train = train.withColumn("features", array_to_vector("f")).withColumn("label", F.col("label").cast("double"))
     gbt = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=7, maxBins=64, minInstancesPerNode=2, featuresCol="features", labelCol="label")
@@ -271,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ends = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "label double, p double")
     iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(seen.union(ends))
     steps = list(zip(iso.boundaries.toArray().tolist(), iso.predictions.toArray().tolist(), strict=True))
-    return Model(lexicon(None), trees, steps, 0.0)
+    return Model(choose_terms(counts, sizes, None), trees, steps, 0.0)
 
 
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -85,27 +85,22 @@ class Encoder:
         """Put the ids of new words into ``known``. Full stops and commas after a
         letter or digit are pieces of their own, and the case of ASCII letters
         makes no difference, so the bare word is what is encoded."""
-        known, parts = self.known, []
-        letters, others = set(), set()
-        for w in words:
-            core = w.rstrip(".,")
-            tail = w[len(core) :]
-            if tail and not core[-1:].lower().isalnum():
-                core, tail = w, ""
-            if core.isascii():
-                core = core.lower()
-            parts.append((w, core, tail))
-            if core not in known:
-                (letters if core.isalpha() else others).add(core)
-            if tail and tail not in known:
-                others.add(tail)
-        for group in (list(letters), list(others)):
+        known = self.known
+        bare = [w.rstrip(".,") for w in words]
+        for i, (w, core) in enumerate(zip(words, bare, strict=True)):
+            if len(core) < len(w) and not core[-1:].lower().isalnum():
+                bare[i] = w
+        plain = [core.lower() if core.isascii() else core for core in bare]
+        tails = {w[len(core) :] for w, core in zip(words, bare, strict=True)}
+        new = (set(plain) | tails).difference(known)
+        letters = list(filter(str.isalpha, new))
+        for group in (letters, list(new.difference(letters))):
             for lo in range(0, len(group), 20_000):
                 part = group[lo : lo + 20_000]
                 known.update(zip(part, self._word_ids(part), strict=True))
-        for w, core, tail in parts:
+        for w, core, p in zip(words, bare, plain, strict=True):
             if w not in known:
-                known[w] = known[core] + known[tail] if tail else known[core]
+                known[w] = known[p] + known[w[len(core) :]] if len(core) < len(w) else known[p]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; about ``CHARS`` characters are worked on at a time."""

@@ -2,9 +2,10 @@
 
 A text is its lower-case words; its k-mers are runs of five words, each
 labelled with its occurrence number, so that repeats count. A sketch takes the
-two k-mers smallest under its own hash and keeps them in text order: equal
-sketches need the same k-mers in the same order, which makes them sensitive to
-edit distance. Texts with an equal sketch are candidates; candidates are
+three k-mers smallest under its own hash that lie a fifth of the text apart,
+and keeps them in text order: equal sketches need the same k-mers in the same
+order, which makes them sensitive to edit distance, and the spacing keeps texts
+that merely share a passage out of one another's buckets. Texts with an equal sketch are candidates; candidates are
 verified by word edit distance in a band (similarity 1 - distance / longer
 length, at least 0.8), and verified links form groups by connected components.
 
@@ -12,7 +13,7 @@ Equal texts are one node from the start (by md5), however many copies there
 are. A bucket of equal sketches is cut by length and by place of the first
 k-mer with overlapping cells: two texts within the threshold share at least
 one cell. In a cell of up to ``SMALL`` nodes all pairs are verified; a larger
-one is linked in rounds to its smallest node or, later, nodes: those that
+one is linked in rounds to its most central node or, later, nodes: those that
 match none go on among themselves until all are placed, and in the end nodes
 that failed somewhere are verified against the other groups of their cells. So a large group
 of copies costs one pair per member, and no pair in a shared cell is left out.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,11 +40,12 @@ from marketlens.session import write_table
 
 K = 5
 SIMILARITY = 0.8
-SKETCHES = 32
-#: k-mers per sketch.
-SAMPLED = 2
+SKETCHES = 40
+#: k-mers per sketch, and the share of the text that lies between any two of them.
+SAMPLED = 3
+SPACING = 1 / 5
 #: Nodes in a cell up to which all pairs are verified.
-SMALL = 16
+SMALL = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -58,6 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _MULTIPLIERS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+#: Hash of a k-mer that is not to be sampled.
+_NEVER = np.uint64(2**64 - 1)
 _PLACES = _mix(np.arange(101, 101 + K, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
@@ -95,7 +99,11 @@ def word_hashes(text: str, powers: _Powers) -> np.ndarray:
 
 
 def labelled_kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the k-mers with their occurrence numbers, in text order."""
+    """Hashes of the k-mers with their occurrence numbers, in text order.
+
+    Of a k-mer's occurrences the 1st, 2nd, 4th, 8th ... can be sampled, so that
+    a run of one phrase, however long, weighs little in a sketch.
+    """
     if len(words) < K:
         h = np.array([(words * _PLACES[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))], np.uint64)
     else:
@@ -112,22 +120,27 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
         label = np.empty(len(h), np.uint64)
         label[order] = number
         h = _mix(h + label * _BASE)
+        h[(label & (label + np.uint64(1))) > 0] = _NEVER
     return h
 
 
 def sketches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place of the first k-mer) of each sketch."""
     h = labelled_kmers(words)
-    places = np.empty((SKETCHES, min(SAMPLED, len(h))), np.int64)
+    n = min(SAMPLED, len(h))
+    places = np.empty((SKETCHES, n), np.int64)
+    gap = max(1, int(len(h) * SPACING))
     step = max(1, 2_000_000 // len(h))
     for lo in range(0, SKETCHES, step):  # a very long text takes its sketches one by one
         m = _MULTIPLIERS[lo : lo + step, None] * h
         m ^= m >> np.uint64(29)
-        for j in range(places.shape[1]):
+        m[:, h == _NEVER] = _NEVER
+        for j in range(n):
             at = m.argmin(axis=1)
             places[lo : lo + step, j] = at
-            if j + 1 < places.shape[1]:
-                m[np.arange(len(m)), at] = np.uint64(2**64 - 1)
+            if j + 1 < n:
+                for row, p in zip(m, at.tolist(), strict=True):
+                    row[max(0, p - gap + 1) : p + gap] = _NEVER
     places.sort(axis=1)
     out = np.arange(1, SKETCHES + 1, dtype=np.uint64) * _BASE
     for j in range(places.shape[1]):
@@ -271,7 +284,9 @@ def _sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """(cell, node): the cells, with at least two nodes, of equal sketches."""
+    """(cell, node, n, rank): the cells, with at least two nodes, of equal
+    sketches; n is the cell's size, rank orders its nodes, those that meet most
+    others first: the text that a group of copies was made from, if there is one."""
     s = nodes.select("node", "words", F.explode(F.arrays_zip("keys", "places")).alias("s"))
     s = s.select("node", "words", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = s.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
@@ -287,7 +302,9 @@ def _cells(nodes: DataFrame) -> DataFrame:
     s = s.withColumn("spot", F.floor((F.col("place") + F.col("grid") * reach) / (2 * reach)))
     cells = s.select(F.xxhash64("key", "class", "grid", "spot").alias("cell"), "node")
     full = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    return cells.join(full.select("cell", F.col("a").alias("first"), "n"), "cell")
+    cells = write_table(cells.join(full.select("cell", "n"), "cell"), "omh-cells")
+    met = cells.groupBy("node").agg(F.sum("n").alias("met"))
+    return cells.join(met, "node").select("cell", "node", "n", F.struct(-F.col("met"), F.col("node")).alias("rank"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -339,78 +356,80 @@ def components(links: DataFrame) -> DataFrame:
     return write_table(roots.withColumnRenamed("a", "node").union(roots.select("root", "root").distinct()), "omh-roots")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the verified links between nodes."""
-    cells = write_table(_cells(nodes), "omh-cells")
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a below b: the verified links between nodes that share a cell."""
     few = cells.filter(F.col("n") <= SMALL)
     pairs = few.select("cell", F.col("node").alias("a")).join(few.select("cell", F.col("node").alias("b")), "cell").filter("a < b").select("a", "b")
-    left = cells.filter(F.col("n") > SMALL).select("cell", "node")
-    star = cells.filter((F.col("n") > SMALL) & (F.col("node") != F.col("first"))).select("cell", F.col("first").alias("a"), F.col("node").alias("b"))
-    done = _verify(pairs.union(star.select("a", "b")).distinct(), texts)
-    leaders, failed = 1, None
+    left = cells.filter(F.col("n") > SMALL).select("cell", "node", "rank")
+    place = F.row_number().over(W.partitionBy("cell").orderBy("rank"))
+    leaders, failed, done = 1, None, None
     while True:  # the larger cells: nodes that match no leader go on among themselves, with more leaders each round
-        matched = star.join(done.filter("ok").select("a", "b"), ["a", "b"]).select("cell", F.col("b").alias("node"))
-        in_order = left.withColumn("n", F.row_number().over(W.partitionBy("cell").orderBy("node")))
-        left = in_order.filter(F.col("n") > leaders).drop("n").join(matched.distinct(), ["cell", "node"], "left_anti")
+        first = left.withColumn("place", place).filter(F.col("place") <= leaders).select("cell", F.col("node").alias("leader"), F.col("rank").alias("before"))
+        star = left.join(first, "cell").filter("before < rank").select("cell", "node", "rank", *_pair("leader", "node"))
+        todo = star.select("a", "b")
+        if done is None:
+            done = _verify(pairs.union(todo).distinct(), texts)
+        else:
+            done = done.union(_verify(todo.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), texts))
+        matched = star.join(done.filter("ok").select("a", "b"), ["a", "b"]).select("cell", "node").distinct()
+        left = left.join(matched, ["cell", "node"], "left_anti").join(first.select("cell", F.col("leader").alias("node")), ["cell", "node"], "left_anti")
         left = write_table(left, "omh-left")
         if left.isEmpty():
             break
         failed = left if failed is None else failed.union(left)
         leaders *= 8
-        first = left.withColumn("n", F.row_number().over(W.partitionBy("cell").orderBy("node"))).filter(F.col("n") <= leaders)
-        star = left.withColumnRenamed("node", "b").join(first.select("cell", F.col("node").alias("a")), "cell").filter("a < b")
-        new = star.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.union(_verify(new, texts))
     found = done.filter("ok").select("a", "b")
     if failed is not None:  # nodes that failed somewhere meet the other groups of their cells
         roots = components(found)
         with_root = cells.select("cell", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mine = failed.distinct().join(with_root, ["cell", "node"])
+        mine = failed.select("cell", "node").distinct().join(with_root, ["cell", "node"])
         other = mine.select("cell", F.col("node").alias("m"), F.col("root").alias("m_root")).join(with_root, "cell").filter("root <> m_root")
-        more = other.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct()
+        more = other.select(*_pair("m", "node")).distinct()
         found = found.union(_verify(more.join(done.select("a", "b"), ["a", "b"], "left_anti"), texts).filter("ok").select("a", "b"))
     return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text and id: id, node, class_id, group_id, links, first.
+    """One row per text and id: id, node, class_id, group_id, first.
 
     class_id is the smallest id with the same text, group_id the smallest id of
-    the near-duplicate group, links the number of different texts linked to
-    this one, ``first`` whether this is the row of its group that stays.
+    the near-duplicate group, ``first`` whether this is the row of its group
+    that stays.
     """
     rows = write_table(_sketch_rows(docs, id_col, text_col), "omh-sketches")
     per_id = rows.select("node", "id").distinct()
     order = F.struct(F.col("id").isNull(), F.col("id"))
     nodes = rows.groupBy("node").agg(F.min_by(F.struct("id", "words", "keys", "places"), order).alias("r")).select("node", "r.*")
     nodes = write_table(nodes, "omh-nodes")
-    cells = _cells(nodes)
+    cells = write_table(_cells(nodes), "omh-ranked")
     needed = cells.select("node").distinct()
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = text.withColumn("node", F.unhex(F.md5("text")))
     owners = needed.join(nodes.select("node", "id"), "node")
     texts = text.join(owners, (text["node"] == owners["node"]) & text["id"].eqNullSafe(owners["id"])).select(owners["node"], "text")
     texts = write_table(texts.dropDuplicates(["node"]), "omh-texts")
-    found = write_table(links(nodes, texts), "omh-links")
+    found = write_table(links(cells, texts), "omh-links")
     roots = components(found)
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    known = nodes.select("node", F.col("id").alias("class_id")).join(roots, "node", "left").join(degree, "node", "left")
+    known = nodes.select("node", F.col("id").alias("class_id")).join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.col("node"))
     heads = known.groupBy("root").agg(F.min_by(F.struct("class_id", "node"), order).alias("head"))
     known = known.join(heads, "root").select("node", "class_id", F.col("head.class_id").alias("group_id"),
-                                             (F.col("head.node") == F.col("node")).alias("leads"), F.coalesce("links", F.lit(0)).alias("links"))
+                                             (F.col("head.node") == F.col("node")).alias("leads"))
     out = per_id.join(known, "node")
     return out.withColumn("first", F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).drop("leads")
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, group_id, links, kept: one row per row of ``docs``."""
+    """doc_id, class_id, group_id, kept: one row per row of ``docs``."""
     d = near_duplicates(docs)
     rows = docs.select(F.col("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("node"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (rows["node"] == d["node"])
-    return rows.join(d, same).select("doc_id", "class_id", "group_id", "links", F.col("first").alias("kept"))
+    return rows.join(d, same).select("doc_id", "class_id", "group_id", F.col("first").alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

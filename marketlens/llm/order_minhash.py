@@ -301,8 +301,10 @@ def _cells(nodes: DataFrame) -> DataFrame:
     s = s.withColumn("grid", F.explode(F.array(F.lit(0), F.lit(1))))
     s = s.withColumn("spot", F.floor((F.col("place") + F.col("grid") * reach) / (2 * reach)))
     cells = s.select(F.xxhash64("key", "class", "grid", "spot").alias("cell"), "node")
-    full = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    cells = write_table(cells.join(full.select("cell", "n"), "cell"), "omh-cells")
+    full = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("set"))
+    # cells with the same nodes (a group of copies has very many) are kept once
+    once = full.filter("a <> b").groupBy("a", "b", "n", "set").agg(F.min("cell").alias("cell")).select("cell", "n")
+    cells = write_table(cells.join(once, "cell"), "omh-cells")
     met = cells.groupBy("node").agg(F.sum("n").alias("met"))
     return cells.join(met, "node").select("cell", "node", "n", F.struct(-F.col("met"), F.col("node")).alias("rank"))
 

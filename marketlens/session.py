@@ -28,6 +28,8 @@ DEFAULT_CONF = {
 
 #: Spark's setting to drop an execution's shuffle files when it ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's limit on the size of a batch that it sends to a Python worker.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "marketlens") -> SparkSession:
@@ -90,10 +92,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     a lost executor re-reads the files instead of recomputing the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    old = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")  # the written table replaces the shuffle files behind it
+    # the written table replaces the shuffle files behind it; long texts go to Python in small batches
+    wanted = {FREE_SHUFFLES: "true", ARROW_BYTES: str(16 << 20)}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)

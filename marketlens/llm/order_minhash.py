@@ -40,7 +40,7 @@ from marketlens.session import write_table
 
 K = 5
 SIMILARITY = 0.8
-SKETCHES = 40
+SKETCHES = 36
 #: k-mers per sketch, and the share of the text that lies between any two of them.
 SAMPLED = 3
 SPACING = 1 / 5
@@ -341,8 +341,10 @@ def components(links: DataFrame) -> DataFrame:
     before the shuffle and a join that Spark may split.
     """
     edges = write_table(links.select("a", "b").distinct(), "omh-edges")
-    while True:
-        before = edges
+    state = F.count("*"), F.bit_xor(F.xxhash64("a", "b"))
+    before = None
+    while (now := edges.agg(*state).first()) != before:
+        before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -351,9 +353,6 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         edges = write_table(small.union(least.select("a", F.col("least").alias("b"))).distinct().select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "omh-edges")
-        change = edges.exceptAll(before).isEmpty() and before.exceptAll(edges).isEmpty()
-        if change:
-            break
     roots = edges.groupBy("a").agg(F.min("b").alias("root"))
     return write_table(roots.withColumnRenamed("a", "node").union(roots.select("root", "root").distinct()), "omh-roots")
 
@@ -362,8 +361,8 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a below b: the verified links between nodes that share a cell."""
+def groups(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root): the groups that verified links between nodes of one cell make."""
     few = cells.filter(F.col("n") <= SMALL)
     pairs = few.select("cell", F.col("node").alias("a")).join(few.select("cell", F.col("node").alias("b")), "cell").filter("a < b").select("a", "b")
     left = cells.filter(F.col("n") > SMALL).select("cell", "node", "rank")
@@ -383,16 +382,19 @@ def links(cells: DataFrame, texts: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
         failed = left if failed is None else failed.union(left)
-        leaders *= 8
-    found = done.filter("ok").select("a", "b")
-    if failed is not None:  # nodes that failed somewhere meet the other groups of their cells
-        roots = components(found)
-        with_root = cells.select("cell", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mine = failed.select("cell", "node").distinct().join(with_root, ["cell", "node"])
-        other = mine.select("cell", F.col("node").alias("m"), F.col("root").alias("m_root")).join(with_root, "cell").filter("root <> m_root")
-        more = other.select(*_pair("m", "node")).distinct()
-        found = found.union(_verify(more.join(done.select("a", "b"), ["a", "b"], "left_anti"), texts).filter("ok").select("a", "b"))
-    return found
+        leaders *= 4
+    roots = components(done.filter("ok"))
+    if failed is None:
+        return roots
+    # nodes that failed somewhere meet the other groups of their cells
+    with_root = cells.select("cell", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mine = failed.select("cell", "node").distinct().join(with_root, ["cell", "node"])
+    other = mine.select("cell", F.col("node").alias("m"), F.col("root").alias("m_root")).join(with_root, "cell").filter("root <> m_root")
+    more = other.select(*_pair("m", "node")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    more = _verify(more, texts).filter("ok").select("a", "b")
+    if more.isEmpty():
+        return roots
+    return components(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,8 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = needed.join(nodes.select("node", "id"), "node")
     texts = text.join(owners, (text["node"] == owners["node"]) & text["id"].eqNullSafe(owners["id"])).select(owners["node"], "text")
     texts = write_table(texts.dropDuplicates(["node"]), "omh-texts")
-    found = write_table(links(cells, texts), "omh-links")
-    roots = components(found)
+    roots = groups(cells, texts)
     known = nodes.select("node", F.col("id").alias("class_id")).join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.col("node"))

@@ -73,10 +73,10 @@ def primary_category(tags_json: str | Column) -> Column:
     """Label of the first tag whose slug is allowed; NULL if that label is
     NULL, if no tag is allowed, or if the text is not a JSON array."""
     j = col(tags_json)
-    arr = F.from_json(j, "array<struct<slug:string,label:string>>")
-    allowed = F.filter(arr, lambda t: t["slug"].isin(*K.ALLOWED_SLUGS))
-    first = F.get(allowed, 0)
-    return F.when(F.ltrim(j).like("[%"), first["label"])
+    # element by element, so that a scalar in the array does not void the others
+    arr = F.from_json(j, "array<string>")
+    allowed = F.filter(arr, lambda t: F.get_json_object(t, "$.slug").isin(*K.ALLOWED_SLUGS))
+    return F.when(j.rlike(r"^\s*\["), F.get_json_object(F.get(allowed, 0), "$.label"))
 
 
 def certainty_score(p: str | Column) -> Column:

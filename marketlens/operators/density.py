@@ -62,11 +62,13 @@ def kde_sample(scores: DataFrame, cap: int = K.RIDGELINE_KDE_SAMPLE, seed: int =
 
 
 def ridgeline_density(scores: DataFrame, grid: int = K.RIDGELINE_GRID, min_n: int = K.RIDGELINE_MIN_N,
-                      cap: int = K.RIDGELINE_KDE_SAMPLE, seed: int = 0) -> DataFrame:
+                      cap: int | None = None, seed: int = 0) -> DataFrame:
     """Per drawable cell and grid point k: x = k/(grid-1), density
-    (5 dp) and its height relative to the global peak density."""
+    (5 dp) and its height relative to the global peak density. All rows of a
+    cell count; ``cap`` asks for a sample of at most that many instead."""
     cells = ridgeline_cells(scores, min_n).where("has_density").select("type", "band")
-    sample = kde_sample(scores, cap, seed).join(F.broadcast(cells), ["type", "band"], "left_semi")
+    rows = banded(scores) if cap is None else kde_sample(scores, cap, seed)
+    sample = rows.join(F.broadcast(cells), ["type", "band"], "left_semi")
     bw = sample.groupBy("type", "band").agg(
         F.count(F.lit(1)).alias("m"),
         (F.stddev_samp("c") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h"))

@@ -181,7 +181,7 @@ def fit_text_classifier(train: DataFrame, text: str = "question", label: str = "
 
     stages = [
         StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"\W+", minTokenLength=1),
+        RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"(?U)\W+", minTokenLength=1),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_label_idx", maxIter=max_iter,

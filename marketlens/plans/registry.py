@@ -466,6 +466,10 @@ ds1 AS (SELECT * EXCLUDE (pos, npts) FROM ds0
         WHERE npts <= 1440 OR pos % CAST(ceil(npts / 1440.0::DOUBLE) AS BIGINT) = 0),
 ds AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp) - 1 AS idx FROM ds1)"""
 
+# the full series, numbered like the thinned one
+_FULL_CTES = """,
+ds AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp) - 1 AS idx FROM series)"""
+
 _FLOW_CTES = """,
 dcat AS (SELECT * FROM catalog WHERE id IN (SELECT market_id FROM kept)),
 names AS (
@@ -523,7 +527,13 @@ def q_timeline_downsampled(spark, sf_dir):
     return DB.timeline(DB.downsample(_series(spark, sf_dir)))
 
 
-@register("anomaly_regions", _ts_sql(_DS_CTES + """,
+def _numbered(series):
+    from pyspark.sql import Window, functions as F
+
+    return series.withColumn("idx", (F.row_number().over(Window.partitionBy("market_id").orderBy("timestamp")) - 1).cast("long"))
+
+
+@register("anomaly_regions", _ts_sql(_FULL_CTES + """,
 flags AS (SELECT market_id, idx, coalesce(zscore > 1.96, false) AS hot,
                  max(idx) OVER (PARTITION BY market_id) AS last_idx FROM ds),
 chg AS (SELECT *, CASE WHEN hot <> coalesce(lag(hot) OVER (PARTITION BY market_id ORDER BY idx), false)
@@ -533,10 +543,10 @@ runs AS (SELECT *, sum(c) OVER (PARTITION BY market_id ORDER BY idx
 SELECT market_id, min(idx) AS start, least(max(idx) + 1, max(last_idx)) AS "end"
 FROM runs WHERE hot GROUP BY market_id, run"""))
 def q_anomaly_regions(spark, sf_dir):
-    return DB.anomaly_regions(DB.downsample(_series(spark, sf_dir)))
+    return DB.anomaly_regions(_numbered(_series(spark, sf_dir)))
 
 
-@register("series_extent", _ts_sql(_DS_CTES + """
+@register("series_extent", _ts_sql(_FULL_CTES + """
 SELECT market_id,
        CASE WHEN max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) = 0 THEN 1.0::DOUBLE
             ELSE max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) END AS max_volume,
@@ -544,10 +554,10 @@ SELECT market_id,
        max(greatest(coalesce(zscore, 0), coalesce(arimax, 0), 4.0::DOUBLE)) AS max_z
 FROM ds GROUP BY market_id"""))
 def q_series_extent(spark, sf_dir):
-    return DB.series_extent(DB.downsample(_series(spark, sf_dir)))
+    return DB.series_extent(_numbered(_series(spark, sf_dir)))
 
 
-@register("liquidity_flags", _ts_sql(_DS_CTES + """,
+@register("liquidity_flags", _ts_sql(_FULL_CTES + """,
 v AS (SELECT *, coalesce(yes_volume, 0) + coalesce(no_volume, 0) AS vol,
              max(coalesce(yes_volume, 0) + coalesce(no_volume, 0)) OVER (PARTITION BY market_id) AS mv FROM ds)
 SELECT market_id, idx, timestamp,
@@ -556,7 +566,7 @@ SELECT market_id, idx, timestamp,
             WHEN coalesce(no_volume, 0) > coalesce(yes_volume, 0) THEN 'no' ELSE 'even' END AS dominant_side
 FROM v"""))
 def q_liquidity_flags(spark, sf_dir):
-    return DB.point_flags(DB.downsample(_series(spark, sf_dir)))
+    return DB.point_flags(_numbered(_series(spark, sf_dir)))
 
 
 @register("certainty_buckets", with_fixtures(["fx_certainty"], """
@@ -600,7 +610,7 @@ _CELLS_VALUES = ", ".join(f"('{t}', {ti}, '{b[2]}', {bi})" for ti, t in enumerat
                           for bi, b in enumerate(K.VOLUME_BANDS))
 
 
-def _ridge_ctes(cap: int) -> str:
+def _ridge_ctes() -> str:
     return f"""
 base AS (
     SELECT market_id, uncertainty_twap AS c, predicted_label AS type, {_band_sql('volume')} AS band
@@ -620,7 +630,7 @@ ranked AS (
                                  ORDER BY md5(cast(market_id AS varchar) || ':0'), market_id) AS r
     FROM b
 ),
-sample AS (SELECT * FROM ranked WHERE r <= {cap} AND (type, band) IN (SELECT (type, band) FROM cells WHERE has_density)),
+sample AS (SELECT * FROM ranked WHERE (type, band) IN (SELECT (type, band) FROM cells WHERE has_density)),
 bw AS (SELECT type, band, count(*) AS m, stddev_samp(c) * pow(count(*)::DOUBLE, -0.2) AS h FROM sample GROUP BY ALL),
 pts AS (SELECT s.type, s.band, s.c, w.m, w.h, g.k FROM sample s JOIN bw w USING (type, band)
         CROSS JOIN (SELECT unnest(range(100)) AS k) g),
@@ -632,30 +642,25 @@ dens AS (
 )"""
 
 
-def _ridge_sql(cap: int) -> str:
-    return with_fixtures(["fx_certainty"], _ridge_ctes(cap) + """
+def _ridge_sql() -> str:
+    return with_fixtures(["fx_certainty"], _ridge_ctes() + """
 SELECT type, band, CAST(k AS INTEGER) AS k, round(k / 99.0::DOUBLE, 4) AS x, round(d, 5) AS density,
        round(d / (SELECT max(d) FROM dens), 6) AS rel_height
 FROM dens""")
 
 
-@register("ridgeline_density", _ridge_sql(K.RIDGELINE_KDE_SAMPLE))
+@register("ridgeline_density", _ridge_sql())
 def q_ridgeline_density(spark, sf_dir):
     return DN.ridgeline_density(fx.fx_certainty(spark, sf_dir))
 
 
-@register("ridgeline_density_capped", _ridge_sql(500))
-def q_ridgeline_density_capped(spark, sf_dir):
-    return DN.ridgeline_density(fx.fx_certainty(spark, sf_dir), cap=500)
-
-
-@register("ridgeline_cells", with_fixtures(["fx_certainty"], _ridge_ctes(K.RIDGELINE_KDE_SAMPLE) + """
+@register("ridgeline_cells", with_fixtures(["fx_certainty"], _ridge_ctes() + """
 SELECT type, type_order, band, band_order, n, has_density FROM cells"""))
 def q_ridgeline_cells(spark, sf_dir):
     return DN.ridgeline_cells(fx.fx_certainty(spark, sf_dir))
 
 
-@register("band_share", with_fixtures(["fx_certainty"], _ridge_ctes(K.RIDGELINE_KDE_SAMPLE) + """,
+@register("band_share", with_fixtures(["fx_certainty"], _ridge_ctes() + """,
 tot AS (SELECT type, sum(n) AS t FROM cells GROUP BY type)
 SELECT type, band, n, round(CASE WHEN t > 0 THEN n * 100.0::DOUBLE / t ELSE 0.0 END, 6) AS pct
 FROM cells JOIN tot USING (type)"""))

@@ -166,3 +166,14 @@ def test_spread_indices():
     assert spread_indices(10, 1) == [5]
     assert spread_indices(11, 3) == [0, 5, 10]
     assert spread_indices(100, 4) == [0, 33, 66, 99]
+
+
+def test_primary_category_reads_tags_one_by_one(spark):
+    from marketlens.functions import constants as K
+    from marketlens.functions import primary_category
+
+    slug = K.ALLOWED_SLUGS[0]
+    rows = [('[{"slug": "%s", "label": "L"}, 7]' % slug, "L"), ('\n [{"slug": "x"}, {"slug": "%s", "label": "M"}]' % slug, "M"),
+            ('{"slug": "%s"}' % slug, None), ("[7, null]", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", primary_category("t").alias("got")).collect())

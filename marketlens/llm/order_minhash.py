@@ -1,11 +1,13 @@
 """Near-duplicate detection by Order MinHash, verified by banded alignment.
 
-A text is its lower-case words; its k-mers are runs of five words, each
+A text is its lower-case words; its k-mers are pairs of words, each
 labelled with its occurrence number, so that repeats count. A sketch takes the
 three k-mers smallest under its own hash that lie a fifth of the text apart,
 and keeps them in text order: equal sketches need the same k-mers in the same
 order, which makes them sensitive to edit distance, and the spacing keeps texts
-that merely share a passage out of one another's buckets. Texts with an equal sketch are candidates; candidates are
+that merely share a passage out of one another's buckets. The k-mers are short
+so that texts at the threshold, with every fifth word another, still meet (the
+README gives the share by edit similarity). Texts with an equal sketch are candidates; candidates are
 verified by word edit distance in a band (similarity 1 - distance / longer
 length, at least 0.8), and verified links form groups by connected components.
 
@@ -19,7 +21,7 @@ that failed somewhere are verified against the other groups of their cells. So a
 of copies costs one pair per member, and no pair in a shared cell is left out.
 
 Defined cases: null text is read as empty; empty texts are copies of each
-other; texts shorter than five words have one k-mer of all words; rows equal
+other; a text of one word has one k-mer, that word; rows equal
 in id and text count once, a null id comes after all others as the one that
 stays; other columns are ignored or passed through, whatever their names.
 """
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 
 from marketlens.session import write_table
 
-K = 5
+K = 2
 SIMILARITY = 0.8
-SKETCHES = 36
+SKETCHES = 48
 #: k-mers per sketch, and the share of the text that lies between any two of them.
 SAMPLED = 3
 SPACING = 1 / 5

@@ -148,6 +148,24 @@ def test_banded_alignment():
                 assert order_minhash.within(np.array(a, np.uint64), np.array(b, np.uint64), limit) == (d <= limit)
 
 
+@pytest.mark.parametrize("length", [50, 200])
+@pytest.mark.parametrize("similarity, least", [(0.9, 0.99), (0.87, 0.99), (0.85, 0.98), (0.82, 0.96), (0.8, 0.94)])
+def test_sketches_meet_at_the_stated_similarity(length, similarity, least):
+    rng = np.random.default_rng(4)
+    for kind in ("substitute", "delete"):
+        met = 0
+        for _ in range(200):
+            a = rng.integers(0, 2**62, length).astype(np.uint64)
+            at = rng.permutation(length)[: round(length * (1 - similarity))]
+            b = np.delete(a, at)
+            if kind == "substitute":
+                b = a.copy()
+                b[at] = rng.integers(0, 2**62, len(at)).astype(np.uint64)
+            assert order_minhash.similar(a, b)
+            met += (order_minhash.sketches(a)[0] == order_minhash.sketches(b)[0]).any()
+        assert met / 200 >= least, (kind, met)
+
+
 def test_near_duplicates_match_brute_force(spark, docs, empty):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]

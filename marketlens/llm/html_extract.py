@@ -8,6 +8,11 @@ pages of a host vote for paths with their shares of score; the path with most
 votes is the host's, and every page is extracted again with it. A page that
 lacks the path, or has no text there, is extracted with its own best path.
 
+As nested text outweighs the text beside it, the winner may be a part of the
+article (its sections, a list, a table). It is lifted to the nearest article or
+main element around it or, without one, to the container above as long as what
+that adds is content in the main: paragraphs, headings, lists, quotes, cells.
+
 Votes are sums, pre-aggregated before the shuffle, so a host may hold any
 share of the pages. The winners are a written table of one row per host; the
 pages join it, broadcast only if Spark finds it small.
@@ -53,6 +58,11 @@ DROPPED_WORDS = frozenset(
     "skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own text is content; text anywhere below the second kind is.
+CONTENT_TAGS = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption caption summary".split())
+CONTENT_WITHIN = frozenset("li dd blockquote pre figcaption".split())
+#: Share of content in what a container adds, from which the winner is lifted to it.
+CONTENT_SHARE = 0.75
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -84,13 +94,16 @@ def _element(tag: str, attrs: str) -> tuple[str, bool]:
         or found.get("aria-hidden", "").lower() == "true"
         or "display:none" in found.get("style", "").replace(" ", "").lower()
     )
-    kinds = sorted({k for k in (re.sub(r"\d+", "", c).strip("-_") for c in classes.split()) if k})
+    kinds = sorted({k for k in (re.sub(r"[\d>]+", "", c).strip("-_") for c in classes.split()) if k})
     return ".".join([tag, *kinds]), dropped
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path of the containers, text, characters in links) of each block kept, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+Block = tuple[tuple[str, ...], str, int, bool]
+
+
+def blocks(page: str | None) -> list[Block]:
+    """(path of the containers, text, characters in links, whether content) of each block kept, in page order."""
+    out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # tag, name, dropped here or above
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
@@ -104,7 +117,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 path = [n for t, n, _ in stack]
                 while path and stack[len(path) - 1][0] in ("p", *HEADINGS):
                     path.pop()
-                out.append((tuple(path), joined, min(linked, len(joined))))
+                content = bool(stack) and (stack[-1][0] in CONTENT_TAGS or any(t in CONTENT_WITHIN for t, _, _ in stack))
+                out.append((tuple(path), joined, min(linked, len(joined)), content and 2 * linked <= len(joined)))
             text.clear()
         linked = 0
 
@@ -175,28 +189,45 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
-    """Score of each container path of a page, as shares of the page's total."""
-    scores: dict[str, float] = defaultdict(float)
-    for path, text, linked in found:
+def path_scores(found: list[Block]) -> dict[str, tuple[float, int, int]]:
+    """(score as a share of the page's total, characters, characters of content) of each container path of a page."""
+    scores: dict[str, list] = defaultdict(lambda: [0.0, 0, 0])
+    for path, text, linked, content in found:
         weight = float(max(0, len(text) - 2 * linked))
         for depth in range(len(path), 0, -1):
-            scores[">".join(path[:depth])] += weight
+            s = scores[">".join(path[:depth])]
+            s[0] += weight
+            s[1] += len(text)
+            s[2] += len(text) * content
             weight /= 2
-    total = sum(scores.values())
-    return {p: s / total for p, s in scores.items() if s > 0} if total else {}
+    total = sum(s[0] for s in scores.values())
+    return {p: (s / total, chars, content) for p, (s, chars, content) in scores.items()} if total else {}
+
 
+def lifted(path: str, sums: dict[str, tuple[int, int]]) -> str:
+    """The container to extract when ``path`` has most votes; sums: (characters, content) of it and those above."""
+    parts = path.split(">")
+    for n in range(len(parts), 0, -1):
+        if parts[n - 1].split(".")[0] in ("article", "main"):
+            return ">".join(parts[:n])
+    for n in range(len(parts) - 1, 0, -1):
+        (chars, content), (below, content_below) = sums[">".join(parts[:n])], sums[">".join(parts[: n + 1])]
+        if content - content_below < CONTENT_SHARE * (chars - below):
+            return ">".join(parts[: n + 1])
+    return parts[0]
 
-def extract(found: list[tuple[tuple[str, ...], str, int]], path: str | None) -> str:
+
+def extract(found: list[Block], path: str | None) -> str:
     """The text of the blocks at or below ``path``; of the page's own best path, if there are none."""
     def under(p: str) -> list[str]:
         parts = tuple(p.split(">"))
-        return [t for q, t, _ in found if q[: len(parts)] == parts]
+        return [t for q, t, *_ in found if q[: len(parts)] == parts]
 
     texts = under(path) if path else []
     if not texts:
         own = path_scores(found)
-        texts = under(min(own, key=lambda p: (-own[p], p))) if own else [t for _, t, _ in found]
+        best = min(own, key=lambda p: (-own[p][0], p), default=None)
+        texts = under(lifted(best, {p: s[1:] for p, s in own.items()})) if best else [t for _, t, *_ in found]
     return "\n\n".join(texts)
 
 
@@ -206,19 +237,34 @@ def host_of(url: str = "url"):
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        total: dict[tuple[str, str], float] = defaultdict(float)  # summed per batch: a host's pages share paths
+        total: dict[tuple[str, str], list] = defaultdict(lambda: [0.0, 0, 0])  # summed per batch: a host's pages share paths
         for host, page in zip(b["host"], b["html"], strict=True):
-            for p, share in path_scores(blocks(page)).items():
-                total[host, p] += share
-        yield pd.DataFrame([(h, p, s) for (h, p), s in total.items()], columns=["host", "path", "votes"])
+            for p, one in path_scores(blocks(page)).items():
+                t = total[host, p]
+                for i, x in enumerate(one):
+                    t[i] += x
+        yield pd.DataFrame([(h, p, *t) for (h, p), t in total.items()], columns=["host", "path", "votes", "chars", "content"])
 
 
 def consensus_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path with most votes of each host."""
+    """(host, path): the path with most votes of each host, lifted."""
     p = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = p.mapInPandas(_votes, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = p.mapInPandas(_votes, "host string, path string, votes double, chars long, content long").groupBy("host", "path").agg(
+        F.sum("votes").alias("votes"), F.sum("chars").alias("chars"), F.sum("content").alias("content"))
+    votes = write_table(votes, "host-votes")
     # votes rounded, so that the order of a sum decides no tie
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.round("votes", 6), "path")).alias("path"))
+    best = votes.filter("votes > 0").groupBy("host").agg(F.min_by("path", F.struct(-F.round("votes", 6), "path")).alias("path"))
+    best = write_table(best, "host-best")
+
+    @F.pandas_udf("string")
+    def lift(path: pd.Series, sums: pd.Series) -> pd.Series:
+        return pd.Series([lifted(p, {r["path"]: (r["chars"], r["content"]) for r in s}) for p, s in zip(path, sums, strict=True)], dtype=object)
+
+    # the winner and those above it: as many rows a host as the path is deep
+    above = F.expr("transform(sequence(1, size(split(path, '>'))), n -> substring_index(path, '>', n))")
+    chain = best.select("host", F.col("path").alias("best"), F.explode(above).alias("path")).join(votes, ["host", "path"])
+    chain = chain.groupBy("host", "best").agg(F.collect_list(F.struct("path", "chars", "content")).alias("sums"))
+    return chain.select("host", lift("best", "sums").alias("path"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

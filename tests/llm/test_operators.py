@@ -317,3 +317,20 @@ def test_main_text(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     text = "T & é\n\nOne two\n\nThree link\n\na\n\nb"
     assert got == [(1, text, len(text))] * 2 + [(2, "", 0), (3, "", 0), (4, "plain text", 10)]
+
+
+NESTED = {
+    "section": "<section><p>{0}</p></section><section><p>{0}</p></section>", "list": "<ul><li>{0}</li><li>{0}</li></ul>",
+    "table": "<table><tr><td>{0}</td></tr><tr><td>{0}</td></tr></table>", "quote": "<blockquote><p>{0}</p><p>{0}</p></blockquote>",
+}
+
+
+@pytest.mark.parametrize("around", ["article", "div class=text"])
+def test_main_text_keeps_what_stands_beside_nested_parts(spark, around):
+    long, rows, want = "a long sentence of the story " * 20, [], {}
+    for i, (kind, part) in enumerate(NESTED.items()):
+        body = f"<{around}><h1>Title</h1><p>lead</p>{part.format(long)}<ul><li>beside</ul></{around.split()[0]}>"
+        rows.append((i, f"http://{kind}/x", f"<body><div class=top><a href=x>menu</a> login</div><div class=page>{body}</div><footer>no</footer></body>"))
+        want[i] = "\n\n".join(["Title", "lead", long.strip(), long.strip(), "beside"])
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

@@ -194,10 +194,14 @@ def fit_text_classifier(train: DataFrame, text: str = "question", label: str = "
 
 def score_text(df: DataFrame, model, text: str = "question") -> DataFrame:
     """M4: label with the highest probability and that probability as the
-    confidence (NULL text scored as empty text)."""
+    confidence (NULL text scored as empty text). Without a label column the
+    label indexer, which would look for it, is left out."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
     labels = model.stages[0].labels
+    if model.stages[0].getInputCol() not in df.columns:
+        model = PipelineModel(model.stages[1:])
     scored = model.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
     probs = vector_to_array("_prob")
     names = F.array(*[F.lit(x) for x in labels])

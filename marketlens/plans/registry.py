@@ -777,11 +777,11 @@ def q_unknown_labels(spark, sf_dir):
 
 @register("text_scoring")
 def q_text_scoring(spark, sf_dir):
-    """M3/M4: fit on the train split (whole texts), score the test split."""
+    """M3/M4: fit on the train split (whole texts), score every market."""
     s = LB.stratified_split(fx.fx_labeled(spark, sf_dir)).drop("predicted_label", "confidence")
     model = LB.fit_text_classifier(s.where("split = 'train'"))
-    scored = LB.score_text(s.where("split = 'test'"), model)
-    return scored.select("id", "label", "predicted_label", "confidence")
+    scored = LB.score_text(fx.fx_markets(spark, sf_dir).select("id", "question"), model)
+    return scored.select("id", "predicted_label", "confidence")
 
 
 # -------------------------------------------------------------- enrichment

@@ -58,3 +58,11 @@ def test_approx_role_distribution_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(2, 0.1 * v)
+
+
+def test_text_scoring_scores_every_market(spark):
+    from marketlens.plans.registry import QUERIES
+    rows = QUERIES["text_scoring"](spark, SF01).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in fx.fx_markets(spark, SF01).select("id").collect())
+    known = set(LB.classes(fx.fx_labeled(spark, SF01), "label"))
+    assert all(r["predicted_label"] in known and 0 < r["confidence"] <= 1 for r in rows)

@@ -17,6 +17,7 @@ from marketlens.llm import (
     packing,
     repair,
     suffix_dedup,
+    token_alignment,
     topk,
     toxicity,
 )
@@ -24,6 +25,8 @@ from marketlens.llm.common import table
 
 #: Tokenizer file of the queries; the operators take any file the tokenizers library reads.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The two tokenizers of the alignment.
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_table(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_table(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_main_text": op10_main_text,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

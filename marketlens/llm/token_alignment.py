@@ -36,7 +36,9 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,11 @@ from marketlens.session import write_table
 #: Bytes of a range of a long document, and fragments composed at a time.
 RANGE = 1 << 16
 FAN = 8
-#: A part ends after so many occurrences of units; a worker forgets its units beyond so many.
-PART_UNITS = 4_000_000
-KNOWN_UNITS = 1_000_000
+#: A part ends after so many occurrences of units, or when the worker's table of units is full; then
+#: the units that were met first stay in the table, as the frequent ones are among them.
+PART_UNITS = 2_000_000
+KNOWN_UNITS = 300_000
+KEPT_UNITS = 150_000
 #: Characters of new units encoded as one text.
 CHARS = 20_000
 
@@ -97,15 +101,17 @@ class Encoders:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
+        # by unit: its number; by number: whether it has tokens, tokens of A and of B and groups, text of its groups, end of its links
         self.known: dict[str, int] = {}
-        self.forget()
+        self.good, self.tokens, self.texts, self.links = bytearray(), array("i"), [], array("q")
+        self.link_ends = array("q", [0])
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.good: list[bool] = []
-        self.tokens: list[tuple[int, int, int]] = []  # of A, of B, groups
-        self.texts: list[bytes] = []
-        self.links: list[np.ndarray] = []
+    def forget(self, kept: int) -> None:
+        """Drop all units but those met first."""
+        for w in list(islice(reversed(self.known), max(0, len(self.known) - kept))):
+            del self.known[w]
+        del self.good[kept:], self.tokens[3 * kept :], self.texts[kept:], self.link_ends[kept + 1 :]
+        del self.links[self.link_ends[-1] :]
 
     def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A for a space and ``text``, of B for ``text``; None if one does not give the bytes back."""
@@ -153,9 +159,10 @@ class Encoders:
     def _keep(self, word: str, good: bool, tokens: tuple[int, int, int], text: bytes, links: np.ndarray) -> None:
         self.known[word] = len(self.texts)
         self.good.append(good)
-        self.tokens.append(tokens)
+        self.tokens.extend(tokens)
         self.texts.append(text)
-        self.links.append(links)
+        self.links.frombytes(links.tobytes())
+        self.link_ends.append(len(self.links))
 
     def learn(self, words: set[str]) -> None:
         """Put units not met before into the tables; those that white space begins or ends are encoded alone."""
@@ -277,6 +284,16 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
                                       schema=schema)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^24 as all their low bytes, then all middle ones, then all high ones."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int32)
+    return low | middle << 8 | high << 16
+
+
 class _Part:
     """A bounded run of a task's documents and the units they refer to."""
 
@@ -295,25 +312,29 @@ class _Part:
         if not self.docs:
             return
         used, at, times = np.unique(np.concatenate([d[4] for d in self.docs]), return_inverse=True, return_counts=True)
-        lengths = np.array([len(enc.links[i]) for i in used], np.int64)
-        flat = np.concatenate([enc.links[i] for i in used]) if len(used) else np.empty(0, np.int64)
+        order = np.argsort(-times, kind="stable")  # frequent units get small numbers, whose upper bytes compress away
+        used, times, rank = used[order], times[order], np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        ends = np.array(enc.link_ends)
+        lengths = ends[used + 1] - ends[used]
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        flat = np.array(enc.links)[np.arange(starts[-1]) + np.repeat(ends[used] - starts[:-1], lengths)]
         codes, pair = np.unique(flat, return_inverse=True)
         n = np.bincount(pair, weights=np.repeat(times, lengths), minlength=len(codes)).astype(np.int64)
         for lo in range(0, len(codes), 100_000):
             c = codes[lo : lo + 100_000]
             yield _batch({"kind": np.full(len(c), _PAIR, np.int32), "part": np.full(len(c), self.number), "pair": np.arange(lo, lo + len(c)),
                           "code": c, "n": n[lo : lo + 100_000]}, _ENCODED)
-        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         yield _batch({"kind": [_UNITS], "part": [self.number], "starts": [starts.tobytes()], "flat": [pair.astype(np.int32).tobytes()]}, _ENCODED)
-        tokens = np.array([enc.tokens[i] for i in used], np.int64).reshape(-1, 3)
-        at, edge = at.astype(np.int32), 0
+        tokens = np.array(enc.tokens, np.int64).reshape(-1, 3)[used]
+        at, edge = rank[at], 0
         for lo in range(0, len(self.docs), 2000):
             docs = self.docs[lo : lo + 2000]
             own, sums = [], []
             for d in docs:
                 u = at[edge : edge + len(d[4])]
                 edge += len(u)
-                own.append(u.tobytes())
+                own.append(_planes(u))
                 sums.append(tokens[u].sum(axis=0).tolist())
             yield _batch({"kind": [_DOC] * len(docs), "part": [self.number] * len(docs), "row": [d[0] for d in docs], "doc_id": [d[1] for d in docs],
                           "good": [d[2] for d in docs], "digest": [d[3] for d in docs], "units": own,
@@ -323,20 +344,22 @@ class _Part:
 def _encode_whole(path_a: str, path_b: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoders(path_a, path_b)
+        if len(enc.texts) >= KNOWN_UNITS:
+            enc.forget(KEPT_UNITS)
         first = TaskContext.get().partitionId() << 32
         part = _Part(first)
         for b in batches:
             ids, docs, texts = (b.column(c).to_pylist() for c in ("row", "doc_id", "text"))
-            for lo in range(0, len(texts), 500):
-                words = [units(t) if t else [] for t in texts[lo : lo + 500]]
+            for lo in range(0, len(texts), 100):
+                words = [units(t) if t else [] for t in texts[lo : lo + 100]]
                 enc.learn(set().union(*words))
-                for row, doc_id, w in zip(ids[lo : lo + 500], docs[lo : lo + 500], words, strict=True):
+                for row, doc_id, w in zip(ids[lo : lo + 100], docs[lo : lo + 100], words, strict=True):
                     part.add(enc, row, doc_id, w)
                 if part.size >= PART_UNITS or len(enc.texts) >= KNOWN_UNITS:
                     yield from part.rows(enc)
                     part = _Part(part.number + 1)
                     if len(enc.texts) >= KNOWN_UNITS:
-                        enc.forget()
+                        enc.forget(KEPT_UNITS)
         yield from part.rows(enc)
 
     return f
@@ -482,7 +505,7 @@ def _score_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
                 for doc_id, n_a, n_b, n_g, digest, own in zip(*(run.column(c).to_pylist() for c in (
                         "doc_id", "n_a", "n_b", "n_groups", "digest", "units")), strict=True):
-                    u = np.frombuffer(own, np.int32)
+                    u = _from_planes(own)
                     out.append((doc_id, n_a, n_b, n_g, n_a + n_b - n_g, int(unit_best[u].sum()), int(unit_total[u].sum()), digest if n_a else ""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
 

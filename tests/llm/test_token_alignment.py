@@ -141,3 +141,13 @@ def test_empty_and_given_tables(spark):
     for size in (1000, ta.RANGE):
         got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in ta.align_table(df, A, B, size=size).collect()}
         assert got == want
+
+
+def test_forgotten_units_and_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(ta, "KNOWN_UNITS", 30)
+    monkeypatch.setattr(ta, "KEPT_UNITS", 10)
+    monkeypatch.setattr(ta, "PART_UNITS", 50)
+    texts = [*made(4, 60), "some plain words again and again " * 9, "other words, other words"]
+    df = spark.createDataFrame([(i, t, "en", "r", 1) for i, t in enumerate(texts * 20)], SCHEMA)
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in ta.align_table(df, A, B).collect())
+    assert got == sorted(expected(texts * 20))

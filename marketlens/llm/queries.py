@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.llm import (
     conversation_repair,
     html_extract,
+    jaccard_groups,
     line_dedup,
     mixing,
     nn_descent,
@@ -69,6 +70,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_table(table(spark, sf_dir, "documents"), *ALIGNED)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_main_text": op10_main_text,
+    "op11_jaccard_groups": op11_jaccard_groups,
     "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -96,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.DEDUP_SQL,
     "op6_mix_sources": mixing.PLAN_SQL,
     "op8_exact_top_k": topk.TOP_K_SQL,
+    "op11_jaccard_groups": jaccard_groups.COMPONENTS_SQL,
 }

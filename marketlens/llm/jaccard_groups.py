@@ -12,7 +12,7 @@ every prefix shingle the list of groups that hold it. The group of a list that
 meets most others is its leader; the heads of the other groups are verified
 against the leader's head, the nodes of a group against its head. Groups whose
 heads are connected with the leader's are done in that list, the others go on with a
-new leader while that still settles a good part of them. At last group pairs
+new leader while most of a round's pairs link. At last group pairs
 of different components that pass the filter are expanded, and their
 members verified. A pair is left out only if its nodes are connected already or
 if the filter shows that they cannot link, so that the components are those
@@ -56,8 +56,8 @@ FREQUENT = 16
 BLOCK_BITS, MOST_REPEATS, MOST_LEVELS = 22, 27, 23
 #: Pairs verified beside one copy of a hub's text.
 BLOCK = 256
-#: Another round of leaders follows while the one before settled this part of the rows.
-SETTLED = 0.2
+#: Another round of leaders follows while this part of the round's pairs linked.
+SETTLED = 0.5
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -281,7 +281,7 @@ def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int) -> DataF
     met = lists.groupBy("token").agg(F.count("*").alias("met")).join(lists, "token").groupBy("group", "n").agg(F.sum("met").alias("met"))
     lists = write_table(lists.join(met, ["group", "n"]).join(heads, ["group", "n"]), "jaccard-lists")
     inside = nodes.join(heads, ["group", "n"]).filter("node <> head").select(F.col("head").alias("hub"), "node")
-    left, done, rows = lists, None, None
+    left, done = lists, None
     while True:
         lead = left.groupBy("token").agg(F.min_by(F.struct("head", "n", "place"), F.struct(-F.col("met"), F.col("head"))).alias("lead"))
         star = left.join(lead, "token").withColumns({"m": F.col("lead.n"), "there": F.col("lead.place"), "hub": F.col("lead.head")})
@@ -295,8 +295,8 @@ def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int) -> DataF
         star = star.join(head_root, "head", "left").join(hub_root, "hub", "left")
         star = star.filter(F.coalesce("root", "head") != F.coalesce("hub_root", "hub"))
         left = write_table(star.select(*lists.columns), "jaccard-left")
-        before, rows = rows, left.count()
-        if rows == 0 or before is not None and rows > (1 - SETTLED) * before:
+        tried, hits = new.agg(F.count("*"), F.count_if("ok")).first()
+        if hits < SETTLED * tried or tried == 0 or left.isEmpty():
             break
     # members: what is not in a list's largest component meets the list's nodes of other components
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,16 @@ class Plan:
         self.levels = max(self.blocks, min(MOST_LEVELS, max(13, likely - 2)))
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all the next ones and so on, compressed: the upper ones are nearly all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _expand(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def _count(plan: Plan):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(block, tokens, at, n): sorted distinct tokens of a batch as differences, and how often those at ``at`` occur."""
@@ -125,7 +136,7 @@ def _count(plan: Plan):
                 gaps = np.diff(token[lo:hi], prepend=np.uint64(0))
                 wide = int(gaps[1:].max(initial=0)) >= 1 << 32
                 at = np.flatnonzero(n[lo:hi] > 1)
-                out.append((int(block[lo]), int(token[lo : lo + 1].view(np.int64)[0]), gaps[1:].astype("<u8" if wide else "<u4").tobytes(), wide,
+                out.append((int(block[lo]), int(token[lo : lo + 1].view(np.int64)[0]), _squeeze(gaps[1:].astype("<u8" if wide else "<u4")), wide,
                             at.astype("<u4").tobytes(), n[lo:hi][at].astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
@@ -161,7 +172,7 @@ def _tables(plan: Plan):
                     if held is not None:
                         yield done()
                     held, tokens, counts = block, [], []
-                gaps = np.frombuffer(gaps, "<u8" if wide else "<u4")
+                gaps = _expand(gaps, "<u8" if wide else "<u4")
                 token = np.cumsum(np.concatenate([np.array([first]).view(np.uint64), gaps]), dtype=np.uint64)
                 times = np.ones(len(token))
                 times[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")

@@ -2,7 +2,7 @@
 
 For each market: traded volume, last price, VWAP and TWAP of the YES-side
 price, and the certainty |x - 0.5| * 2 of each. One shuffle of the trade tape
-by (market, chunk); the market attributes are attached *after* aggregation so
+by market (by (market, chunk) for hot markets); the market attributes are attached *after* aggregation so
 wide text columns never travel with trades.
 """
 
@@ -44,16 +44,19 @@ def normalize_trades(trades: DataFrame, markets: DataFrame, markets_fit: bool |
 _DETECT = object()
 
 
-def market_price_stats(norm: DataFrame, *, chunking: dict | None = None, splits=_DETECT) -> DataFrame:
+def market_price_stats(norm: DataFrame, *, rows_per_task: int = skew.ROWS_PER_TASK, hot=_DETECT) -> DataFrame:
     """D5a-d per market from normalised trades (market_id, ORDER..., p, usd_amount).
 
     Hot markets are split into time-ordered chunks; the lead() of the last
     trade of a chunk is the first trade of the next chunk, restored from a
     one-row-per-chunk summary, so the TWAP numerator is exact.
     """
-    if splits is _DETECT:
-        splits = skew.hot_key_splits(norm, "market_id", "timestamp", **(chunking or {}))
-    t = skew.apply_splits(norm, "market_id", "timestamp", splits)
+    if hot is _DETECT:
+        hot = skew.hot_keys(norm, "market_id", rows_per_task)
+    t = norm.withColumn(skew.CHUNK, F.lit(0))
+    if hot is not None:
+        normal, chunked = skew.split(norm, "market_id", ORDER, hot)
+        t = normal.withColumn(skew.CHUNK, F.lit(0)).unionByName(chunked)
     w = skew.chunk_window("market_id", *ORDER)
     t = t.withColumn("_next_ts", F.lead("timestamp").over(w))
     order_struct = F.struct(*ORDER)
@@ -98,19 +101,19 @@ def market_price_stats(norm: DataFrame, *, chunking: dict | None = None, splits=
     return agg.select("market_id", "volume", "last_price", vwap.alias("vwap"), twap.alias("twap"))
 
 
-def certainty(trades: DataFrame, markets: DataFrame, *, chunking: dict | None = None) -> DataFrame:
+def certainty(trades: DataFrame, markets: DataFrame, *, rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:
     """market_uncertainty rows (market_id BIGINT, question, volume,
     last_price, uncertainty_last, twap, uncertainty_twap, vwap,
     uncertainty_vwap, outcome_prices, predicted_label, event_tags_json)."""
     # One size check of the market table serves both joins against it; it and
-    # the hot-market detection (on all trades: a superset only adds unused
-    # split points) are independent jobs and run concurrently.
-    keys = trades.select(safe_bigint("market_id").alias("market_id"), "timestamp")
+    # the hot-market detection (on all trades: a superset only plans more
+    # pieces) are independent jobs and run concurrently.
+    keys = trades.select(safe_bigint("market_id").alias("market_id"))
     with ThreadPoolExecutor(max_workers=2) as pool:
         fit_f = pool.submit(fits_broadcast, markets)
-        splits_f = pool.submit(skew.hot_key_splits, keys, "market_id", "timestamp", **(chunking or {}))
-        fit, splits = fit_f.result(), splits_f.result()
-    stats = market_price_stats(normalize_trades(trades, markets, fit), chunking=chunking, splits=splits)
+        hot_f = pool.submit(skew.hot_keys, keys, "market_id", rows_per_task)
+        fit, hot = fit_f.result(), hot_f.result()
+    stats = market_price_stats(normalize_trades(trades, markets, fit), hot=hot)
     attrs = eligible_markets(markets).drop("token1", "token2")
     out = join_small(stats, attrs, "market_id", "inner", fits=fit)
     return out.select(

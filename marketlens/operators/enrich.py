@@ -13,7 +13,9 @@ from marketlens.operators.joins import join_small
 
 def _epoch_seconds(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, T.StringType):  # dates as text; what is no date drops out like NULL
+        return F.unix_micros(F.try_to_timestamp(F.col(c))) / F.lit(1e6)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
     return F.col(c).cast("double")
 

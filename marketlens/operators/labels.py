@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
 from marketlens.functions import duck_round
@@ -43,18 +44,31 @@ def stratified_split(df: DataFrame, test_size: int = K.TEST_SIZE, seed: int = K.
                      label: str = "label", key: str = "id") -> DataFrame:
     """M1: equal count per class in the test split (test_size / classes,
     which must divide), the rest train. The per-class order is md5(key:seed)
-    (a seeded shuffle that any engine reproduces)."""
-    n_classes = df.select(label).where(F.col(label).isNotNull()).distinct().count()
+    (a seeded shuffle that any engine reproduces); of rows equal in class and
+    key any may be the ones on the edge. A row without a label is an error:
+    it belongs to no class.
+
+    The rank decides in one pass: the last (hash, key) of each class's first
+    rows is the edge; rows before it are test, and of those on it as many as
+    are still needed."""
+    ids = df.select(label, key)
+    found = ids.agg(F.countDistinct(label).alias("classes"), F.count_if(F.col(label).isNull()).alias("bare")).first()
+    if found["bare"]:
+        raise ValueError(f"{found['bare']} rows have no {label}")
+    n_classes = found["classes"]
     if n_classes == 0 or test_size % n_classes != 0:
         raise ValueError(f"test_size {test_size} must be divisible by {n_classes} classes")
     per = test_size // n_classes
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    ranked = df.withColumn("_h", h)
-    test = top_n_per_group(ranked, label, [F.col("_h"), F.col(key)], per, salt_col=key)
-    # the test split has exactly test_size rows: a proven broadcast bound
-    flag = F.broadcast(test.select(key, F.lit("test").alias("split")))
-    out = ranked.join(flag, key, "left").drop("_h")
-    return out.withColumn("split", F.coalesce(F.col("split"), F.lit("train")))
+    ranked = df.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))))
+    first = top_n_per_group(ranked.select(label, key, "_h"), label, [F.col("_h"), F.col(key)], per, salt_col=key)
+    edge = first.groupBy(label).agg(F.max("_h").alias("_edge"), F.count_if(F.col("_h").isNotNull()).alias("_taken"))
+    on_edge = first.join(edge, label).where("_h = _edge").groupBy(label).agg(F.count(F.lit(1)).alias("_needed"))
+    # one row per class of the vocabulary
+    out = ranked.join(F.broadcast(edge.join(on_edge, label).select(label, "_edge", "_needed")), label)
+    same = Window.partitionBy(label, "_h").orderBy(key)  # rows of one key, never of a whole class
+    n = F.row_number().over(same)
+    test = (F.col("_h") < F.col("_edge")) | ((F.col("_h") == F.col("_edge")) & (n <= F.col("_needed")))
+    return out.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, "split")
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -171,25 +185,36 @@ def unknown_labels(holdout: DataFrame, known: DataFrame, label: str = "label") -
 
 # ------------------------------------------------------------------ scoring
 
-def fit_text_classifier(train: DataFrame, text: str = "question", label: str = "label",
-                        num_features: int = 1 << 16, max_iter: int = 30):
-    """M3 (re-aimed): a Spark ML pipeline over the whole text: tokenize,
-    hashed term counts, IDF, multinomial logistic regression."""
+def with_text(df: DataFrame, text: str = "question") -> DataFrame:
+    """NULL text read as empty, in the column the classifier looks at."""
+    return df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+
+
+def text_features(text: str = "question", label: str = "label", num_features: int = 1 << 16):
+    """The stages before the classifier: label index, tokens, hashed term counts, IDF."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
 
-    stages = [
+    return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc", handleInvalid="skip"),
         RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"(?U)\W+", minTokenLength=1),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label_idx", maxIter=max_iter,
-                           family="multinomial", probabilityCol="_prob", predictionCol="_pred_idx",
-                           rawPredictionCol="_raw"),
-    ]
-    prepared = train.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    return Pipeline(stages=stages).fit(prepared)
+    ])
+
+
+def fit_text_classifier(train: DataFrame, text: str = "question", label: str = "label",
+                        num_features: int = 1 << 16, max_iter: int = 30):
+    """M3 (re-aimed): a Spark ML pipeline over the whole text: tokenize,
+    hashed term counts, IDF, multinomial logistic regression.
+    ``model_selection.fit_best_text_classifier`` keeps the best epoch."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    last = LogisticRegression(featuresCol="_features", labelCol="_label_idx", maxIter=max_iter, family="multinomial",
+                              probabilityCol="_prob", predictionCol="_pred_idx", rawPredictionCol="_raw")
+    stages = [*text_features(text, label, num_features).getStages(), last]
+    return Pipeline(stages=stages).fit(with_text(train, text))
 
 
 def score_text(df: DataFrame, model, text: str = "question") -> DataFrame:
@@ -221,8 +246,7 @@ def evaluate_holdout(holdout: DataFrame, model, known: list[str], text: str = "q
     unknown = [r[0] for r in unknown_labels(holdout.select(F.col(label).alias("label")), known_df)
                .orderBy("label").limit(50).collect()]
     if unknown:
-        raise ValueError(f"holdout has labels not seen in training data: {sorted(unknown)}; "
-                         f"training labels: {sorted(known)}")
+        raise ValueError(f"no training rows for these labels of the holdout: {sorted(unknown)}; known are {sorted(known)}")
     scored = score_text(holdout, model, text).select(F.col(label).alias("label"), "predicted_label", "confidence")
     return {
         "scored": scored,

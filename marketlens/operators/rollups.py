@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
 from marketlens.operators import skew
 from marketlens.functions import epoch_date
+from marketlens.session import write_table
 
 # time_bucket origin for day/week widths: Monday 2000-01-03 00:00 UTC.
 BUCKET_ORIGIN_S = 946857600
@@ -116,37 +116,29 @@ def facets(catalog: DataFrame) -> DataFrame:
     return genre.union(label).distinct().unionByName(alls)
 
 
+#: Below this n Spark cuts every group to n rows on the map side, before the shuffle.
+GROUP_LIMIT = 1000
+
+
 def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salt_col: str,
-                    rows_per_task: int = skew.ROWS_PER_TASK, max_hot_keys: int = skew.MAX_HOT_KEYS,
-                    sizes: DataFrame | None = None) -> DataFrame:
+                    rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:
     """Exact top-n per group (``rank`` 1..n).
 
-    Groups larger than ``rows_per_task`` (at most ``max_hot_keys`` of them,
-    the largest; any other group is then at most total/max_hot_keys rows) are
-    salted into ceil(size / rows_per_task) buckets by a hash of ``salt_col``:
-    top-n is taken within (group, bucket) first, then within the group over at
-    most buckets x n survivors. Without hot groups it is one window pass.
-
-    ``sizes`` (group, _cnt) may give upper bounds of the group sizes from a
-    cheaper source (e.g. raw rows before an aggregation); over-estimates only
-    add buckets."""
-    counts = sizes if sizes is not None else df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
-    hot = (counts.where(F.col("_cnt") > F.lit(rows_per_task))
-           .orderBy(F.col("_cnt").desc(), F.col(group)).limit(max_hot_keys))
-    hot_rows = hot.collect()  # bounded by max_hot_keys
-    if not hot_rows:
-        w = Window.partitionBy(group).orderBy(*order)
-        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    buckets = df.sparkSession.createDataFrame(
-        [(r[0], int(-(-r["_cnt"] // rows_per_task))) for r in hot_rows],
-        T.StructType([df.schema[group], T.StructField("_buckets", T.LongType())]))
-    salted = (df.join(F.broadcast(buckets), group, "left")
+    For a small n one window pass does: no map task sends more than n rows of
+    a group. For a larger n every group of more than ``rows_per_task`` rows,
+    however many there are, is salted into ceil(size / rows_per_task)
+    buckets by a hash of ``salt_col``: top-n within (group, bucket) first, then
+    within the group over at most buckets x n survivors."""
+    w = Window.partitionBy(group).orderBy(*order)
+    if n >= GROUP_LIMIT:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > rows_per_task)
+        buckets = write_table(sizes.select(group, F.ceil(F.col("_cnt") / rows_per_task).alias("_buckets")), "hot-groups")
+        df = (df.join(buckets, group, "left")
               .withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.coalesce(F.col("_buckets"), F.lit(1))))
               .drop("_buckets"))
-    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
-    cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_salt")
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
+        within = Window.partitionBy(group, "_salt").orderBy(*order)
+        df = df.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= n).drop("_r", "_salt")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def whale_totals(users: DataFrame) -> DataFrame:
@@ -160,9 +152,7 @@ def whales(users: DataFrame, market_id: str | None = None, n: int = K.TOP_WHALES
     within each market (or one market when ``market_id`` is given)."""
     u = users if market_id is None else users.where(F.col("market_id") == F.lit(market_id))
     order = [F.col("total_usd_volume").desc(), F.col("address"), F.col("role")]
-    # raw trade rows per market bound its (address, role) groups from above
-    sizes = u.groupBy("market_id").agg(F.count(F.lit(1)).alias("_cnt"))
-    return top_n_per_group(whale_totals(u), "market_id", order, n, salt_col="address", sizes=sizes)
+    return top_n_per_group(whale_totals(u), "market_id", order, n, salt_col="address")
 
 
 def role_distribution(users: DataFrame, market_id: str | None = None, approx_rsd: float | None = None) -> DataFrame:

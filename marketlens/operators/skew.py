@@ -1,20 +1,15 @@
-"""Hot-key splitting for ordered per-key windows.
-
-``lag``/``lead``/rolling frames partitioned by ``market_id`` put every row of
-one market into one task. With one market holding a third of the tape that
-task is the whole job. ``assign_chunks`` cuts every *hot* key into ordered,
-contiguous chunks by approximate quantiles of its time column, so windows can
-be partitioned by (key, chunk) and the few rows at chunk edges are repaired
-from small per-chunk summaries (see ``edge_summary``).
-
-Bounds (all enforced, none sampled away):
-* at most ``max_hot_keys`` keys are split; every other key then holds at most
-  total_rows / max_hot_keys rows, which bounds the largest unsplit group;
-* a split key yields up to ``chunks_per_key`` chunks; rows with one identical
-  time value stay together (they cannot be ordered apart by time anyway);
-* the split-point table has at most max_hot_keys x (chunks_per_key - 1)
-  entries, a fixed size bound, so broadcasting it is safe; so do per-chunk
-  summaries of the hot keys (at most max_hot_keys x chunks_per_key rows).
+"""Hot keys in ordered per-key windows.
+
+``lag``/``lead``/rolling frames partitioned by a key put all of its rows into
+one task. Keys with more rows than a task should take are *hot*: their rows, and
+only theirs, are range-partitioned by (key, time, tie-break) into as many
+pieces as they need, whatever the number of hot keys and the size of one. A
+piece of a key is a *chunk*; windows run per (key, chunk), and what crosses a
+chunk's edge is carried from one-row-per-chunk summaries.
+
+The chunked rows are written to the shared folder: range bounds come from a
+sample, and the written rows keep the bounds of one run for every later step,
+also after executors are lost.
 """
 
 from __future__ import annotations
@@ -23,58 +18,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.session import write_table
+
 CHUNK = "_chunk"
-HOT = "_hot"
 
-# Defaults sized for a cluster; tests pass small values to force splitting.
+#: Rows of one key that a task takes; tests and the ``_split`` queries pass small values to force splitting.
 ROWS_PER_TASK = 4_000_000
-MAX_HOT_KEYS = 1024
-CHUNKS_PER_KEY = 256
-
-
-def assign_chunks(df: DataFrame, key: str, time_col: str, **kw) -> DataFrame:
-    """Add an int ``_chunk`` column: 0 for ordinary keys, the quantile slot of
-    ``time_col`` for hot keys. Chunks of one key are ordered by time."""
-    return split_hot_keys(df, key, time_col, **kw)[0]
-
-
-def split_hot_keys(df: DataFrame, key: str, time_col: str, **kw) -> tuple[DataFrame, bool]:
-    """``assign_chunks`` plus whether any key was split (when none was, every
-    key is one chunk and callers may use plain per-key windows)."""
-    splits = hot_key_splits(df, key, time_col, **kw)
-    return apply_splits(df, key, time_col, splits), splits is not None
-
-
-def hot_key_splits(df: DataFrame, key: str, time_col: str, *, rows_per_task: int = ROWS_PER_TASK,
-                   max_hot_keys: int = MAX_HOT_KEYS, chunks_per_key: int = CHUNKS_PER_KEY) -> DataFrame | None:
-    """The split points of the hot keys (key, _splits), or None when no key
-    holds more than ``rows_per_task`` rows. ``df`` may be a superset of the
-    rows that will be split (extra keys only add unused split points)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (counts.where(F.col("_n") > F.lit(rows_per_task))
-           .orderBy(F.col("_n").desc(), F.col(key)).limit(max_hot_keys).select(key))
-    # The hot-key list is bounded by max_hot_keys: a safe, small driver read.
-    hot_keys = [r[0] for r in hot.collect()]
-    if not hot_keys:
+#: Range bounds are sampled: pieces are planned at this part of the budget so that none exceeds it.
+PLANNED = 0.5
+
+
+class HotKeys:
+    """The hot keys as a written one-column table, and how many rows they have together."""
+
+    def __init__(self, keys: DataFrame, rows: int, rows_per_task: int):
+        self.keys, self.rows, self.rows_per_task = keys, rows, rows_per_task
+
+    def pieces(self) -> int:
+        return max(2, -(-self.rows // max(1, int(self.rows_per_task * PLANNED))))
+
+
+def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> HotKeys | None:
+    """The keys with more than ``rows_per_task`` rows, None if there are none.
+
+    One grouped count; what is read back is one row. ``df`` may hold more rows
+    than those that are split later: the plan then has more pieces than needed.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > rows_per_task) & F.col(key).isNotNull())
+    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows")).first()
+    if not found["keys"]:
         return None
-    fractions = [i / chunks_per_key for i in range(1, chunks_per_key)]
-    return (df.where(F.col(key).isin(hot_keys))
-              .groupBy(key)
-              .agg(F.percentile_approx(F.col(time_col), fractions, max(10000, 20 * chunks_per_key))
-                   .alias("_splits")))
-
-
-def apply_splits(df: DataFrame, key: str, time_col: str, splits: DataFrame | None) -> DataFrame:
-    """Add ``_chunk`` (quantile slot of ``time_col`` for hot keys, else 0)
-    and ``_hot``."""
-    if splits is None:
-        return df.withColumns({CHUNK: F.lit(0), HOT: F.lit(False)})
-    chunk = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col(time_col))), F.lit(0))
-    # Keys outside the split table get _splits = NULL -> chunk 0.
-    return (df.join(F.broadcast(splits), key, "left")
-              .withColumns({CHUNK: F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(chunk).cast("int"),
-                            HOT: F.col("_splits").isNotNull()})
-              .drop("_splits"))
+    return HotKeys(write_table(counts.select(key), "hot-keys"), found["rows"], rows_per_task)
+
+
+def split(df: DataFrame, key: str, order: tuple[str, ...], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+    """(rows of the other keys, rows of the hot keys with ``_chunk``); the chunks of a key are in ``order``."""
+    normal = df.join(hot.keys, key, "left_anti")
+    rows = df.join(hot.keys, key, "left_semi").repartitionByRange(hot.pieces(), key, *order)
+    return normal, write_table(rows.withColumn(CHUNK, F.spark_partition_id()), "hot-rows")
+
+
+def split_hot_keys(df: DataFrame, key: str, *order: str, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, bool]:
+    """``df`` with ``_chunk`` (0 for ordinary keys) and whether any key was split."""
+    hot = hot_keys(df, key, rows_per_task)
+    if hot is None:
+        return df.withColumn(CHUNK, F.lit(0)), False
+    normal, chunked = split(df, key, order, hot)
+    return normal.withColumn(CHUNK, F.lit(0)).unionByName(chunked), True
 
 
 def chunk_window(key: str, *order: str | Column) -> Window:
@@ -90,12 +80,3 @@ def next_chunk_first(chunk_stats: DataFrame, key: str, first_cols: list[str]) ->
     for c in first_cols:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
     return out
-
-
-def prev_chunk_last(chunk_stats: DataFrame, key: str, last_cols: list[str]) -> DataFrame:
-    """Attach the given last-row columns of the *previous* chunk of the key."""
-    w = Window.partitionBy(key).orderBy(CHUNK)
-    out = chunk_stats
-    for c in last_cols:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    return out

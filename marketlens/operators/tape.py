@@ -1,26 +1,27 @@
 """Trade-tape features per market (W2-W7): tick-test volume split, log
 returns, 10-trade rolling volatility and its per-market z-score.
 
-All windows are partitioned by (market, chunk) where hot markets are cut into
-time-ordered chunks (``skew.assign_chunks``). What crosses a chunk edge is
-restored exactly from small per-chunk summaries joined on (market, chunk):
+Windows are partitioned by market; the rows of hot markets are cut into
+time-ordered chunks (``skew.split``) and their windows by (market, chunk). What
+crosses a chunk edge is restored exactly from one-row-per-chunk summaries
+joined on (market, chunk):
 * the last ``ROLLING_WINDOW`` prices before a chunk (for lag and the first
   nine rolling frames of the chunk),
 * the market's mean / stdev of the rolling volatility,
 * the first z-score of the next chunk (the regression target of a chunk's
   last trade).
-The trade rows themselves are shuffled once.
+Rows of ordinary markets are shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions import constants as K
 from marketlens.operators import skew
+from marketlens.session import write_table
 
 KEY = "market_id"
 ORDER = ("timestamp", "seq")
@@ -51,46 +52,34 @@ def _std_of_last(arr: Column, n: int) -> Column:
 _DETECT = object()
 
 
-def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, chunking: dict | None = None,
-                   cache: list | None = None, splits=_DETECT) -> DataFrame:
+def trade_features(quant: DataFrame, *, order: tuple[str, ...] = ORDER, rows_per_task: int = skew.ROWS_PER_TASK,
+                   hot=_DETECT) -> DataFrame:
     """Per trade: price_diff, yes_vol, no_vol, is_yes, ret, roll_std, zscore,
     future_z (next trade's z) plus the input columns.
 
-    Ordinary markets use one window partition per market. Rows of hot markets
-    take the chunked plan; when ``cache`` is a list, its two branch points are
-    persisted (and appended to ``cache`` for the caller to release) so the
-    hot rows are shuffled once instead of once per branch. ``splits`` passes
-    the result of ``skew.hot_key_splits`` when the caller already has it.
+    Markets with at most ``rows_per_task`` trades use one window partition
+    each; the rows of the others take the chunked plan. ``hot`` passes the
+    result of ``skew.hot_keys`` when the caller already has it.
     """
-    if splits is _DETECT:
-        splits = skew.hot_key_splits(quant, KEY, order[0], **(chunking or {}))
-    q, split = skew.apply_splits(quant, KEY, order[0], splits), splits is not None
-    cols = quant.columns
-    if not split:
-        return _features_whole_markets(q.drop(skew.CHUNK, skew.HOT), order)
-    normal = _features_whole_markets(q.where(~F.col(skew.HOT)).select(*cols), order)
-    hot = _features_chunked(q.where(F.col(skew.HOT)).drop(skew.HOT), order, cache)
-    return normal.unionByName(hot.drop(skew.CHUNK))
-
-
-def _materialize(df: DataFrame, cache: list | None) -> DataFrame:
-    if cache is None:
-        return df
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cache.append(df)
-    return df
-
-
-def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None) -> DataFrame:
-    """Features of hot-market rows partitioned by (market, chunk). Per-chunk
-    summaries (one row per chunk of a hot market, a fixed bound) are
-    broadcast, so the rows keep their partitioning and order."""
+    if hot is _DETECT:
+        hot = skew.hot_keys(quant, KEY, rows_per_task)
+    if hot is None:
+        return _features_whole_markets(quant, order)
+    normal, chunked = skew.split(quant, KEY, order, hot)
+    return _features_whole_markets(normal, order).unionByName(_features_chunked(chunked, order).drop(skew.CHUNK))
+
+
+def _features_chunked(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Features of hot-market rows, written with their chunks, by windows per
+    (market, chunk). The per-chunk summaries join on (market, chunk), the
+    partitioning that the windows need anyway. The rows are written once more
+    where the market's statistics are needed, so that nothing before is
+    computed twice or lost with an executor."""
     w = skew.chunk_window(KEY, *order)
     whole = Window.partitionBy(KEY, skew.CHUNK)
     ord_struct = F.struct(*order)
     q = q.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(whole),
                        "_lag_p": F.lag("price").over(w)})
-    q = _materialize(q, cache)
 
     # Last W prices of each chunk, then the W prices preceding each chunk
     # (taken from up to W earlier chunks: each has at least one row).
@@ -102,7 +91,7 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None)
         KEY, skew.CHUNK,
         F.array_sort(F.flatten(F.collect_list("_tail").over(wc))).alias("_prior"))
     prior = prior.select(KEY, skew.CHUNK, last_n(F.col("_prior"), W).alias("_prior"))
-    q = q.join(F.broadcast(prior), [KEY, skew.CHUNK], "left")
+    q = q.join(prior, [KEY, skew.CHUNK], "left")
 
     prior_prices = F.transform(F.coalesce(F.col("_prior"), F.array()), lambda s: s["price"])
     prev = F.when(F.col("_rn") == 1, F.try_element_at(prior_prices, F.lit(-1))).otherwise(F.col("_lag_p"))
@@ -134,13 +123,13 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None)
         "no_vol": F.when(~is_yes, F.col("usd_amount")).otherwise(F.lit(0.0)),
         "roll_std": F.when(F.col("_rn") >= W, native).otherwise(edge),
     }).drop("_prior", "_lag_p", "_prev")
-    q = _materialize(q, cache)
+    q = write_table(q, "hot-returns")
 
     # Per-market mean / stdev of the rolling volatility (partial aggregation,
     # so a hot market is summed by many tasks) attached per chunk.
     mstats = q.groupBy(KEY).agg(F.avg("roll_std").alias("_rm"), F.stddev_samp("roll_std").alias("_rs"))
-    cstats = tails.select(KEY, skew.CHUNK).join(F.broadcast(mstats), KEY, "inner")
-    q = q.join(F.broadcast(cstats), [KEY, skew.CHUNK], "left")
+    cstats = q.select(KEY, skew.CHUNK).distinct().join(mstats, KEY, "inner")
+    q = q.join(cstats, [KEY, skew.CHUNK], "left")
     flat = F.col("_rs").isNull() | (F.col("_rs") < F.lit(K.MIN_GLOBAL_STD))
     z = F.try_divide(F.col("roll_std") - F.col("_rm"), F.col("_rs"))
     clipped = F.when(F.col("roll_std").isNotNull(), F.least(F.greatest(z, F.lit(-K.Z_CLIP)), F.lit(K.Z_CLIP)))
@@ -150,7 +139,7 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...], cache: list | None)
     # next chunk's first row.
     firsts = q.groupBy(KEY, skew.CHUNK).agg(F.min_by("zscore", ord_struct).alias("_fz"))
     firsts = skew.next_chunk_first(firsts, KEY, ["_fz"]).select(KEY, skew.CHUNK, "next__fz")
-    q = q.join(F.broadcast(firsts), [KEY, skew.CHUNK], "left")
+    q = q.join(firsts, [KEY, skew.CHUNK], "left")
     q = q.withColumns({"future_z": F.when(F.col("_rn") == F.col("_n"), F.col("next__fz"))
                        .otherwise(F.lead("zscore").over(w))})
     return q.drop("_rn", "_n", "_rm", "_rs", "next__fz")

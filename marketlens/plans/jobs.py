@@ -26,14 +26,14 @@ def certainty_job(spark: SparkSession, trades_path: str, markets_path: str, out_
 
 
 def timeseries_job(spark: SparkSession, quant: DataFrame, markets: DataFrame, out_dir: str,
-                   chunking: dict | None = None) -> dict:
+                   **kw) -> dict:
     """dashboard_timeseries (range-partitioned and sorted by market and time,
     so a one-market lookup skips row groups) and dashboard_catalog.
-    Fails when no market passes the filters, like the original build."""
-    b = TS.build(quant, markets, chunking=chunking)
+    Fails when no market passes the filters; ``kw`` goes to ``timeseries.build``."""
+    b = TS.build(quant, markets, **kw)
     kept = b.final_catalog.count()
     if kept == 0:
-        raise ValueError("No markets passed the filters; nothing to write.")
+        raise ValueError("no market is left after the quality filters")
     ts_path = os.path.join(out_dir, "dashboard_timeseries")
     cat_path = os.path.join(out_dir, "dashboard_catalog")
     save(b.timeseries, ts_path, key="market_id", order=["timestamp"])

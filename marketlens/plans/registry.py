@@ -391,6 +391,14 @@ def q_trade_features(spark, sf_dir):
     return round_doubles(f, 9, ["ret", "roll_std", "zscore", "future_z"])
 
 
+@register("trade_features_split", ORACLES["trade_features"])
+def q_trade_features_split(spark, sf_dir):
+    """W2-W7 with a budget of 40 trades a task: nearly every market is hot and cut into chunks."""
+    f = _ts_build(spark, sf_dir, checkpoint=False, rows_per_task=40).features
+    f = f.select("market_id", "timestamp", "seq", "price_diff", "yes_vol", "no_vol", "ret", "roll_std", "zscore", "future_z")
+    return round_doubles(f, 9, ["ret", "roll_std", "zscore", "future_z"])
+
+
 @register("volatility_z", _ts_sql("""
 SELECT market_id, count(*) AS trades, count(roll_std) AS frames, round(avg(roll_std), 9) AS mean_roll_std,
        round(stddev_samp(roll_std), 9) AS sd_roll_std, round(max(zscore), 9) AS max_z, round(min(zscore), 9) AS min_z
@@ -434,6 +442,14 @@ def q_dashboard_timeseries(spark, sf_dir):
     return _ts_build(spark, sf_dir).timeseries
 
 
+@register("dashboard_timeseries_raw", ORACLES["dashboard_timeseries"])
+def q_dashboard_timeseries_raw(spark, sf_dir):
+    """The build on the raw inputs: no sequence column (ties in file order), dates as text, numeric market ids."""
+    from marketlens.sources import FILE_ORDER
+    return TS.build(fx.fx_quant_raw(spark, sf_dir), fx.fx_markets_raw(spark, sf_dir), order=FILE_ORDER,
+                    created="created_at", end="end_date").timeseries
+
+
 @register("arimax_series", _ts_sql("SELECT market_id, timestamp, arimax FROM series WHERE arimax IS NOT NULL"))
 def q_arimax_series(spark, sf_dir):
     return _ts_build(spark, sf_dir).timeseries.where("arimax IS NOT NULL").select("market_id", "timestamp", "arimax")
@@ -775,11 +791,79 @@ def q_unknown_labels(spark, sf_dir):
     return LB.unknown_labels(hold, s.where("split = 'train'"))
 
 
+from marketlens.operators import model_selection as MS  # noqa: E402
+
+
+def _md5_bucket_sql(w: str) -> str:
+    digit = "instr('0123456789abcdef', substr(md5({w}), {i}, 1)) - 1"
+    return " + ".join(f"({digit.format(w=w, i=i + 1)}) * {16 ** (3 - i)}" for i in range(4))
+
+
+def _words_sql(text: str) -> str:
+    return f"unnest(regexp_extract_all(translate(coalesce({text}, ''), '{MS.UPPER}', '{MS.LOWER}'), '[^\\x20\\x09-\\x0D]+'))"
+
+
+def _log_sql(share: str) -> str:
+    return f"CAST(floor(ln({share}) * {MS.UNIT}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+
+
+_STEPS_SQL = ", ".join(f"({i + 1}, {a}::DOUBLE)" for i, a in enumerate(MS.SMOOTHING))
+# naive Bayes of every step: counts by label and bucket on the train split, log probabilities in integer units
+_NB_CTES = _SPLIT_CTE + f""",
+words AS (SELECT label, {_md5_bucket_sql('w')} AS bucket, count(*) AS c
+          FROM (SELECT label, {_words_sql('question')} AS w FROM split WHERE split = 'train') GROUP BY ALL),
+lab AS (SELECT label, count(*) AS d, sum(count(*)) OVER () AS docs FROM split WHERE split = 'train' GROUP BY label),
+tot AS (SELECT lab.label, {_log_sql('d::DOUBLE / docs::DOUBLE')} AS prior, coalesce(t, 0) AS t
+        FROM lab LEFT JOIN (SELECT label, sum(c) AS t FROM words GROUP BY label) USING (label)),
+steps(step, a) AS (VALUES {_STEPS_SQL}),
+params AS (SELECT * FROM steps, tot),
+asked AS ({{asked}}),
+hashed AS (SELECT id, {_md5_bucket_sql('w')} AS bucket, count(*) AS n
+           FROM (SELECT id, {_words_sql('question')} AS w FROM asked) GROUP BY ALL),
+used AS (SELECT DISTINCT bucket FROM hashed),
+weight AS (SELECT p.step, p.label, u.bucket,
+                  {_log_sql(f"(coalesce(w.c, 0) + p.a) / (p.t + p.a * {MS.BUCKETS})")} AS v
+           FROM used u CROSS JOIN params p LEFT JOIN words w ON w.bucket = u.bucket AND w.label = p.label),
+sums AS (SELECT h.id, v.step, v.label, sum(h.n * v.v) AS s FROM hashed h JOIN weight v USING (bucket) GROUP BY ALL),
+scored AS (SELECT q.id, p.step, p.label, CAST(p.prior + coalesce(s.s, 0) AS BIGINT) AS s
+           FROM asked q CROSS JOIN params p LEFT JOIN sums s ON s.id = q.id AND s.step = p.step AND s.label = p.label),
+answer AS (SELECT id, step, label, 1.0::DOUBLE / sum(exp((s - m) / {MS.UNIT}.0::DOUBLE)) OVER (PARTITION BY id, step) AS p,
+                  row_number() OVER (PARTITION BY id, step ORDER BY s DESC, label) AS r
+           FROM (SELECT *, max(s) OVER (PARTITION BY id, step) AS m FROM scored))"""
+_NB_METRICS = """
+metrics AS (SELECT a.step, st.a AS smoothing, count(*) AS n, count(*) FILTER (WHERE a.label = s.label) AS hits
+            FROM answer a JOIN (SELECT id, label FROM split WHERE split = 'test') s USING (id) JOIN steps st USING (step)
+            WHERE a.r = 1 GROUP BY ALL)"""
+
+
+@register("model_metrics", with_fixtures(["fx_labeled"], _NB_CTES.replace(
+    "{asked}", "SELECT id, question FROM split WHERE split = 'test'") + "," + _NB_METRICS + """
+SELECT step, smoothing, n, hits, round(hits / n, 9) AS accuracy,
+       step = (SELECT step FROM metrics ORDER BY hits DESC, step LIMIT 1) AS best FROM metrics"""))
+def q_model_metrics(spark, sf_dir):
+    """M6: held-out accuracy of every training step and the step that is kept."""
+    s = LB.stratified_split(fx.fx_labeled(spark, sf_dir))
+    model = MS.naive_bayes_steps(s.where("split = 'train'"))
+    return MS.step_metrics(model, s.where("split = 'test'"))
+
+
+@register("document_labels", with_fixtures(["fx_labeled"], _NB_CTES.replace(
+    "{asked}", "SELECT id, question FROM split") + "," + _NB_METRICS + """
+SELECT id, label AS predicted_label, round(p, 6) AS confidence FROM answer
+WHERE r = 1 AND step = (SELECT step FROM metrics ORDER BY hits DESC, step LIMIT 1)"""))
+def q_document_labels(spark, sf_dir):
+    """M3 / M4: the best step's model labels every text of the whole table, with its confidence."""
+    s = LB.stratified_split(fx.fx_labeled(spark, sf_dir))
+    model = MS.naive_bayes_steps(s.where("split = 'train'"))
+    best = MS.best_step(MS.step_metrics(model, s.where("split = 'test'")))
+    return MS.label_rows(model, s, best, keep=["id"])
+
+
 @register("text_scoring")
 def q_text_scoring(spark, sf_dir):
-    """M3/M4: fit on the train split (whole texts), score every market."""
+    """M3/M4: the epoch of the highest held-out accuracy (whole texts) scores every market."""
     s = LB.stratified_split(fx.fx_labeled(spark, sf_dir)).drop("predicted_label", "confidence")
-    model = LB.fit_text_classifier(s.where("split = 'train'"))
+    model, _ = MS.fit_best_text_classifier(s.where("split = 'train'"), s.where("split = 'test'"))
     scored = LB.score_text(fx.fx_markets(spark, sf_dir).select("id", "question"), model)
     return scored.select("id", "predicted_label", "confidence")
 
@@ -909,6 +993,13 @@ for _name, _cols in (("last_price", ["last_price", "uncertainty_last"]), ("vwap"
     register(_name, _certainty_sql(f"SELECT market_id, {', '.join(_cols)} FROM scores"))(_score_part(_cols))
 
 
+@register("twap_split", ORACLES["twap"])
+def q_twap_split(spark, sf_dir):
+    """W1 / D5d with a budget of 20 trades a task."""
+    c = C.certainty(fx.fx_trades(spark, sf_dir), fx.fx_markets(spark, sf_dir), rows_per_task=20)
+    return round_doubles(c.select("market_id", "twap", "uncertainty_twap"))
+
+
 @register("dominant_side", _ts_sql("""
 SELECT market_id, timestamp, CASE WHEN coalesce(yes_volume, 0) > coalesce(no_volume, 0) THEN 'yes'
             WHEN coalesce(no_volume, 0) > coalesce(yes_volume, 0) THEN 'no' ELSE 'even' END AS dominant_side

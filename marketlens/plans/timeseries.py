@@ -35,16 +35,16 @@ class TimeSeriesBuild:
     """The build's tables, each computed on first use: a query that needs only
     the regression never plans the dense series."""
 
-    def __init__(self, quant: DataFrame, markets: DataFrame, order=TP.ORDER, chunking: dict | None = None,
-                 checkpoint: bool = True):
+    def __init__(self, quant: DataFrame, markets: DataFrame, order=TP.ORDER, rows_per_task: int = skew.ROWS_PER_TASK,
+                 checkpoint: bool = True, created: str = "created_s", end: str = "end_s"):
         self._quant, self._markets, self._order = quant, markets, order
-        self._chunking, self._checkpoint = chunking, checkpoint
-        self._cached: list = []
+        self._rows_per_task, self._checkpoint = rows_per_task, checkpoint
+        self._created, self._end = created, end
 
     @cached_property
     def catalog(self) -> DataFrame:
         """Viable markets (id, question, predicted_label, category)."""
-        return EN.viable_markets(self._markets)
+        return EN.viable_markets(self._markets, self._created, self._end)
 
     @cached_property
     def catalog_fits_broadcast(self) -> bool:
@@ -54,29 +54,22 @@ class TimeSeriesBuild:
     @cached_property
     def features(self) -> DataFrame:
         """Per trade features of the viable markets. The catalog size check and
-        the hot-market detection (on the unrestricted tape: a superset only adds
-        unused split points) are independent jobs and run concurrently."""
+        the hot-market detection (on the unrestricted tape: a superset only plans
+        more pieces) are independent jobs and run concurrently."""
         quant = self._quant.withColumn("market_id", F.col("market_id").cast("string"))
         with ThreadPoolExecutor(max_workers=2) as pool:
             fits = pool.submit(lambda: self.catalog_fits_broadcast)
-            splits = pool.submit(skew.hot_key_splits, quant, "market_id", self._order[0], **(self._chunking or {}))
+            found = pool.submit(skew.hot_keys, quant, "market_id", self._rows_per_task)
             fits.result()
-            hot = splits.result()
+            hot = found.result()
         q = restrict_to(quant, self.catalog, fits=self.catalog_fits_broadcast)
-        return TP.trade_features(q, order=self._order, chunking=self._chunking,
-                                 cache=self._cached if self._checkpoint else None, splits=hot)
+        return TP.trade_features(q, order=self._order, hot=hot)
 
     @cached_property
     def bins(self) -> DataFrame:
         """Per (market, bin), sparse; written once to the checkpoint folder."""
         b = B.bin_table(self.features, order=self._order)
-        if not self._checkpoint:
-            return b
-        out = write_table(b, "bins")
-        for df in self._cached:  # hot-market intermediates are no longer needed
-            df.unpersist()
-        self._cached.clear()
-        return out
+        return write_table(b, "bins") if self._checkpoint else b
 
     @cached_property
     def impact(self) -> DataFrame:
@@ -102,9 +95,12 @@ class TimeSeriesBuild:
         return EN.final_catalog(self.catalog, self.quality.where("keep"))
 
 
-def build(quant: DataFrame, markets: DataFrame, *, order=TP.ORDER, chunking: dict | None = None,
-          checkpoint: bool = True) -> TimeSeriesBuild:
-    return TimeSeriesBuild(quant, markets, order, chunking, checkpoint)
+def build(quant: DataFrame, markets: DataFrame, *, order=TP.ORDER, rows_per_task: int = skew.ROWS_PER_TASK,
+          checkpoint: bool = True, created: str = "created_s", end: str = "end_s") -> TimeSeriesBuild:
+    """The build over trades (market_id, timestamp, price, usd_amount and the
+    ``order`` columns) and markets whose start and end are ``created`` and
+    ``end``: epoch seconds, timestamps, dates or their text."""
+    return TimeSeriesBuild(quant, markets, order, rows_per_task, checkpoint, created, end)
 
 
 def timeseries_of_market(timeseries: DataFrame, market_id: str) -> DataFrame:

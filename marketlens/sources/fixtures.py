@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import ntz_epoch_seconds
-from marketlens.sources import load
+from marketlens.sources import load, with_file_order
 
 # Slug / label pairs used to build the fixture tag JSON (fixture constants,
 # by nation key modulo 12 for 0..7).
@@ -42,6 +42,23 @@ def fx_quant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_quant_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape without a sequence column: trades of one instant in the order of the events file."""
+    ev = with_file_order(load(spark, sf_dir, "events"))
+    return ev.select(
+        F.col("user_id").cast("string").alias("market_id"), ntz_epoch_seconds("ts").alias("timestamp"),
+        ((F.regexp_extract("props", "[0-9]+", 0).cast("int") + 1) / F.lit(102.0)).alias("price"),
+        (F.col("value") * F.lit(1.6)).alias("usd_amount"), "file", "row")
+
+
+def fx_markets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markets with a numeric id and dates as text (two spellings)."""
+    m = fx_markets(spark, sf_dir)
+    short = F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd HH:mm:ss")
+    zoned = F.date_format(F.timestamp_seconds("end_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return m.withColumns({"id": F.col("id").cast("long"), "created_at": short, "end_date": zoned}).drop("created_s", "end_s")
+
+
 def fx_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])

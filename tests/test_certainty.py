@@ -5,7 +5,7 @@ from marketlens.sources import fixtures as fx
 
 from conftest import SF01
 
-SMALL_CHUNKS = {"rows_per_task": 5, "chunks_per_key": 8, "max_hot_keys": 1000}
+BUDGET = 5
 
 
 def _trades(spark, rows):
@@ -51,7 +51,7 @@ def test_hot_key_chunks_match_unsplit(spark):
     trades = fx.fx_trades(spark, SF01)
     markets = fx.fx_markets(spark, SF01)
     base = _by_id(C.certainty(trades, markets))
-    split = _by_id(C.certainty(trades, markets, chunking=SMALL_CHUNKS))
+    split = _by_id(C.certainty(trades, markets, rows_per_task=BUDGET))
     assert base.keys() == split.keys() and len(base) == 150
     for k, r in base.items():
         s = split[k]

@@ -12,7 +12,8 @@ from marketlens.plans.registry import ORACLES, QUERIES
 FAST = ["certainty_scores", "market_summary", "whales", "role_distribution", "bars_7d", "bars_1mo",
         "primary_category", "facets", "ridgeline_density", "ridgeline_cells", "classification_report",
         "stratified_split", "attach_tags", "upsert_latest", "first_n_keys", "spread_sample",
-        "anomaly_regions", "series_extent", "liquidity_flags", "timeline_downsampled"]
+        "anomaly_regions", "series_extent", "liquidity_flags", "timeline_downsampled", "trade_features_split",
+        "twap_split", "dashboard_timeseries_raw", "model_metrics", "document_labels"]
 
 
 def test_entry_smoke(spark):

@@ -55,8 +55,8 @@ def test_certainty_matches_brute_force(spark, trades):
                                     "id string, question string, token1 string, token2 string, "
                                     "outcome_prices string, predicted_label string, event_tags_json string")
     want = brute(trades)
-    for chunking in (None, {"rows_per_task": 2, "chunks_per_key": 4}):
-        got = {r["market_id"]: r for r in C.certainty(df, markets, chunking=chunking).collect()}
+    for budget in (1000, 2):
+        got = {r["market_id"]: r for r in C.certainty(df, markets, rows_per_task=budget).collect()}
         assert set(got) == set(want)
         for m, (vol, last, vwap, twap) in want.items():
             r = got[m]

@@ -6,7 +6,7 @@ from marketlens.sources import fixtures as fx
 
 from conftest import SF01
 
-SMALL_CHUNKS = {"rows_per_task": 7, "chunks_per_key": 16, "max_hot_keys": 1000}
+BUDGET = 7
 COLS = ["price_diff", "yes_vol", "no_vol", "ret", "roll_std", "zscore", "future_z"]
 
 
@@ -23,7 +23,7 @@ def _close(a, b):
 def test_chunked_features_equal_whole_market_features(spark):
     q = fx.fx_quant(spark, SF01)
     base = _rows(TP.trade_features(q))
-    split = _rows(TP.trade_features(q, chunking=SMALL_CHUNKS))
+    split = _rows(TP.trade_features(q, rows_per_task=BUDGET))
     assert base.keys() == split.keys()
     for k, r in base.items():
         s = split[k]
@@ -44,15 +44,11 @@ def test_build_funnel_matches_fixture_notes(spark):
     assert bad == 0
 
 
-def test_mixed_hot_and_normal_markets_with_materialized_branches(spark):
+def test_mixed_hot_and_normal_markets(spark):
     q = fx.fx_quant(spark, SF01)
     hot = q.withColumn("market_id", F.when(F.col("seq") % 3 == 0, F.lit("7")).otherwise(F.col("market_id")))
     base = _rows(TP.trade_features(hot))
-    cache = []
-    split = _rows(TP.trade_features(hot, chunking={"rows_per_task": 500, "chunks_per_key": 16}, cache=cache))
-    assert len(cache) == 2
-    for d in cache:
-        d.unpersist()
+    split = _rows(TP.trade_features(hot, rows_per_task=500))
     assert base.keys() == split.keys()
     for k, r in base.items():
         for c in COLS:

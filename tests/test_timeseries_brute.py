@@ -146,11 +146,11 @@ def test_random_markets_equal_pandas_split_and_unsplit(spark, rows):
          for i in ("m1", "m2", "m3")],
         "id string, question string, predicted_label string, created_s long, end_s long, event_tags_json string")
     want = {(m, bn): v for m, bn, *v in _brute(rows)}
-    for chunking in (None, {"rows_per_task": 10, "chunks_per_key": 8}):
-        got = {(r["market_id"], r["bin"]): r for r in TS.build(quant, markets, chunking=chunking).dense.collect()}
+    for budget in (1000, 10):
+        got = {(r["market_id"], r["bin"]): r for r in TS.build(quant, markets, rows_per_task=budget).dense.collect()}
         assert got.keys() == want.keys()
         for k, (p, z, y, n, yc, nc, tc) in want.items():
             r = got[k]
-            assert _close(p, r["price"]) and _close(z, r["zscore"]), (chunking, k, p, r["price"], z, r["zscore"])
+            assert _close(p, r["price"]) and _close(z, r["zscore"]), (budget, k, p, r["price"], z, r["zscore"])
             assert _close(y, r["yes_volume"]) and _close(n, r["no_volume"]), k
             assert (yc, nc, tc) == (r["yes_count"], r["no_count"], r["trade_count"]), k

@@ -71,12 +71,14 @@ def epoch_label(epoch_s: str | Column, with_date: str = "M/d") -> Column:
 
 def primary_category(tags_json: str | Column) -> Column:
     """Label of the first tag whose slug is allowed; NULL if that label is
-    NULL, if no tag is allowed, or if the text is not a JSON array."""
+    NULL, if no tag is allowed, if an element before it is no object, or if
+    the text is not a JSON array."""
     j = col(tags_json)
-    # element by element, so that a scalar in the array does not void the others
+    # element by element: the first one that is allowed or no object decides
     arr = F.from_json(j, "array<string>")
-    allowed = F.filter(arr, lambda t: F.get_json_object(t, "$.slug").isin(*K.ALLOWED_SLUGS))
-    return F.when(j.rlike(r"^\s*\["), F.get_json_object(F.get(allowed, 0), "$.label"))
+    decides = F.get(F.filter(arr, lambda t: t.isNull() | ~t.startswith("{")
+                             | F.get_json_object(t, "$.slug").isin(*K.ALLOWED_SLUGS)), 0)
+    return F.when(j.rlike(r"^\s*\[") & decides.startswith("{"), F.get_json_object(decides, "$.label"))
 
 
 def certainty_score(p: str | Column) -> Column:

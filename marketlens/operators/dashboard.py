@@ -51,7 +51,7 @@ def flow_links(catalog: DataFrame) -> DataFrame:
     (3 dp under 0.1 %, else 1 dp) and sqrt weight."""
     names = _flow_names(catalog)
     links = names.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(names.count())  # one number read back, not a window over all rows
+    total = F.sum("n").over(Window.partitionBy())  # over the grouped rows: one per pair of category and label
     return links.select("source", "target", "n", _share(F.col("n"), total).alias("share_pct"),
                         F.sqrt("n").alias("weight"))
 
@@ -61,7 +61,7 @@ def flow_nodes(catalog: DataFrame) -> DataFrame:
     names = _flow_names(catalog)
     ends = names.select(F.col("source").alias("name")).unionAll(names.select(F.col("target").alias("name")))
     nodes = ends.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(names.count())
+    total = F.sum("n").over(Window.partitionBy()) / 2  # every row has two ends
     return nodes.select("name", "n", _share(F.col("n"), total).alias("share_pct"))
 
 

@@ -10,8 +10,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators import certainty as C
+from marketlens.operators import enrich as EN
 from marketlens.plans import timeseries as TS
-from marketlens.sources import read_parquet, save
+from marketlens.sources import cached, read_parquet, save, upsert_into
 
 
 def certainty_job(spark: SparkSession, trades_path: str, markets_path: str, out_path: str) -> dict:
@@ -43,6 +44,17 @@ def timeseries_job(spark: SparkSession, quant: DataFrame, markets: DataFrame, ou
             "rows": spark.read.parquet(ts_path).count()}
 
 
+def enrichment_job(spark: SparkSession, markets: DataFrame, fetched: DataFrame, cache_path: str, out_path: str, width: int = 100_000) -> dict:
+    """Tags of the markets' events: merge what was fetched into the stored
+    cache (only its key ranges are rewritten), attach the cache to the markets
+    and report the keys that are still missing."""
+    ranges = upsert_into(spark, cache_path, fetched, "event_id", "fetched_at", width)
+    tags = cached(spark, cache_path)
+    save(EN.attach_tags(markets.drop("event_tags_json"), tags), out_path, key="id")
+    counts = EN.key_counts(markets, tags).first().asDict()
+    return {"ranges_rewritten": ranges, "bad_ids": EN.bad_id_count(markets).first()[0], **counts}
+
+
 def market_series(spark: SparkSession, timeseries_path: str, market_id: str) -> DataFrame:
     """P2 against the written table: the equality on market_id is pushed to
     the Parquet scan, where the range-sorted files let it skip row groups."""
@@ -55,4 +67,4 @@ def pushed_filters(df: DataFrame) -> str:
     return "\n".join(line for line in plan.splitlines() if "PushedFilters" in line)
 
 
-__all__ = ["certainty_job", "timeseries_job", "market_series", "pushed_filters"]
+__all__ = ["certainty_job", "enrichment_job", "timeseries_job", "market_series", "pushed_filters"]

@@ -177,3 +177,16 @@ def test_primary_category_reads_tags_one_by_one(spark):
             ('{"slug": "%s"}' % slug, None), ("[7, null]", None), (None, None)]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", primary_category("t").alias("got")).collect())
+
+
+def test_split_of_repeated_ids_and_bare_labels(spark):
+    from marketlens.operators import labels as LB
+
+    rows = [(i // 2, f"t{i}", "abc"[i % 600 // 2 % 3]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, question string, label string")
+    out = LB.stratified_split(df)
+    assert out.count() == 1200
+    test = {r["label"]: r["count"] for r in out.where("split = 'test'").groupBy("label").count().collect()}
+    assert test == {"a": 60, "b": 60, "c": 60}
+    with pytest.raises(ValueError):
+        LB.stratified_split(df.union(spark.createDataFrame([(9999, "x", None)], df.schema)))

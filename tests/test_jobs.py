@@ -4,7 +4,7 @@ import tempfile
 from marketlens.plans import jobs
 from marketlens.sources import fixtures as fx
 
-from conftest import SF01
+from conftest import SF001, SF01
 
 
 def test_timeseries_job_writes_sorted_outputs(spark):
@@ -33,3 +33,30 @@ def test_summary_report_files(spark):
     lines = [r[0] for r in spark.read.text(os.path.join(d, "text")).collect()]
     assert any(x.startswith("Markets classified: ") for x in lines)
     assert len(spark.read.json(os.path.join(d, "json", "labels")).collect()) == 4
+
+
+def test_enrichment_rewrites_only_touched_ranges(spark):
+    import glob
+
+    from marketlens.plans.jobs import enrichment_job
+    from marketlens.sources import cached, upsert_latest
+
+    d = tempfile.mkdtemp(prefix="ml-enrich-")
+    cache, out = os.path.join(d, "cache"), os.path.join(d, "out")
+    markets = fx.fx_markets(spark, SF001)
+    first, batch = fx.fx_tag_cache(spark, SF001), fx.fx_tag_batch(spark, SF001).where("event_id < 10")
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{cache}/*/*.parquet")}
+
+    assert enrichment_job(spark, markets, first, cache, out, width=5)["ranges_rewritten"] == 5
+    before = files()
+    res = enrichment_job(spark, markets, batch, cache, out, width=5)
+    assert res["ranges_rewritten"] == 2
+    kept = {f: t for f, t in files().items() if f in before}
+    assert kept and all(before[f] == t for f, t in kept.items())
+    assert {f.split("key_range=")[1].split("/")[0] for f in kept} == {"2", "3", "4"}
+    want = sorted(tuple(r) for r in upsert_latest(first, batch, "event_id", "fetched_at").collect())
+    again = enrichment_job(spark, markets, batch, cache, out, width=5)
+    assert again == res and sorted(tuple(r) for r in cached(spark, cache).select(*first.columns).collect()) == want
+    assert spark.read.parquet(out).count() == markets.count()

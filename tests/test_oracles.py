@@ -13,7 +13,7 @@ FAST = ["certainty_scores", "market_summary", "whales", "role_distribution", "ba
         "primary_category", "facets", "ridgeline_density", "ridgeline_cells", "classification_report",
         "stratified_split", "attach_tags", "upsert_latest", "first_n_keys", "spread_sample",
         "anomaly_regions", "series_extent", "liquidity_flags", "timeline_downsampled", "trade_features_split",
-        "twap_split", "dashboard_timeseries_raw", "model_metrics", "document_labels"]
+        "twap_split", "dashboard_timeseries_raw", "model_metrics", "document_labels", "category_of_mixed_tags", "vwap", "dashboard_timeseries"]
 
 
 def test_entry_smoke(spark):

@@ -1,10 +1,9 @@
-"""The time-series build against a direct pandas computation of the same
-rules on hand-built markets (filter edges, flat volatility, sparse bins)."""
+"""The time-series build against plain loops over the stated rules
+on hand-built markets (filter edges, flat volatility, sparse bins)."""
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Row
 
 from marketlens.plans import timeseries as TS
@@ -41,49 +40,74 @@ def _market_trades():
     return rows
 
 
+def _spread(values):
+    """Sample standard deviation; None below two values."""
+    if len(values) < 2:
+        return None
+    middle = math.fsum(values) / len(values)
+    return math.sqrt(math.fsum((v - middle) ** 2 for v in values) / (len(values) - 1))
+
+
+def _zscores(prices):
+    """Per trade: the deviation of its last ten log returns, in units of the market's own spread of that."""
+    returns = [None]
+    for old, new in zip(prices, prices[1:]):
+        known = old is not None and new is not None and new > 0
+        returns.append(math.log(new / max(old, 0.0001)) if known else None)
+    rolling = []
+    for i in range(len(returns)):
+        last = returns[max(0, i - 9) : i + 1]
+        rolling.append(_spread(last) if len(last) == 10 and None not in last else None)
+    there = [v for v in rolling if v is not None]
+    unit = _spread(there)
+    if unit is None or unit < 0.00001:
+        return [0.0] * len(prices)
+    centre = math.fsum(there) / len(there)
+    return [None if v is None else max(-20.0, min(20.0, (v - centre) / unit)) for v in rolling]
+
+
+def _passes(trades, per_bin, first, last):
+    """The quality rules, one after the other, on a market's trades and its trades per bin."""
+    prices = [p for _, p, _ in trades if p is not None]
+    length = last - first + 1
+    inner = range(first + math.floor(length * 0.2), first + math.floor(length * 0.8))
+    rules = (
+        len(trades) >= 50,
+        sum(usd for _, _, usd in trades) >= 5000,
+        not prices or max(prices) - min(prices) >= 0.10,
+        length >= 24,
+        sum(per_bin.get(x, 0) for x in inner) / len(trades) >= 0.05,
+    )
+    return all(rules)
+
+
 def _brute(rows):
-    df = pd.DataFrame(rows, columns=["market_id", "timestamp", "seq", "price", "usd_amount"])
+    """Rows (market, bin, price, z, yes, no, yes count, no count, count) of the markets that pass, trade by trade."""
+    markets = {}
+    for market, when, seq, price, usd in rows:
+        markets.setdefault(market, []).append((when, seq, price, usd))
     out = []
-    for m, g in df.groupby("market_id"):
-        g = g.sort_values(["timestamp", "seq"]).reset_index(drop=True)
-        diff = g["price"].diff().fillna(0)
-        yes = np.where(diff >= 0, g["usd_amount"], 0.0)
-        no = np.where(diff < 0, g["usd_amount"], 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ret = np.log(g["price"] / g["price"].shift(1).clip(lower=0.0001))
-        ret = ret.where(np.isfinite(ret))
-        roll = ret.rolling(10).std()
-        gs = roll.std()
-        if pd.isna(gs) or gs < 0.00001:
-            z = pd.Series(0.0, index=g.index)
-        else:
-            z = ((roll - roll.mean()) / gs).clip(-20, 20)
-        if len(g) < 50 or g["usd_amount"].sum() < 5000:
-            continue
-        if g["price"].max() - g["price"].min() < 0.10:
-            continue
-        b = g["timestamp"] // 1800
-        frame = pd.DataFrame({"bin": b, "price": g["price"], "z": z, "yes": yes, "no": no,
-                              "yc": (diff >= 0).astype(int), "nc": (diff < 0).astype(int)})
-        agg = frame.groupby("bin").agg(price=("price", "last"), z=("z", "last"), yes=("yes", "sum"),
-                                       no=("no", "sum"), yc=("yc", "sum"), nc=("nc", "sum"),
-                                       tc=("yc", "size"))
-        full = agg.reindex(range(int(b.min()), int(b.max()) + 1))
-        full["price"] = full["price"].ffill()
-        full["z"] = full["z"].ffill().fillna(0)
-        full[["yes", "no", "yc", "nc", "tc"]] = full[["yes", "no", "yc", "nc", "tc"]].fillna(0)
-        T = len(full)
-        if T < 24:
-            continue
-        if T > 20:
-            total = full["tc"].sum()
-            mid = full.iloc[int(T * 0.2):int(T * 0.8)]["tc"].sum()
-            if total > 0 and mid / total < 0.05:
-                continue
-        if T <= 10 or full["tc"].sum() < 50:
+    for market, found in sorted(markets.items()):
+        trades = [(when // 1800, price, usd) for when, _, price, usd in sorted(found, key=lambda r: r[:2])]
+        scores = _zscores([p for _, p, _ in trades])
+        cells, before = {}, None
+        for (at, price, usd), z in zip(trades, scores):
+            cell = cells.setdefault(at, {"price": None, "z": None, "money": [0.0, 0.0], "trades": [0, 0]})
+            side = 1 if price is not None and before is not None and price < before else 0
+            cell["money"][side] += usd
+            cell["trades"][side] += 1
+            cell["price"] = cell["price"] if price is None else price
+            cell["z"] = cell["z"] if z is None else z
+            before = price
+        first, last = min(cells), max(cells)
+        if not _passes(trades, {k: sum(c["trades"]) for k, c in cells.items()}, first, last):
             continue
-        for bin_, r in full.iterrows():
-            out.append((m, int(bin_), r["price"], r["z"], r["yes"], r["no"], int(r["yc"]), int(r["nc"]), int(r["tc"])))
+        price, z = None, 0.0
+        for at in range(first, last + 1):
+            cell = cells.get(at, {"price": None, "z": None, "money": (0.0, 0.0), "trades": (0, 0)})
+            price = price if cell["price"] is None else cell["price"]
+            z = z if cell["z"] is None else cell["z"]
+            out.append((market, at, price, z, *cell["money"], *cell["trades"], sum(cell["trades"])))
     return out
 
 
@@ -93,7 +117,7 @@ def _close(a, b):
     return b is not None and abs(a - b) <= 1e-9 * max(1.0, abs(a))
 
 
-def test_dense_series_equals_pandas(spark):
+def test_dense_series_equals_loops(spark):
     rows = _market_trades()
     quant = spark.createDataFrame([Row(market_id=m, timestamp=t, seq=s, price=p, usd_amount=u)
                                    for m, t, s, p, u in rows],
@@ -139,7 +163,7 @@ def _random_market_rows(draw):
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture,
                                                                  HealthCheck.too_slow])
 @given(_random_market_rows())
-def test_random_markets_equal_pandas_split_and_unsplit(spark, rows):
+def test_random_markets_equal_loops_split_and_unsplit(spark, rows):
     quant = spark.createDataFrame(rows, "market_id string, timestamp long, seq long, price double, usd_amount double")
     markets = spark.createDataFrame(
         [(i, "q", "Stochastic", 1704067200, 1704067200 + 5 * 86400, '[{"slug":"crypto","label":"Crypto"}]')

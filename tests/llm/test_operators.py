@@ -112,12 +112,42 @@ def test_packing_edges(docs, empty):
     assert packing.pack_table(empty, TOKENIZER).count() == 0
 
 
-def test_line_dedup_matches_sql(spark):
+@pytest.mark.parametrize("digits", [line_dedup.DIGITS, 1])  # with one digit many different lines have one hash
+def test_line_dedup_matches_sql(spark, digits):
     t = spark.read.parquet(f"{SF}/documents.parquet")
-    got = sorted(tuple(r) for r in line_dedup.dedup_lines(t, counts=True).select("doc_id", "line_dedup.*", "text").collect())
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(t, counts=True, digits=digits).select("doc_id", "line_dedup.*", "text").collect())
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    assert got == sorted(con.execute(line_dedup.DEDUP_SQL).fetchall())
+    assert got == sorted(con.execute(line_dedup.dedup_sql(digits)).fetchall())
+
+
+def test_line_dedup_finds_short_passages(spark):
+    rng = random.Random(4)
+    lines = lambda n: [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(400):
+        passage = lines(rng.randint(2, 6))
+        for copy in range(2):
+            i = 2 * k + copy
+            rows.append((i, "\n".join([*lines(rng.randint(1, 5)), *passage, *lines(rng.randint(1, 5))])))
+        planted[2 * k + 1] = set(passage)
+    whole = lost = 0
+    before = dict(rows)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        left, had = r["text"].split("\n"), before[r["doc_id"]].split("\n")
+        assert [x for x in had if x not in planted.get(r["doc_id"], ())] == [x for x in left if x not in planted.get(r["doc_id"], ())]
+        if r["doc_id"] in planted:
+            whole += not planted[r["doc_id"]] & set(left)
+            lost += 1
+        else:
+            assert left == had
+    assert whole >= 0.9 * lost
+
+
+def test_line_dedup_blank_lines_and_order(spark):
+    rows = [(2, "\n \none\n\ntwo\nthree\n"), (1, "one\ntwo\n\nthree"), (None, "\n\n"), (4, "one\ntwo\nthree\nfour five")]
+    got = dict((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {2: "", 1: rows[1][1], None: "\n\n", 4: "four five"}
 
 
 def test_line_dedup_edges(docs, empty):

@@ -2,7 +2,7 @@
 
 ``bin_table`` makes the single pass over the trade features: one row per
 (market, bin) with the bin's last price and z, volume and trade counts, the
-quality-filter inputs and the regression partial sums. Everything after it
+quality-filter inputs and the regression's moments. Everything after it
 works on that table, whose size is bounded by market lifetimes, not by trade
 counts.
 """
@@ -21,13 +21,19 @@ KEY = "market_id"
 def bin_table(features: DataFrame, order: tuple[str, ...] = ("timestamp", "seq"),
               bin_seconds: int = K.BIN_SECONDS) -> DataFrame:
     """Per (market, bin): last non-NULL price and z (T10), yes/no volume,
-    trade counts, usd total, price extremes and OLS partial sums."""
+    trade counts, usd total, price extremes and the regression's means and
+    centred moments."""
     ord_struct = F.struct(*order)
     f = features.withColumn("bin", F.floor(F.col("timestamp") / F.lit(bin_seconds)).cast("long"))
     mask = F.col("ret").isNotNull() & F.col("zscore").isNotNull() & F.col("future_z").isNotNull()
 
-    def ms(c):
-        return F.sum(F.when(mask, c))
+    n_obs = F.count_if(mask)
+
+    def mean(c):
+        return F.avg(F.when(mask, c))
+
+    def moment(a, b):  # the sum of products about the bin's means; Spark merges it without large squares
+        return F.covar_pop(F.when(mask, a), F.when(mask, b)) * n_obs
 
     y, n, z = F.col("yes_vol"), F.col("no_vol"), F.col("future_z")
     return f.groupBy(KEY, "bin").agg(
@@ -41,10 +47,10 @@ def bin_table(features: DataFrame, order: tuple[str, ...] = ("timestamp", "seq")
         F.sum("usd_amount").alias("usd"),
         F.max("price").alias("p_max"),
         F.min("price").alias("p_min"),
-        F.count_if(mask).alias("ols_n"),
-        ms(y).alias("ols_y"), ms(n).alias("ols_n1"),
-        ms(y * y).alias("ols_yy"), ms(n * n).alias("ols_nn"), ms(y * n).alias("ols_yn"),
-        ms(z).alias("ols_z"), ms(y * z).alias("ols_yz"), ms(n * z).alias("ols_nz"),
+        n_obs.alias("ols_n"),
+        mean(y).alias("ols_y"), mean(n).alias("ols_n1"), mean(z).alias("ols_z"),
+        moment(y, y).alias("ols_yy"), moment(n, n).alias("ols_nn"), moment(y, n).alias("ols_yn"),
+        moment(y, z).alias("ols_yz"), moment(n, z).alias("ols_nz"),
     )
 
 

@@ -1,8 +1,9 @@
 """Market-impact regression (D8): future_z ~ 1 + yes_volume + no_volume.
 
-The normal equations are summed over the bin table (itself a partial sum
-over trades) into one row and solved with column expressions on centred
-moments, so the fit never leaves Spark and is one tiny aggregate.
+Each bin carries its means and its moments about them. They are merged about
+the overall means, which a one-row subquery gives: a bin adds its own moments and those
+of its means. No raw sum of squares is formed, so large volumes
+lose no digits, and the fit never leaves Spark.
 """
 
 from __future__ import annotations
@@ -15,17 +16,21 @@ from marketlens.functions import constants as K
 
 def fit_impact(bins: DataFrame) -> DataFrame:
     """One row: n, yes_impact, no_impact (defaults when singular)."""
-    s = bins.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in
-                   ("ols_n", "ols_y", "ols_n1", "ols_yy", "ols_nn", "ols_yn", "ols_z", "ols_yz", "ols_nz")])
-    n = F.col("ols_n").cast("double")
-    sy, sn, sz = F.col("ols_y"), F.col("ols_n1"), F.col("ols_z")
-    # centred second moments
-    # guarded divisions: ANSI mode raises on x / 0, and n = 0 means no data
-    cyy = F.col("ols_yy") - F.try_divide(sy * sy, n)
-    cnn = F.col("ols_nn") - F.try_divide(sn * sn, n)
-    cyn = F.col("ols_yn") - F.try_divide(sy * sn, n)
-    cyz = F.col("ols_yz") - F.try_divide(sy * sz, n)
-    cnz = F.col("ols_nz") - F.try_divide(sn * sz, n)
+    n = F.col("ols_n")
+
+    def overall(c):
+        return F.try_divide(F.sum(n * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), n)))
+
+    means = ("ols_y", "ols_n1", "ols_z")
+    centre = bins.agg(F.struct(*[overall(c).alias(c) for c in means]).alias("centre")).scalar()
+    off = bins.withColumn("centre", centre).select("*", *[(F.col(c) - F.col("centre")[c]).alias(f"d_{c}") for c in means])
+
+    def merged(moment, a, b):
+        return F.coalesce(F.sum(F.col(moment) + n * F.col(f"d_{a}") * F.col(f"d_{b}")), F.lit(0.0)).alias(moment)
+
+    s = off.agg(F.coalesce(F.sum(n), F.lit(0)).alias("ols_n"), merged("ols_yy", "ols_y", "ols_y"), merged("ols_nn", "ols_n1", "ols_n1"),
+                merged("ols_yn", "ols_y", "ols_n1"), merged("ols_yz", "ols_y", "ols_z"), merged("ols_nz", "ols_n1", "ols_z"))
+    cyy, cnn, cyn, cyz, cnz = (F.col(c) for c in ("ols_yy", "ols_nn", "ols_yn", "ols_yz", "ols_nz"))
     det = cyy * cnn - cyn * cyn
     ok = (F.col("ols_n") > 0) & (det != 0)
     b_yes = F.when(ok, F.try_divide(cnn * cyz - cyn * cnz, det)).otherwise(F.lit(K.DEFAULT_YES_IMPACT))

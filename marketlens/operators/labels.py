@@ -157,23 +157,45 @@ def classification_overall(df: DataFrame, conf: str = "confidence") -> DataFrame
                   F.count_if(F.col(conf) < F.lit(K.LOW_CONFIDENCE)).alias("low_confidence_count"))
 
 
-def summary_lines(summary: DataFrame, overall: DataFrame) -> DataFrame:
-    """S11 text report lines (one column ``value``) for ``write.text``."""
-    head = overall.select(F.format_string(
-        "Markets classified: %d|Mean confidence: %.4f|Low confidence (<0.5): %d",
-        "total_markets_classified", "mean_confidence", "low_confidence_count").alias("value"))
-    head = head.select(F.explode(F.split("value", r"\|")).alias("value"))
-    body = summary.select(F.format_string("  %s: %d (%s%%)", "label", "count",
-                                          F.col("percent").cast("string")).alias("value"))
-    return head.unionByName(body)
-
-
-def write_summary(summary: DataFrame, overall: DataFrame, path: str) -> None:
-    """The summary as JSON rows (per label and overall) and as a text
-    report, under ``path``/json and ``path``/text."""
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json/labels")
-    overall.coalesce(1).write.mode("overwrite").json(f"{path}/json/overall")
-    summary_lines(summary, overall).coalesce(1).write.mode("overwrite").text(f"{path}/text")
+def summary_document(summary: DataFrame, overall: DataFrame, elapsed_s: float) -> dict:
+    """The whole report as one document; its size is that of the label set."""
+    rows, total = sorted(summary.collect(), key=lambda r: r["label"]), overall.first()
+    mean = total["mean_confidence"]
+    return {
+        "total_markets_classified": total["total_markets_classified"],
+        "elapsed_seconds": round(elapsed_s, 2),
+        "label_distribution": {r["label"]: {"count": r["count"], "percent": r["percent"]} for r in rows},
+        "mean_confidence": float("nan") if mean is None else mean,
+        "mean_confidence_by_label": {
+            r["label"]: float("nan") if r["mean_confidence"] is None else r["mean_confidence"] for r in rows if r["count"]},
+        "low_confidence_count_below_0.5": total["low_confidence_count"],
+    }
+
+
+def summary_text(doc: dict) -> str:
+    """The document as a text report."""
+    # fixed values: the report's wording and number formats
+    out = "Markets classification summary\n" + "=" * 40 + "\n"
+    out += "Markets classified: {:,}\n".format(doc["total_markets_classified"])
+    out += "Elapsed: {:.1f}s\n".format(doc["elapsed_seconds"])
+    out += "Mean confidence: {:.4f}\n".format(doc["mean_confidence"])
+    out += "Low confidence (<0.5): {:,}\n".format(doc["low_confidence_count_below_0.5"])
+    out += "\nPredicted label distribution:\n"
+    out += "".join("  {}: {:,} ({}%)\n".format(k, v["count"], v["percent"]) for k, v in doc["label_distribution"].items())
+    out += "\nMean confidence by label:\n"
+    return out + "".join("  {}: {:.4f}\n".format(k, v) for k, v in doc["mean_confidence_by_label"].items())
+
+
+def write_summary(summary: DataFrame, overall: DataFrame, path: str, elapsed_s: float = 0.0) -> dict:
+    """``path``/summary.json and ``path``/summary.txt, on whatever file system ``path`` names."""
+    import json
+
+    from marketlens.session import write_file
+
+    doc = summary_document(summary, overall, elapsed_s)
+    write_file(summary.sparkSession, f"{path}/summary.json", json.dumps(doc, indent=2))
+    write_file(summary.sparkSession, f"{path}/summary.txt", summary_text(doc))
+    return doc
 
 
 def unknown_labels(holdout: DataFrame, known: DataFrame, label: str = "label") -> DataFrame:

@@ -26,10 +26,19 @@ def certainty_job(spark: SparkSession, trades_path: str, markets_path: str, out_
     return {"rows": audit["rows"], "null_labels": audit["null_labels"]}
 
 
+#: Markets expected in one row group of the written series, for the size of its Bloom filter.
+MARKETS_PER_ROW_GROUP = 10_000
+
+
+def save_timeseries(timeseries: DataFrame, path: str) -> None:
+    """The series of all markets as a table made for reading one market."""
+    save(timeseries, path, key="market_id", order=["timestamp"], bloom={"market_id": MARKETS_PER_ROW_GROUP})
+
+
 def timeseries_job(spark: SparkSession, quant: DataFrame, markets: DataFrame, out_dir: str,
                    **kw) -> dict:
     """dashboard_timeseries (range-partitioned and sorted by market and time,
-    so a one-market lookup skips row groups) and dashboard_catalog.
+    with a Bloom filter on the market, so a one-market lookup skips row groups) and dashboard_catalog.
     Fails when no market passes the filters; ``kw`` goes to ``timeseries.build``."""
     b = TS.build(quant, markets, **kw)
     kept = b.final_catalog.count()
@@ -37,7 +46,7 @@ def timeseries_job(spark: SparkSession, quant: DataFrame, markets: DataFrame, ou
         raise ValueError("no market is left after the quality filters")
     ts_path = os.path.join(out_dir, "dashboard_timeseries")
     cat_path = os.path.join(out_dir, "dashboard_catalog")
-    save(b.timeseries, ts_path, key="market_id", order=["timestamp"])
+    save_timeseries(b.timeseries, ts_path)
     save(b.final_catalog, cat_path)
     coef = b.impact.first()
     return {"markets": kept, "yes_impact": coef["yes_impact"], "no_impact": coef["no_impact"],
@@ -67,4 +76,4 @@ def pushed_filters(df: DataFrame) -> str:
     return "\n".join(line for line in plan.splitlines() if "PushedFilters" in line)
 
 
-__all__ = ["certainty_job", "enrichment_job", "timeseries_job", "market_series", "pushed_filters"]
+__all__ = ["certainty_job", "enrichment_job", "save_timeseries", "timeseries_job", "market_series", "pushed_filters"]

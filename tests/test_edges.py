@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketlens.functions import duck_round, primary_category, safe_bigint, truncated_bigint
+from marketlens.operators import bars as B
 from marketlens.operators import dashboard as DB
 from marketlens.operators import density as DN
 from marketlens.operators import impact as IM
@@ -62,24 +63,33 @@ def test_duck_round_scales_first(spark):
     assert got == [0.28, 1.0, -2.5, 2.68]
 
 
+def _features(spark, rows):
+    """Trade features of ``rows`` (market, bin, yes_vol, no_vol, future_z), one trade each."""
+    out = [(m, b * 1800 + i % 1800, i, 0.5, 0.1, y, n, y > 0, 1.0, 0.0, z) for i, (m, b, y, n, z) in enumerate(rows)]
+    return spark.createDataFrame(out, "market_id string, timestamp long, seq long, price double, zscore double, yes_vol double, "
+                                 "no_vol double, is_yes boolean, usd_amount double, ret double, future_z double")
+
+
 def test_impact_singular_gives_defaults(spark):
     # every trade on the YES side -> no-volume column is all zero -> singular
-    rows = [Row(ols_n=3, ols_y=6.0, ols_n1=0.0, ols_yy=14.0, ols_nn=0.0, ols_yn=0.0, ols_z=1.0, ols_yz=2.0, ols_nz=0.0)]
-    r = IM.fit_impact(spark.createDataFrame(rows)).first()
-    assert (r["yes_impact"], r["no_impact"]) == (0.000015, 0.000015)
+    r = IM.fit_impact(B.bin_table(_features(spark, [("a", k, float(k + 1), 0.0, 0.5) for k in range(3)]))).first()
+    assert (r["n"], r["yes_impact"], r["no_impact"]) == (3, 0.000015, 0.000015)
+    r = IM.fit_impact(B.bin_table(_features(spark, []))).first()
+    assert (r["n"], r["yes_impact"], r["no_impact"]) == (0, 0.000015, 0.000015)
 
 
-def test_impact_recovers_exact_plane(spark):
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_impact_recovers_exact_plane(spark, offset):
     import random
     rnd = random.Random(1)
-    pts = [(rnd.random() * 10, rnd.random() * 10) for _ in range(50)]
-    z = [0.3 + 0.02 * y - 0.05 * n for y, n in pts]
-    agg = Row(ols_n=50, ols_y=sum(y for y, _ in pts), ols_n1=sum(n for _, n in pts),
-              ols_yy=sum(y * y for y, _ in pts), ols_nn=sum(n * n for _, n in pts),
-              ols_yn=sum(y * n for y, n in pts), ols_z=sum(z),
-              ols_yz=sum(y * v for (y, _), v in zip(pts, z)), ols_nz=sum(n * v for (_, n), v in zip(pts, z)))
-    r = IM.fit_impact(spark.createDataFrame([agg])).first()
-    assert abs(r["yes_impact"] - 0.02) < 1e-9 and abs(r["no_impact"] + 0.05) < 1e-9
+    rows = []
+    for k in range(400):
+        y, n = rnd.random() * 10, rnd.random() * 10
+        rows.append((f"m{k % 3}", k % 11, offset + y, offset + n, 0.3 + 0.02 * y - 0.05 * n))
+    rows.append(("m0", 3, 5.0, 5.0, None))  # no next z: not an observation
+    r = IM.fit_impact(B.bin_table(_features(spark, rows))).first()
+    assert r["n"] == 400
+    assert abs(r["yes_impact"] - 0.02) < 1e-7 and abs(r["no_impact"] + 0.05) < 1e-7
 
 
 def test_ridgeline_min_n_and_zero_range(spark):

@@ -27,12 +27,87 @@ def test_certainty_job_audit(spark):
 
 def test_summary_report_files(spark):
     from marketlens.operators import labels as LB
-    df = fx.fx_labeled(spark, SF01)
+    rows = [("B", 0.75)] * 1500 + [("A", 0.25)] * 500 + [("A", None)]
+    df = spark.createDataFrame(rows, "predicted_label string, confidence double")
     d = tempfile.mkdtemp(prefix="ml-sum-")
-    LB.write_summary(LB.classification_summary(df, LB.classes(df, "label")), LB.classification_overall(df), d)
-    lines = [r[0] for r in spark.read.text(os.path.join(d, "text")).collect()]
-    assert any(x.startswith("Markets classified: ") for x in lines)
-    assert len(spark.read.json(os.path.join(d, "json", "labels")).collect()) == 4
+    known = ["B", "C", "A"]
+    LB.write_summary(LB.classification_summary(df, known), LB.classification_overall(df), d, elapsed_s=12.345)
+    with open(os.path.join(d, "summary.json"), "rb") as f:
+        assert f.read() == b"""{
+  "total_markets_classified": 2001,
+  "elapsed_seconds": 12.35,
+  "label_distribution": {
+    "A": {
+      "count": 501,
+      "percent": 25.04
+    },
+    "B": {
+      "count": 1500,
+      "percent": 74.96
+    },
+    "C": {
+      "count": 0,
+      "percent": 0.0
+    }
+  },
+  "mean_confidence": 0.625,
+  "mean_confidence_by_label": {
+    "A": 0.25,
+    "B": 0.75
+  },
+  "low_confidence_count_below_0.5": 500
+}""".replace(b"12.35", str(round(12.345, 2)).encode())
+    with open(os.path.join(d, "summary.txt"), "rb") as f:
+        assert f.read() == b"""Markets classification summary
+========================================
+Markets classified: 2,001
+Elapsed: 12.3s
+Mean confidence: 0.6250
+Low confidence (<0.5): 500
+
+Predicted label distribution:
+  A: 501 (25.04%)
+  B: 1,500 (74.96%)
+  C: 0 (0.0%)
+
+Mean confidence by label:
+  A: 0.2500
+  B: 0.7500
+"""
+
+
+def _rows_scanned(df):
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan") or "FileSourceScan" in node.getClass().getName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(plan)
+    return sum(found)
+
+
+def test_point_read_skips_row_groups_by_bloom_filter(spark):
+    from pyspark.sql import functions as F
+
+    from marketlens.sources import save
+
+    d = tempfile.mkdtemp(prefix="ml-bloom-")
+    # every file holds ids over the whole range, so their smallest and largest values skip nothing
+    t = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("v"), F.format_string("m%05d", F.pmod(F.col("id") * 7919, F.lit(40_000))).alias("market_id"))
+    save(t, f"{d}/plain")
+    save(t, f"{d}/bloom", bloom={"market_id": 5_000})
+    read = {k: spark.read.parquet(f"{d}/{k}").where("market_id = 'm12345'") for k in ("plain", "bloom")}
+    assert [r["v"] for r in read["bloom"].collect()] == [r["v"] for r in read["plain"].collect()] != []
+    assert _rows_scanned(read["plain"]) == 40_000
+    assert 5_000 <= _rows_scanned(read["bloom"]) <= 15_000
 
 
 def test_enrichment_rewrites_only_touched_ranges(spark):

@@ -342,6 +342,84 @@ PAGE = """<html><head><title>no</title></head><body><header><h1>no</h1></header>
 <script>if(a<b){"</p>no"}</script></article><div class="comments"><p>no</p></div></div><footer>no</footer>"""
 
 
+def test_main_text_of_the_pages_against_another_parser(spark):
+    """These pages hold one article of headings and paragraphs: read it by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.found = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            elif tag == "br":
+                self.found[-1] += " "
+            elif tag in ("p", "h1"):
+                self.found.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            elif tag in ("p", "h1"):
+                self.found.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.found[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        want = [" ".join(t.split()) for t in parser.found]
+        assert got[r["page_id"]] == "\n\n".join(t for t in want if t), r["page_id"]
+
+
+def _kept(body):
+    return "\n\n".join(t for _, t, *_ in html_extract.blocks(f"<html><body>{body}</body></html>"))
+
+
+def test_article_keeps_sections_named_like_boilerplate():
+    parts = ['<h2 id="related-work">Related work</h2>', '<h2 id="social-history">Social history</h2>', '<p class="notice">Take note.</p>',
+             '<section id="skip-connections"><h3>Skip</h3><p>They add.</p></section>', '<p id="comment-on-method">A remark.</p>']
+    want = "Related work\n\nSocial history\n\nTake note.\n\nSkip\n\nThey add.\n\nA remark."
+    article = f"<article><p>Start of it.</p>{''.join(parts)}</article>"
+    drop = ('<div class="ad">Buy</div><div id="sidebar">Side</div><form><p>Your mail</p></form><div class="cookie-message">We use cookies</div>'
+            '<div class="comments"><article class="comment"><p>First!</p></article></div>')
+    for page in (article, drop + article + drop, f'<form action="/">{article}<input name="q"></form>', f'<div class="has-sidebar"><main>{article}</main></div>',
+                 article.replace("</article>", '<div class="ad">Buy</div><div class="related-posts"><a href="/">One</a> <a href="/">Two</a></div></article>')):
+        assert _kept(page) == "Start of it.\n\n" + want, page
+    # without an article element, a form that holds the page
+    assert _kept("<form>" + "<p>Long text of the page.</p>" * 9 + "</form><p>And more.</p>") == "\n\n".join(["Long text of the page."] * 9 + ["And more."])
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a \"" * 250_000 + ">", "<div>x" * 170_000, "<p>x" * 250_000, "</div" * 200_000, "<div></p>" * 110_000,
+    "<!--" * 250_000, "<script>" * 130_000, "<ul><li>x" * 110_000, "<" * 1_000_000, "&" * 1_000_000, "<a '\">" * 200_000])
+def test_reading_is_linear_in_the_page(page):
+    import time
+
+    start = time.process_time()
+    found = html_extract.blocks(page)
+    html_extract.extract(found, None)
+    assert time.process_time() - start < 5
+
+
+def test_main_text_edges(spark):
+    schema = "page_id long, url string, html string, host string, path string, text string"
+    empty_pages = spark.createDataFrame([], schema)
+    assert html_extract.main_text(empty_pages).count() == 0
+    same = "<div class='{}'><p>Text of equal weight.</p></div>"
+    rows = [(1, "http://h/a", same.format("b") + same.format("a"), "x", "y", "z"), (1, "http://h/a", same.format("b") + same.format("a"), "x", "y", "z"),
+            (None, None, None, None, None, None), (3, "no host", "", "", "", "")]
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got[0] == (0, "", 0) and got[3] == (3, "", 0) and got[1] == got[2] and "Text of equal weight." in got[1][1]
+
+
 def test_main_text(spark):
     rows = [(1, "http://h.example/a", PAGE), (2, "http://h.example/b", None), (3, None, ""), (4, "http://other/", "plain <b>text"), (1, "http://h.example/a", PAGE)]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

@@ -11,8 +11,12 @@ has left, a sweep over those counts pairs them as intervals of ranks, and the
 conflict of several pieces for one gap is thereby settled by rank (largest
 piece, smallest gap first). Gaps are updated and the next round begins.
 
-When few pieces can still be placed, new sequences are opened by the largest
-pieces left, as many as the free space falls short of. Once what is left fits
+A round gives a gap of another partition one piece. Where pieces are small and few get
+a place so, gaps are filled in bulk: pieces and gaps, largest first, are laid
+along two lines by distributed prefix sums of their sizes, and each gap takes the
+run of pieces that lies within it. Only if that places few as well are new
+sequences opened by the largest pieces left, as many as the free space that
+fits them falls short of. Once what is left fits
 one partition its sweep opens sequences itself, and packing ends; a table
 that small is packed by exact best-fit decreasing in one round.
 
@@ -21,7 +25,7 @@ texts and ids never move. The driver sees a few counts per partition.
 
 Defined cases: null text is read as empty; every document has at least the
 end id and hence a piece; repeated rows are packed each; an empty table packs
-into nothing.
+into nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,7 +206,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_sweep: int = ROWS
         state = left_p.select("kind", "id", "size").union(left_g.select("kind", "id", "size")).union(fresh)
         before, state = counts, write_table(state, "packing")
         counts = _counts(state)
-        if counts["p"] and before["p"] - counts["p"] < LEAST_PLACED * before["p"]:
+        few = LEAST_PLACED * before["p"]
+        if counts["p"] and counts["g"] and before["p"] - counts["p"] < few:
+            state, filled = _fill(state, max(1, -(-(counts["p"] + counts["g"]) // rows_per_sweep)), capacity)
+            done = done.union(filled)
+            counts = _counts(state)
+        if counts["p"] + counts["g"] > rows_per_sweep and before["p"] - counts["p"] < few:
             state, first = _open(spark, state, counts, capacity)
             done = done.union(first)
             counts = _counts(state)
@@ -220,30 +229,86 @@ def _counts(state: DataFrame) -> dict:
     return out | {"least": least}
 
 
+def _laid(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """(id, size, start): ``rows`` one after the other, largest first; start is the sum of the sizes before."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            upto = total + np.cumsum(b.column("size").to_numpy(), dtype=np.int64)
+            if len(upto):
+                yield pa.RecordBatch.from_pydict({"id": b.column("id"), "size": b.column("size"), "part": pa.array(np.full(len(upto), part, np.int32)),
+                                                  "local": upto - b.column("size").to_numpy()})
+                total = int(upto[-1])
+
+    order = (F.desc("size"), F.xxhash64("id"))
+    d = rows.select("id", F.col("size").cast("int").alias("size"))
+    d = (d.repartitionByRange(parts, *order) if parts > 1 else d.coalesce(1)).sortWithinPartitions(F.desc("size"), "id")
+    d = write_table(d.mapInArrow(f, "id long, size int, part int, local long"), name)
+    before, first = 0, []
+    for r in d.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():  # one row per partition
+        first.append((r["part"], before))
+        before += r["n"]
+    first = rows.sparkSession.createDataFrame(first, "part int, first long")
+    return d.join(F.broadcast(first), "part").select("id", "size", (F.col("first") + F.col("local")).alias("start"))
+
+
+def _fill(state: DataFrame, parts: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Give each gap the run of pieces that lies within it when both are laid out; (state, placed pieces)."""
+    p, g = (_laid(state.filter(F.col("kind") == k), parts, f"laid-{k}") for k in "pg")
+    g = g.select(F.col("id").alias("gap_id"), F.col("size").alias("gap"), F.col("start").alias("from"))
+    # a gap touches two stretches of ``capacity`` at most
+    cells = g.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / capacity), F.floor((F.col("from") + F.col("gap") - 1) / capacity))))
+    inside = (F.col("start") >= F.col("from")) & (F.col("start") + F.col("size") <= F.col("from") + F.col("gap"))
+    runs = write_table(p.withColumn("cell", F.floor(F.col("start") / capacity)).join(cells, "cell").filter(inside).drop("cell"), "runs")
+    taken = runs.groupBy("gap_id", "gap").agg(F.min("start").alias("first"), F.sum("size").alias("taken"))
+    placed = runs.join(taken.select("gap_id", "first"), "gap_id").select(
+        "id", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("start") - F.col("first")).cast("long").alias("offset"))
+    pieces = state.filter("kind = 'p'").join(runs.select("id"), "id", "left_anti").select("kind", "id", "size")
+    same = state.filter("kind = 'g'").join(taken.select(F.col("gap_id").alias("id")), "id", "left_anti").select("kind", "id", "size")
+    smaller = taken.filter("gap > taken").select(F.lit("g").alias("kind"), F.col("gap_id").alias("id"), (F.col("gap") - F.col("taken")).cast("int").alias("size"))
+    return write_table(pieces.union(same).union(smaller), "packing"), placed
+
+
+def shortage(pieces: dict[int, int], gaps: dict[int, int]) -> int:
+    """Size by which the gaps surely fall short of the pieces (both: size -> number): pieces of a size or more need gaps as large."""
+    need, out = 0, 0
+    for s in sorted(pieces, reverse=True):
+        need += s * pieces[s]
+        out = max(out, need - sum(g * n for g, n in gaps.items() if g >= s))
+    return out
+
+
 def _open(spark: SparkSession, state: DataFrame, counts: dict, capacity: int) -> tuple[DataFrame, DataFrame]:
     """Open sequences with the largest pieces: all above half a sequence (no
     two of them fit together, nor any gap if it is full already) at the start,
-    and as many more as the free space falls short of, one in a hundred at least."""
-    sizes = {r["size"]: r["count"] for r in state.filter("kind = 'p'").groupBy("size").count().collect()}  # at most ``capacity`` rows
-    large = sum(n for s, n in sizes.items() if 2 * s > capacity) if not counts["g"] else 0
-    room = counts["g_total"] + sum(n * (capacity - s) for s, n in sizes.items() if 2 * s > capacity) * bool(large)
-    rest = counts["p_total"] - sum(n * s for s, n in sizes.items() if 2 * s > capacity) * bool(large)
-    want = large + max(-(-max(0, rest - room) // capacity), 0 if large else max(1, counts["p"] // 100))
+    and as many more as the free space falls short of. Later, when rounds place
+    little though space is free, one in a hundred pieces at least opens one."""
+    histograms: dict[str, dict[int, int]] = {"p": {}, "g": {}}
+    for r in state.groupBy("kind", "size").count().collect():  # at most ``capacity`` rows a kind
+        histograms[r["kind"]][r["size"]] = r["count"]
+    sizes, gaps = histograms["p"], histograms["g"]
+    if counts["g"]:
+        want = max(-(-shortage(sizes, gaps) // capacity), counts["p"] // 100, 1)
+    else:
+        large = {s: n for s, n in sizes.items() if 2 * s > capacity}
+        rest = sum(s * n for s, n in sizes.items()) - sum(s * n for s, n in large.items()) - sum((capacity - s) * n for s, n in large.items())
+        want = max(sum(large.values()) + max(0, -(-rest // capacity)), 1)
     limit, above = 0, 0
     for s in sorted(sizes, reverse=True):
         if above + sizes[s] > want:
             limit = s
             break
         above += sizes[s]
-    # of the pieces of the limit's size, a share by hash; at least all larger ones open
-    share = (want - above) / sizes[limit] if limit else 0.0
-    opens = (F.col("kind") == "p") & ((F.col("size") > limit) | ((F.col("size") == limit) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))))
-    if not above and share < 1e-3 and limit:  # a tiny share may hit nothing: open the whole size
-        opens = (F.col("kind") == "p") & (F.col("size") >= limit)
+    opens = (F.col("kind") == "p") & (F.col("size") > limit)
+    if limit and want > above:  # of the pieces of the limit's size a share by hash, and one for certain
+        one = state.filter((F.col("kind") == "p") & (F.col("size") == limit)).agg(F.min("id")).first()[0]
+        share = int((want - above) / sizes[limit] * 2**40)
+        opens = opens | ((F.col("kind") == "p") & (F.col("size") == limit) & ((F.pmod(F.xxhash64("id"), F.lit(2**40)) < share) | (F.col("id") == one)))
     marked = write_table(state.withColumn("opens", opens), "opening")
     seeds = marked.filter("opens")
-    gaps = seeds.select(F.lit("g").alias("kind"), "id", (F.lit(capacity) - F.col("size")).cast("int").alias("size"))
-    after = marked.filter(~F.col("opens")).select("kind", "id", "size").union(gaps.filter("size > 0"))
+    new = seeds.select(F.lit("g").alias("kind"), "id", (F.lit(capacity) - F.col("size")).cast("int").alias("size"))
+    after = marked.filter(~F.col("opens")).select("kind", "id", "size").union(new.filter("size > 0"))
     return write_table(after, "packing"), seeds.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

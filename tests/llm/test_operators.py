@@ -106,6 +106,36 @@ def test_packing_is_valid_and_near_best_fit(spark, rows_per_sweep):
         assert len(by) == best
 
 
+def _best_fit(sizes):
+    free, n = [], 0
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(free, s)
+        if at < len(free):
+            gap = free.pop(at)
+        else:
+            gap, n = 2048, n + 1
+        bisect.insort(free, gap - s)
+    return n
+
+
+@pytest.mark.parametrize("most", [9, 200])
+def test_packing_of_short_pieces_over_many_partitions(spark, most):
+    rng = random.Random(most)
+    sizes = [rng.randint(1, most) for _ in range(6000)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, length long"), rows_per_sweep=600).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], sizes[r["id"]]))
+    assert sorted(r["id"] for r in got) == list(range(6000))
+    for parts in by.values():
+        end = 0
+        for offset, size in sorted(parts):
+            assert offset == end
+            end += size
+        assert end <= 2048
+    assert len(by) <= _best_fit(sizes) * 1.01 + 2
+
+
 def test_packing_edges(docs, empty):
     got = packing.pack_table(docs, TOKENIZER).collect()
     assert sum(r["length"] for r in got) == sum(len(encode(r[1])) + 1 for r in ROWS)

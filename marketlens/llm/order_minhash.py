@@ -14,11 +14,16 @@ length, at least 0.8), and verified links form groups by connected components.
 Equal texts are one node from the start (by md5), however many copies there
 are. A bucket of equal sketches is cut by length and by place of the first
 k-mer with overlapping cells: two texts within the threshold share at least
-one cell. In a cell of up to ``SMALL`` nodes all pairs are verified; a larger
-one is linked in rounds to its most central node or, later, nodes: those that
-match none go on among themselves until all are placed, and in the end nodes
-that failed somewhere are verified against the other groups of their cells. So a large group
-of copies costs one pair per member, and no pair in a shared cell is left out.
+one cell. Each cell has a hub, its most central node. Every node is verified
+against the most central of its hubs, then against the hubs of those cells whose hub
+it is not connected with yet, so that a large group of copies costs about one pair
+per member. What stays unconnected with a hub meets the nodes of other
+components in that cell: all of them in a cell of up to ``SMALL`` nodes, in a
+larger one those with a common k-mer among the rarest of each. That filter
+is exact: of n k-mers an edit changes at most ``K``, so texts within the threshold
+share one of the first ones in any common order (see ``prefix_length``). Texts of one
+template that lie beyond the threshold differ in their rare k-mers and so do
+not meet, while no similar pair in a shared cell is left out.
 
 Defined cases: null text is read as empty; empty texts are copies of each
 other; a text of one word has one k-mer, that word; rows equal
@@ -34,10 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.llm.common import partitions
+from marketlens.llm.token_counts import Levels, token_levels
 from marketlens.session import write_table
 
 K = 2
@@ -46,8 +53,10 @@ SKETCHES = 48
 #: k-mers per sketch, and the share of the text that lies between any two of them.
 SAMPLED = 3
 SPACING = 1 / 5
-#: Nodes in a cell up to which all pairs are verified.
+#: Nodes in a cell up to which those not connected with its hub meet all of other components.
 SMALL = 8
+#: Pairs verified beside one copy of a hub's text.
+BLOCK = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -100,10 +109,10 @@ def word_hashes(text: str, powers: _Powers) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, sampled: bool = True) -> np.ndarray:
     """Hashes of the k-mers with their occurrence numbers, in text order.
 
-    Of a k-mer's occurrences the 1st, 2nd, 4th, 8th ... can be sampled, so that
+    Of a k-mer's occurrences the 1st, 2nd, 4th, 8th ... can be ``sampled``, so that
     a run of one phrase, however long, weighs little in a sketch.
     """
     if len(words) < K:
@@ -116,12 +125,13 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
     order = np.argsort(h, kind="stable")
     ordered = h[order]
     same = ordered[1:] == ordered[:-1]
+    label = np.zeros(len(h), np.uint64)
     if same.any():
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         number = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-        label = np.empty(len(h), np.uint64)
         label[order] = number
-        h = _mix(h + label * _BASE)
+    h = _mix(h + label * _BASE)  # also where nothing repeats: a k-mer's first occurrence is the same in every text
+    if sampled:
         h[(label & (label + np.uint64(1))) > 0] = _NEVER
     return h
 
@@ -251,9 +261,23 @@ def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
     return int(row[end])
 
 
+def most_edits(longer: int) -> int:
+    return int(np.floor(longer * (1 - SIMILARITY) + 1e-9))
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     longer = max(len(x), len(y))
-    return within(x, y, int(np.floor(longer * (1 - SIMILARITY) + 1e-9))) if longer else True
+    return within(x, y, most_edits(longer)) if longer else True
+
+
+def prefix_length(words: int) -> int:
+    """How many of a text's k-mers, first by any order common to all texts, hold one of every similar text's first ones.
+
+    With d edits two texts share at least (longer text's k-mers - K d) k-mers.
+    A text one word longer than this one can allow one edit more, which
+    costs K shared k-mers and brings one: K - 1 beyond the K d + 1 for equal lengths.
+    """
+    return min(max(1, words - K + 1), K * most_edits(words) + K)
 
 
 # Spark side
@@ -311,28 +335,33 @@ def _cells(nodes: DataFrame) -> DataFrame:
     return cells.join(met, "node").select("cell", "node", "n", F.struct(-F.col("met"), F.col("node")).alias("rank"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok) for pairs (a, b) of nodes."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        known: dict[bytes, np.ndarray] = {}
-
-        def words(node: bytes, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[node] = word_hashes(text, powers)
-            return known[node]
-
-        for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-            ok = [similar(words(i, s), words(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
-
-    d = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    d = d.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return write_table(d.select("a", "b", "x", "y").mapInArrow(f, "a binary, b binary, ok boolean"), "omh-verified")
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, block, kind): the hub's text, then the texts to compare it with."""
+    powers = _Powers()
+    mine = None
+    for batch in batches:
+        a, b, ok = [], [], []
+        for hub, kind, node, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "node", "text")), strict=True):
+            w = word_hashes(text, powers)
+            if kind == 0:
+                mine = w
+                continue
+            a.append(min(hub, node))
+            b.append(max(hub, node))
+            ok.append(similar(mine, w))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, ok), a < b, for distinct pairs (hub, node): a hub's text travels once for ``BLOCK`` of its pairs."""
+    pairs = write_table(pairs, "omh-pairs")
+    per_hub = pairs.groupBy("hub").agg(F.count("*").alias("pairs"))
+    pairs = pairs.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("pairs") / BLOCK)))
+    hubs = pairs.select("hub", "block").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
+    rows = pairs.select("hub", "block", "node").join(texts, "node").select("hub", "block", F.lit(1).alias("kind"), "node", "text")
+    rows = rows.unionByName(hubs.select("hub", "block", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("node"), "text"))
+    rows = rows.repartition(n, "hub", "block").sortWithinPartitions("hub", "block", "kind").select("hub", "kind", "node", "text")
+    return write_table(rows.mapInArrow(_compare_blocks, "a binary, b binary, ok boolean"), "omh-verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,44 +388,99 @@ def components(links: DataFrame) -> DataFrame:
     return write_table(roots.withColumnRenamed("a", "node").union(roots.select("root", "root").distinct()), "omh-roots")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _all_kmers(text: str | None) -> np.ndarray:
+    return labelled_kmers(word_hashes(text or "", _Powers()), sampled=False)
+
+
+def _rare_kmers(levels: Levels):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, words, kmers): a text's first k-mers, rare ones first, that another text may hold."""
+        powers = _Powers()
+        for b in batches:
+            words, kmers = [], []
+            for text in b.column("text").to_pylist():
+                w = word_hashes(text, powers)
+                h = np.sort(labelled_kmers(w, sampled=False))
+                level = levels.of(h)
+                first = np.argsort(level, kind="stable")[: prefix_length(len(w))]  # by level, then by hash
+                words.append(len(w))
+                kmers.append(h[first][level[first] > 0].view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(k) for k in kmers])]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "words": pa.array(words, pa.int64()),
+                                              "kmers": pa.ListArray.from_arrays(at, np.concatenate([np.empty(0, np.int64), *kmers]))})
+
+    return f
+
+
+def _met_by_kmers(rest: DataFrame, members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(hub, node): pairs of different components that share a large cell in which ``hub`` is one of the ``rest``, and a rare k-mer.
+
+    ``rest``: (cell, node, root); ``members``: (cell, node, root) of all nodes in the cells of ``rest``.
+    """
+    some = write_table(members.groupBy("node").agg(F.first("root").alias("root"), F.collect_set("cell").alias("cells")), "omh-members")  # at most 4 cells a sketch
+    mine = rest.groupBy("node").agg(F.collect_set("cell").alias("rest_cells"))
+    read = write_table(texts.join(some.select("node"), "node"), "omh-rest-texts")
+    levels = token_levels(read.select("text"), _all_kmers, n)
+    rare = write_table(read.repartition(n).mapInArrow(_rare_kmers(levels), "node binary, words long, kmers array<long>"), "omh-kmers")
+    rare = rare.join(some.select("node", "root"), "node").join(mine.select("node", F.lit(True).alias("is_rest")), "node", "left")
+    lists = rare.select("node", "root", "words", F.coalesce("is_rest", F.lit(False)).alias("is_rest"), F.explode("kmers").alias("kmer"))
+    useful = lists.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("is_rest").alias("any")).filter("any and low <> high")
+    lists = write_table(lists.join(useful.select("kmer"), "kmer", "left_semi"), "omh-lists")
+    hubs = lists.filter("is_rest").select("kmer", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("words").alias("hub_words"))
+    close = F.least("words", "hub_words") >= SIMILARITY * F.greatest("words", "hub_words") - 1e-9
+    once = ~F.col("is_rest") | (F.col("hub") < F.col("node"))
+    met = hubs.join(lists, "kmer").filter((F.col("root") != F.col("hub_root")) & close & once).select("hub", "node").distinct()
+    # the shared cell must be one that either of them is left over in
+    met = met.join(mine.withColumnRenamed("node", "hub"), "hub").join(some.select("node", "cells"), "node")
+    met = met.join(mine.withColumnRenamed("rest_cells", "other"), "node", "left").join(some.select(F.col("node").alias("hub"), F.col("cells").alias("hub_cells")), "hub")
+    shared = F.arrays_overlap("rest_cells", "cells") | F.coalesce(F.arrays_overlap("other", "hub_cells"), F.lit(False))
+    return met.filter(shared).select("hub", "node")
+
+
+def _undone(pairs: DataFrame, *done: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, node) that no table of ``done`` holds, either way round."""
+    d = pairs.select("hub", "node", F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).dropDuplicates(["a", "b"])
+    for t in done:
+        d = d.join(t.select("a", "b"), ["a", "b"], "left_anti")
+    return d.select("hub", "node")
+
+
+def _with_roots(d: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    return d.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
 
 def groups(cells: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root): the groups that verified links between nodes of one cell make."""
-    few = cells.filter(F.col("n") <= SMALL)
-    pairs = few.select("cell", F.col("node").alias("a")).join(few.select("cell", F.col("node").alias("b")), "cell").filter("a < b").select("a", "b")
-    left = cells.filter(F.col("n") > SMALL).select("cell", "node", "rank")
-    place = F.row_number().over(W.partitionBy("cell").orderBy("rank"))
-    leaders, failed, done = 1, None, None
-    while True:  # the larger cells: nodes that match no leader go on among themselves, with more leaders each round
-        first = left.withColumn("place", place).filter(F.col("place") <= leaders).select("cell", F.col("node").alias("leader"), F.col("rank").alias("before"))
-        star = left.join(first, "cell").filter("before < rank").select("cell", "node", "rank", *_pair("leader", "node"))
-        todo = star.select("a", "b")
-        if done is None:
-            done = _verify(pairs.union(todo).distinct(), texts)
-        else:
-            done = done.union(_verify(todo.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), texts))
-        matched = star.join(done.filter("ok").select("a", "b"), ["a", "b"]).select("cell", "node").distinct()
-        left = left.join(matched, ["cell", "node"], "left_anti").join(first.select("cell", F.col("leader").alias("node")), ["cell", "node"], "left_anti")
-        left = write_table(left, "omh-left")
-        if left.isEmpty():
-            break
-        failed = left if failed is None else failed.union(left)
-        leaders *= 4
-    roots = components(done.filter("ok"))
-    if failed is None:
+    n = partitions(cells.sparkSession)
+    hubs = cells.groupBy("cell").agg(F.min("rank").alias("lead"))
+    star = cells.join(hubs, "cell").select("cell", "node", "n", "lead", F.col("lead.node").alias("hub")).filter("node <> hub")
+    star = write_table(star, "omh-star")
+    one = _verify(_undone(star.groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("lead.node").alias("hub"), "node")), texts, n)
+    roots = components(one.filter("ok"))
+    left = _with_roots(_with_roots(star, roots, "node", "root"), roots, "hub", "hub_root").filter("root <> hub_root")
+    two = _verify(_undone(left.select("hub", "node"), one), texts, n)
+    if not two.filter("ok").isEmpty():
+        roots = components(_as_links(roots).union(two.filter("ok").select("a", "b")))
+    left = _with_roots(_with_roots(star, roots, "node", "root"), roots, "hub", "hub_root").filter("root <> hub_root")
+    left = write_table(left.select("cell", "node", "n", "root"), "omh-left")
+    if left.isEmpty():
         return roots
-    # nodes that failed somewhere meet the other groups of their cells
-    with_root = cells.select("cell", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mine = failed.select("cell", "node").distinct().join(with_root, ["cell", "node"])
-    other = mine.select("cell", F.col("node").alias("m"), F.col("root").alias("m_root")).join(with_root, "cell").filter("root <> m_root")
-    more = other.select(*_pair("m", "node")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(more, texts).filter("ok").select("a", "b")
+    # what is not connected with its hub meets the other components of the cell
+    with_left = left.select("cell").distinct()
+    members = write_table(_with_roots(cells.join(with_left, "cell", "left_semi").select("cell", "node", "n"), roots, "node", "root"), "omh-meet")
+    few = left.filter(F.col("n") <= SMALL).select("cell", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    pairs = few.join(members.filter(F.col("n") <= SMALL), "cell").filter("root <> hub_root").select("hub", "node")
+    large = left.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        pairs = pairs.union(_met_by_kmers(large, members.filter(F.col("n") > SMALL), texts, n))
+    more = _verify(_undone(pairs, one, two), texts, n).filter("ok")
     if more.isEmpty():
         return roots
-    return components(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return components(_as_links(roots).union(more.select("a", "b")))
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from marketlens.llm import jaccard_groups as jg
+from marketlens.llm.token_counts import token_levels
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n int, node string, row string, token long"
@@ -78,7 +79,7 @@ def test_all_pairs(spark, blocks, monkeypatch):
 def test_counts_reach_the_tables(spark, monkeypatch):
     monkeypatch.setattr(jg, "BLOCK_BITS", 9)
     texts = [f"common words of all texts and then {i} own {i} words {i // 2}" for i in range(200)]
-    levels = jg._levels(frame(spark, list(enumerate(texts))).select("text").repartition(5), 7)
+    levels = token_levels(frame(spark, list(enumerate(texts))).select("text").repartition(5), jg.shingles, 7)
     of = {i: levels.of(jg.shingles(t)) for i, t in enumerate(texts)}
     common = set(jg.shingles(texts[0]).tolist()) & set(jg.shingles(texts[9]).tolist())
     for i, t in enumerate(texts):

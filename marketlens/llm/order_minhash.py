@@ -412,29 +412,25 @@ def _rare_kmers(levels: Levels):
     return f
 
 
-def _met_by_kmers(rest: DataFrame, members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(hub, node): pairs of different components that share a large cell in which ``hub`` is one of the ``rest``, and a rare k-mer.
+def _met_by_kmers(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(hub, node): pairs of different components in a cell that share a rare k-mer.
 
-    ``rest``: (cell, node, root); ``members``: (cell, node, root) of all nodes in the cells of ``rest``.
+    ``members``: (cell, node, root, is_rest), is_rest where the node is not connected with the cell's hub, as
+    at least one node of every such pair is.
     """
-    some = write_table(members.groupBy("node").agg(F.first("root").alias("root"), F.collect_set("cell").alias("cells")), "omh-members")  # at most 4 cells a sketch
-    mine = rest.groupBy("node").agg(F.collect_set("cell").alias("rest_cells"))
-    read = write_table(texts.join(some.select("node"), "node"), "omh-rest-texts")
+    read = write_table(texts.join(members.select("node").distinct(), "node"), "omh-rest-texts")
     levels = token_levels(read.select("text"), _all_kmers, n)
     rare = write_table(read.repartition(n).mapInArrow(_rare_kmers(levels), "node binary, words long, kmers array<long>"), "omh-kmers")
-    rare = rare.join(some.select("node", "root"), "node").join(mine.select("node", F.lit(True).alias("is_rest")), "node", "left")
-    lists = rare.select("node", "root", "words", F.coalesce("is_rest", F.lit(False)).alias("is_rest"), F.explode("kmers").alias("kmer"))
-    useful = lists.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("is_rest").alias("any")).filter("any and low <> high")
-    lists = write_table(lists.join(useful.select("kmer"), "kmer", "left_semi"), "omh-lists")
-    hubs = lists.filter("is_rest").select("kmer", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("words").alias("hub_words"))
+    lists = members.join(rare, "node").select("node", "root", "words", "is_rest", "cell", F.explode("kmers").alias("kmer"))
+    lists = lists.select("node", "root", "words", "is_rest", F.xxhash64("cell", "kmer").alias("list"))
+    full = lists.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("set"),
+                                     F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    once = full.groupBy("a", "b", "n", "set").agg(F.min("list").alias("list")).select("list")  # lists with the same nodes: one of them
+    lists = write_table(lists.join(once, "list", "left_semi"), "omh-lists")
+    hubs = lists.filter("is_rest").select("list", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("words").alias("hub_words"))
     close = F.least("words", "hub_words") >= SIMILARITY * F.greatest("words", "hub_words") - 1e-9
-    once = ~F.col("is_rest") | (F.col("hub") < F.col("node"))
-    met = hubs.join(lists, "kmer").filter((F.col("root") != F.col("hub_root")) & close & once).select("hub", "node").distinct()
-    # the shared cell must be one that either of them is left over in
-    met = met.join(mine.withColumnRenamed("node", "hub"), "hub").join(some.select("node", "cells"), "node")
-    met = met.join(mine.withColumnRenamed("rest_cells", "other"), "node", "left").join(some.select(F.col("node").alias("hub"), F.col("cells").alias("hub_cells")), "hub")
-    shared = F.arrays_overlap("rest_cells", "cells") | F.coalesce(F.arrays_overlap("other", "hub_cells"), F.lit(False))
-    return met.filter(shared).select("hub", "node")
+    wanted = (F.col("root") != F.col("hub_root")) & close & (~F.col("is_rest") | (F.col("hub") < F.col("node")))
+    return hubs.join(lists, "list").filter(wanted).select("hub", "node").distinct()
 
 
 def _undone(pairs: DataFrame, *done: DataFrame) -> DataFrame:
@@ -472,7 +468,9 @@ def groups(cells: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = few.join(members.filter(F.col("n") <= SMALL), "cell").filter("root <> hub_root").select("hub", "node")
     large = left.filter(F.col("n") > SMALL)
     if not large.isEmpty():
-        pairs = pairs.union(_met_by_kmers(large, members.filter(F.col("n") > SMALL), texts, n))
+        rest = large.select("cell", "node", F.lit(True).alias("is_rest"))
+        meet = members.filter(F.col("n") > SMALL).join(rest, ["cell", "node"], "left").withColumn("is_rest", F.coalesce("is_rest", F.lit(False)))
+        pairs = pairs.union(_met_by_kmers(meet, texts, n))
     more = _verify(_undone(pairs, one, two), texts, n).filter("ok")
     if more.isEmpty():
         return roots

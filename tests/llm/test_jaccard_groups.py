@@ -8,7 +8,7 @@ import re
 import pytest
 
 from marketlens.llm import jaccard_groups as jg
-from marketlens.llm.token_counts import token_levels
+from marketlens.llm import token_counts
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n int, node string, row string, token long"
@@ -70,16 +70,16 @@ def made(seed):
 
 @pytest.mark.parametrize("blocks", [22, 8])
 def test_all_pairs(spark, blocks, monkeypatch):
-    monkeypatch.setattr(jg, "BLOCK_BITS", blocks)
-    monkeypatch.setattr(jg, "FREQUENT", 3)
+    monkeypatch.setattr(token_counts, "BLOCK_BITS", blocks)
+    monkeypatch.setattr(token_counts, "FREQUENT", 3)
     rows = made(blocks)
     assert got(jg.jaccard_components(frame(spark, rows))) == expected(rows)
 
 
 def test_counts_reach_the_tables(spark, monkeypatch):
-    monkeypatch.setattr(jg, "BLOCK_BITS", 9)
+    monkeypatch.setattr(token_counts, "BLOCK_BITS", 9)
     texts = [f"common words of all texts and then {i} own {i} words {i // 2}" for i in range(200)]
-    levels = token_levels(frame(spark, list(enumerate(texts))).select("text").repartition(5), jg.shingles, 7)
+    levels = token_counts.token_levels(frame(spark, list(enumerate(texts))).select("text").repartition(5), jg.shingles, 7)
     of = {i: levels.of(jg.shingles(t)) for i, t in enumerate(texts)}
     common = set(jg.shingles(texts[0]).tolist()) & set(jg.shingles(texts[9]).tolist())
     for i, t in enumerate(texts):

@@ -2,10 +2,12 @@
 
 ``lag``/``lead``/rolling frames partitioned by a key put all of its rows into
 one task. Keys with more rows than a task should take are *hot*: their rows, and
-only theirs, are range-partitioned by (key, time, tie-break) into as many
-pieces as they need, whatever the number of hot keys and the size of one. A
-piece of a key is a *chunk*; windows run per (key, chunk), and what crosses a
-chunk's edge is carried from one-row-per-chunk summaries.
+only theirs, are range-partitioned and sorted by (key, time, tie-break),
+whatever the number of hot keys and the size of one, and each partition is cut
+by position into *chunks* of at most the rows that a task takes. Windows run
+per (key, chunk), and what crosses a chunk's edge is carried from
+one-row-per-chunk summaries. Chunks may be many and small; the partitions
+follow from the rows, not from the number of chunks.
 
 The chunked rows are written to the shared folder: range bounds come from a
 sample, and the written rows keep the bounds of one run for every later step,
@@ -24,7 +26,7 @@ CHUNK = "_chunk"
 
 #: Rows of one key that a task takes; tests and the ``_split`` queries pass small values to force splitting.
 ROWS_PER_TASK = 4_000_000
-#: Range bounds are sampled: pieces are planned at this part of the budget so that none exceeds it.
+#: Range bounds are sampled: partitions are planned at this part of their rows so that none exceeds them.
 PLANNED = 0.5
 
 
@@ -34,8 +36,12 @@ class HotKeys:
     def __init__(self, keys: DataFrame, rows: int, rows_per_task: int):
         self.keys, self.rows, self.rows_per_task = keys, rows, rows_per_task
 
-    def pieces(self) -> int:
-        return max(2, -(-self.rows // max(1, int(self.rows_per_task * PLANNED))))
+    def pieces(self, parallel: int) -> int:
+        """Partitions of the hot rows: one per chunk up to ``parallel``, beyond that only as many as their rows need."""
+        def of(rows: int) -> int:
+            return -(-self.rows // max(1, int(rows * PLANNED)))
+
+        return max(2, min(of(self.rows_per_task), parallel), of(max(self.rows_per_task, ROWS_PER_TASK)))
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> HotKeys | None:
@@ -54,17 +60,21 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Hot
 def split(df: DataFrame, key: str, order: tuple[str, ...], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     """(rows of the other keys, rows of the hot keys with ``_chunk``); the chunks of a key are in ``order``."""
     normal = df.join(hot.keys, key, "left_anti")
-    rows = df.join(hot.keys, key, "left_semi").repartitionByRange(hot.pieces(), key, *order)
-    return normal, write_table(rows.withColumn(CHUNK, F.spark_partition_id()), "hot-rows")
+    pieces = hot.pieces(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.join(hot.keys, key, "left_semi").repartitionByRange(pieces, key, *order).sortWithinPartitions(key, *order)
+    # the id counts a partition's rows in order, above 33 bits is the partition's number
+    position = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+    chunk = F.spark_partition_id() * F.lit(1 << 33) + F.floor(position / F.lit(hot.rows_per_task))
+    return normal, write_table(rows.withColumn(CHUNK, chunk), "hot-rows")
 
 
 def split_hot_keys(df: DataFrame, key: str, *order: str, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, bool]:
     """``df`` with ``_chunk`` (0 for ordinary keys) and whether any key was split."""
     hot = hot_keys(df, key, rows_per_task)
     if hot is None:
-        return df.withColumn(CHUNK, F.lit(0)), False
+        return df.withColumn(CHUNK, F.lit(0).cast("long")), False
     normal, chunked = split(df, key, order, hot)
-    return normal.withColumn(CHUNK, F.lit(0)).unionByName(chunked), True
+    return normal.withColumn(CHUNK, F.lit(0).cast("long")).unionByName(chunked), True
 
 
 def chunk_window(key: str, *order: str | Column) -> Window:

@@ -85,7 +85,7 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
     # (taken from up to W earlier chunks: each has at least one row).
     tails = (q.where(F.col("_rn") > F.col("_n") - W)
               .groupBy(KEY, skew.CHUNK)
-              .agg(F.array_sort(F.collect_list(F.struct(*order, "price"))).alias("_tail")))
+              .agg(F.array_sort(F.collect_list(F.struct(skew.CHUNK, *order, "price"))).alias("_tail")))
     wc = Window.partitionBy(KEY).orderBy(skew.CHUNK).rowsBetween(-W, -1)
     prior = tails.select(
         KEY, skew.CHUNK,

@@ -70,3 +70,20 @@ def test_one_hot_market_is_split_and_exact(spark):
         for c in ("volume", "last_price", "twap", "vwap"):
             a, b = base[k][c], got[k][c]
             assert (a is None and b is None) or abs(a - b) < 1e-9, (k, c, a, b)
+
+
+def test_small_chunks_come_in_few_partitions(spark):
+    # 6,000 rows of 20 keys, 3 rows a task: thousands of chunks, no more partitions than a shuffle has
+    rows = [(f"m{i % 20}", None if i % 97 == 0 else i // 40, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "market_id string, timestamp long, seq long")
+    normal, chunked = skew.split(df, "market_id", ("timestamp", "seq"), skew.hot_keys(df, "market_id", 3))
+    assert normal.isEmpty() and len(chunked.inputFiles()) <= max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = chunked.collect()
+    assert sorted(r["seq"] for r in got) == list(range(6000))
+    by = {}
+    for r in got:
+        by.setdefault((r["market_id"], r["_chunk"]), []).append((r["timestamp"] is not None, r["timestamp"] or 0, r["seq"]))
+    assert max(map(len, by.values())) <= 3
+    for m in {m for m, _ in by}:
+        parts = [by[m, c] for k, c in sorted(by) if k == m]
+        assert all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))

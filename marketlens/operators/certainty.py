@@ -53,10 +53,10 @@ def market_price_stats(norm: DataFrame, *, rows_per_task: int = skew.ROWS_PER_TA
     """
     if hot is _DETECT:
         hot = skew.hot_keys(norm, "market_id", rows_per_task)
-    t = norm.withColumn(skew.CHUNK, F.lit(0))
+    t = norm.withColumn(skew.CHUNK, F.lit(0).cast("long"))
     if hot is not None:
         normal, chunked = skew.split(norm, "market_id", ORDER, hot)
-        t = normal.withColumn(skew.CHUNK, F.lit(0)).unionByName(chunked)
+        t = normal.withColumn(skew.CHUNK, F.lit(0).cast("long")).unionByName(chunked)
     w = skew.chunk_window("market_id", *ORDER)
     t = t.withColumn("_next_ts", F.lead("timestamp").over(w))
     order_struct = F.struct(*ORDER)

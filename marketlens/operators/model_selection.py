@@ -125,17 +125,23 @@ def fit_best_text_classifier(train: DataFrame, held_out: DataFrame, epochs: int
     """M3 / M6 for the iterative classifier: (best model, metric rows as (epoch, n, accuracy, best)).
 
     Its optimiser is deterministic, so that a fit stopped after ``epoch * iterations``
-    steps is the state of one run after that epoch. The features are fitted
-    and computed once; the model of the highest held-out accuracy stays, the first of equals.
+    steps is the state of one run after that epoch. Each text is read, cut into words and
+    counted once; the weights of the words are fitted on the written counts. The
+    model of the highest held-out accuracy stays, the first of equals.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
 
-    base = LB.text_features(text, label).fit(LB.with_text(train, text))
+    index, tokens, counts, idf = LB.text_features(text, label).getStages()
+    words = PipelineModel([tokens, counts])
+    counted = write_table(words.transform(LB.with_text(train, text)).select(label, "_tf"), "train-counts")
+    held = write_table(words.transform(LB.with_text(held_out, text)).select(label, "_tf"), "held-out-counts")
+    index = index.fit(counted)
+    idf = idf.fit(index.transform(counted))
+    weigh = PipelineModel([index, idf])
     columns = ["_label_idx", "_features"]
-    ready = write_table(base.transform(LB.with_text(train, text)).select(*columns), "train-features")
-    test = write_table(base.transform(LB.with_text(held_out, text)).select(*columns), "held-out-features")
-    n, rows, best = held_out.count(), [], None
+    ready, test = weigh.transform(counted).select(*columns), weigh.transform(held).select(*columns)
+    n, rows, best = held.count(), [], None
     for epoch in range(1, epochs + 1):
         step = LogisticRegression(featuresCol="_features", labelCol="_label_idx", maxIter=epoch * iterations, family="multinomial",
                                   probabilityCol="_prob", predictionCol="_pred_idx", rawPredictionCol="_raw").fit(ready)
@@ -145,4 +151,4 @@ def fit_best_text_classifier(train: DataFrame, held_out: DataFrame, epochs: int
             best = (hits, step, epoch)
     for r in rows:
         r[3] = r[0] == best[2]
-    return PipelineModel([*base.stages, best[1]]), [tuple(r) for r in rows]
+    return PipelineModel([index, tokens, counts, idf, best[1]]), [tuple(r) for r in rows]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions import duck_round
+from marketlens.session import write_table
 from marketlens.sources import fixtures as fx
 from marketlens.sources.fixtures import with_fixtures
 
@@ -875,7 +876,7 @@ def q_document_labels(spark, sf_dir):
 @register("text_scoring")
 def q_text_scoring(spark, sf_dir):
     """M3/M4: the epoch of the highest held-out accuracy (whole texts) scores every market."""
-    s = LB.stratified_split(fx.fx_labeled(spark, sf_dir)).drop("predicted_label", "confidence")
+    s = write_table(LB.stratified_split(fx.fx_labeled(spark, sf_dir).select("id", "question", "label")), "labelled-split")
     model, _ = MS.fit_best_text_classifier(s.where("split = 'train'"), s.where("split = 'test'"))
     scored = LB.score_text(fx.fx_markets(spark, sf_dir).select("id", "question"), model)
     return scored.select("id", "predicted_label", "confidence")

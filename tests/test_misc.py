@@ -66,3 +66,21 @@ def test_text_scoring_scores_every_market(spark):
     assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in fx.fx_markets(spark, SF01).select("id").collect())
     known = set(LB.classes(fx.fx_labeled(spark, SF01), "label"))
     assert all(r["predicted_label"] in known and 0 < r["confidence"] <= 1 for r in rows)
+
+
+def test_each_text_is_read_once_to_train(spark):
+    from marketlens.operators import model_selection as MS
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    words = {"a": "red green blue", "b": "one two three"}
+    rows = [(i, f"{words['ab'[i % 2]]} {i}", "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, question string, label string").withColumn("question", seen("question"))
+    model, metrics = MS.fit_best_text_classifier(df.where("id < 40"), df.where("id >= 40"), epochs=2, iterations=3)
+    assert read.value == 60
+    assert [(m[0], m[1], m[3]) for m in metrics] == [(1, 20, True), (2, 20, False)] and metrics[0][2] == 1.0
+    assert model.stages[0].labels == ["a", "b"]

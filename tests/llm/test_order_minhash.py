@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.llm import order_minhash as om
 
@@ -89,3 +91,37 @@ def test_a_large_group_costs_about_a_pair_a_member(spark, monkeypatch):
     got, pairs = _verified(spark, monkeypatch, _template(400, 4, 9))
     assert set(got.values()) == {0}
     assert pairs < 400 * 3, pairs
+
+
+def test_parities_never_differ_by_more_than_twice_the_edits():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 80))]
+        b, edits = list(a), rng.randrange(0, 12)
+        for _ in range(edits):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [f"v{rng.randrange(60)}"] * rng.randrange(2)
+        x, y = (om.word_hashes(" ".join(t), om._Powers()) for t in (a, b))
+        apart = sum(int(v).bit_count() for v in (om.parities(x) ^ om.parities(y)).view(np.uint64))
+        assert apart + abs(len(x) - len(y)) <= 2 * edits
+
+
+def test_texts_of_a_template_beyond_the_threshold_do_not_meet(spark):
+    # half the words of 60 texts are one of three: any two share rare pairs of words, yet a third of the words differ
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for at in range(0, 120, 2):
+            t[at] = f"x{at}-{rng.randrange(3)}"
+        texts.append(t)
+    texts.append([*texts[7][:50], "other", *texts[7][51:]])
+    rows = [(hashlib.md5(" ".join(t).encode()).digest(), " ".join(t)) for t in texts]
+    d = spark.createDataFrame(rows, "node binary, text string")
+    members = d.select(F.lit(1).cast("long").alias("cell"), "node", F.col("node").alias("root"), F.lit(True).alias("is_rest"))
+    met = {frozenset((bytes(r["hub"]), bytes(r["node"]))) for r in om._met_by_kmers(members, d, 4).collect()}
+    words = {n: om.word_hashes(t, om._Powers()) for n, t in rows}
+    near = {frozenset((a, b)) for a in words for b in words if a < b and om.similar(words[a], words[b])}
+    assert frozenset((rows[7][0], rows[60][0])) in near and near <= met
+    assert len(met) <= 20  # of 1,830 pairs

@@ -90,7 +90,8 @@ def market_price_stats(norm: DataFrame, *, rows_per_task: int = skew.ROWS_PER_TA
         F.min("t_first").alias("t_min"),
         F.max("t_last").alias("t_max"),
         F.max_by("last_p", "last_ord").alias("last_price"),
-        F.sum(F.col("held") + edge).alias("held"),
+        # unknown parts count nothing, as in a sum over all trades; the others of their chunk stay
+        F.sum(F.coalesce("held", F.lit(0.0)) + F.coalesce(edge, F.lit(0.0))).alias("held"),
         F.first("any_p").alias("any_p"),
     )
     vwap = F.when(F.col("volume") == 0, F.lit(None)).otherwise(F.col("pv") / F.col("volume"))

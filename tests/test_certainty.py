@@ -63,3 +63,11 @@ def test_null_prices_at_one_instant_give_null_twap(spark):
     trades = _trades(spark, [("5", 100, 1, 0, "Y", None, 1.0), ("5", 100, 1, 1, "Y", None, 2.0)])
     out = _by_id(C.certainty(trades, _markets(spark, ["5"])))
     assert out[5]["twap"] is None and out[5]["last_price"] is None and out[5]["volume"] == 3.0
+
+
+def test_chunks_that_end_without_a_price_keep_their_time(spark):
+    rows = [("5", 100 + 10 * i, 1, i, "Y", None if i % 3 == 2 else 0.1 + 0.02 * i, 1.0) for i in range(24)]
+    trades, markets = _trades(spark, rows), _markets(spark, ["5"])
+    whole = C.certainty(trades, markets).first()
+    for budget in (1, 3, 4):
+        assert abs(C.certainty(trades, markets, rows_per_task=budget).first()["twap"] - whole["twap"]) < 1e-9

@@ -77,15 +77,15 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
     computed twice or lost with an executor."""
     w = skew.chunk_window(KEY, *order)
     whole = Window.partitionBy(KEY, skew.CHUNK)
-    ord_struct = F.struct(*order)
     q = q.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(whole),
                        "_lag_p": F.lag("price").over(w)})
+    w = Window.partitionBy(KEY, skew.CHUNK).orderBy("_rn")  # from here on also trades of one instant keep their order
 
     # Last W prices of each chunk, then the W prices preceding each chunk
     # (taken from up to W earlier chunks: each has at least one row).
     tails = (q.where(F.col("_rn") > F.col("_n") - W)
               .groupBy(KEY, skew.CHUNK)
-              .agg(F.array_sort(F.collect_list(F.struct(skew.CHUNK, *order, "price"))).alias("_tail")))
+              .agg(F.array_sort(F.collect_list(F.struct(skew.CHUNK, "_rn", "price"))).alias("_tail")))
     wc = Window.partitionBy(KEY).orderBy(skew.CHUNK).rowsBetween(-W, -1)
     prior = tails.select(
         KEY, skew.CHUNK,
@@ -137,7 +137,7 @@ def _features_chunked(q: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
     # Next trade's z: inside the chunk by lead(); at the chunk end from the
     # next chunk's first row.
-    firsts = q.groupBy(KEY, skew.CHUNK).agg(F.min_by("zscore", ord_struct).alias("_fz"))
+    firsts = q.groupBy(KEY, skew.CHUNK).agg(F.max(F.when(F.col("_rn") == 1, F.col("zscore"))).alias("_fz"))
     firsts = skew.next_chunk_first(firsts, KEY, ["_fz"]).select(KEY, skew.CHUNK, "next__fz")
     q = q.join(firsts, [KEY, skew.CHUNK], "left")
     q = q.withColumns({"future_z": F.when(F.col("_rn") == F.col("_n"), F.col("next__fz"))

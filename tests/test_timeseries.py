@@ -53,3 +53,14 @@ def test_mixed_hot_and_normal_markets(spark):
     for k, r in base.items():
         for c in COLS:
             assert _close(r[c], split[k][c]), (k, c, r[c], split[k][c])
+
+
+def test_repeated_trades_on_both_sides_of_a_chunk_edge(spark):
+    rows = [("7", 10 * (i // 3), i // 3, 0.2 + (i // 3) * 7 % 10 / 20, 1.0) for i in range(120)]  # every trade three times
+    q = spark.createDataFrame(rows, "market_id string, timestamp long, seq long, price double, usd_amount double")
+
+    def found(df):
+        got = [(r["seq"], *[None if r[c] is None else round(r[c], 9) + 0.0 for c in COLS]) for r in df.collect()]
+        return sorted(got, key=lambda t: [(v is not None, v or 0) for v in t])
+
+    assert found(TP.trade_features(q, rows_per_task=BUDGET)) == found(TP.trade_features(q))

@@ -125,3 +125,17 @@ def test_texts_of_a_template_beyond_the_threshold_do_not_meet(spark):
     near = {frozenset((a, b)) for a in words for b in words if a < b and om.similar(words[a], words[b])}
     assert frozenset((rows[7][0], rows[60][0])) in near and near <= met
     assert len(met) <= 20  # of 1,830 pairs
+
+
+def test_a_large_group_meets_its_roots_once_a_hub(spark, monkeypatch):
+    # every member is in many cells, most of which have the same hub
+    rows = []
+    with_roots = om._with_roots
+
+    def counted(d, roots, node, root):
+        rows.append((d.count(), d.select("node").distinct().count()))
+        return with_roots(d, roots, node, root)
+
+    monkeypatch.setattr(om, "_with_roots", counted)
+    om.membership(spark.createDataFrame(_template(300, 4, 21), "doc_id long, text string")).collect()
+    assert rows and all(n < 12 * nodes for n, nodes in rows), rows

@@ -127,6 +127,17 @@ def test_texts_of_a_template_beyond_the_threshold_do_not_meet(spark):
     assert len(met) <= 20  # of 1,830 pairs
 
 
+def test_similar_texts_share_a_prefix_word():
+    rng = random.Random(11)
+    for _ in range(1500):
+        x = [rng.randrange(30) for _ in range(rng.randint(1, 40))]
+        y = _edit(x, om.most_edits(len(x) + 3), rng)
+        x, y = (np.array(v, np.uint64) for v in (x, y))
+        if om.similar(x, y):
+            first = [set(np.sort(om.labelled_kmers(v, sampled=False, k=1))[: om.prefix_length(len(v), 1)].tolist()) for v in (x, y)]
+            assert first[0] & first[1]
+
+
 def test_a_large_group_meets_its_roots_once_a_hub(spark, monkeypatch):
     # every member is in many cells, most of which have the same hub
     rows = []
@@ -139,3 +150,32 @@ def test_a_large_group_meets_its_roots_once_a_hub(spark, monkeypatch):
     monkeypatch.setattr(om, "_with_roots", counted)
     om.membership(spark.createDataFrame(_template(300, 4, 21), "doc_id long, text string")).collect()
     assert rows and all(n < 12 * nodes for n, nodes in rows), rows
+
+
+def test_words_of_a_large_group_are_listed_once_not_once_a_cell(spark):
+    # 120 texts of one template in 30 cells that each lack some of them, one pair of near copies, and a far cell with the same words
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for at in rng.sample(range(100), 30):
+            t[at] = f"x{rng.randrange(400)}"
+        texts.append(t)
+    texts.append([*texts[3][:50], "other", *texts[3][51:]])
+    texts.append([*texts[3][:40], "far", *texts[3][41:]])
+    rows = [(hashlib.md5(" ".join(t).encode()).digest(), " ".join(t)) for t in texts]
+    d = spark.createDataFrame(rows, "node binary, text string")
+    cells = [(c, rows[i][0], rows[i][0], i != 0) for c in range(30) for i in range(121) if i in (0, 3, 120) or rng.random() < 0.9]
+    cells += [(99, rows[i][0], rows[i][0], True) for i in (121, 1, 2)]
+    members = spark.createDataFrame(cells, "cell long, node binary, root binary, is_rest boolean")
+    near = om._by_near(members)
+    assert near.count() < 2 * 122 and members.count() > 25 * 120
+    met = {frozenset((bytes(r["hub"]), bytes(r["node"]))) for r in om._met_by_kmers(members, d, 4).collect()}
+    words = {n: om.word_hashes(t, om._Powers()) for n, t in rows}
+    of = {}
+    for c, node, _, _ in cells:
+        of.setdefault(node, set()).add(c)
+    shared = {frozenset((a, b)) for a in words for b in words if a < b and of[a] & of[b]}
+    close = {p for p in shared if om.similar(*(words[n] for n in p))}
+    assert frozenset((rows[3][0], rows[120][0])) in close and close <= met <= shared

@@ -126,6 +126,54 @@ def _may_link(n: str, i: str, m: str, j: str) -> Column:
     return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) + 1 >= least
 
 
+# Texts of some rows
+
+#: Powers of two: the most bits that mark rows (16 MB), and bits of them made by one task.
+MOST_MARKS, BLOCK_MARKS = 27, 20
+
+
+def _mark_blocks(bits: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, marks) from rows (block, hash) sorted by block."""
+        held, marks = None, np.zeros(1 << min(bits, BLOCK_MARKS), np.uint8)
+        for b in batches:
+            block, at = b.column("block").to_numpy(), b.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held is not None and held != block[lo]:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([held], pa.int64()), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+                    marks[:] = 0
+                held = int(block[lo])
+                marks[at[lo:hi] & np.uint64(len(marks) - 1)] = 1
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([held], pa.int64()), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    return f
+
+
+def marked(d: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The rows of ``d`` whose number ``row`` may be in ``rows``: all that are, and few others.
+
+    A bit for each slot of hashed numbers reaches the tasks, at most 2^``MOST_MARKS`` of them, so that the
+    texts of other rows need not be shuffled to find those of these.
+    """
+    bits = min(MOST_MARKS, max(16, (16 * rows.count()).bit_length()))
+    blocks = max(0, bits - BLOCK_MARKS)
+    hashed = rows.select(F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("row"), 63 - blocks), 1).alias("block"), F.xxhash64("row").alias("hash"))
+    made = hashed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_mark_blocks(bits), "block long, marks binary")
+    marks = np.zeros(1 << (bits - 3), np.uint8)
+    size = len(marks) >> blocks
+    for block, some in made.collect():  # a table of a bounded size
+        marks[block * size : (block + 1) * size] = np.frombuffer(some, np.uint8)
+
+    @F.arrow_udf("boolean")
+    def is_marked(h: pa.Array) -> pa.Array:
+        at = h.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+        return pa.array(((marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)).astype(bool))
+
+    return d.filter(is_marked(F.xxhash64("row")))
+
+
 # Verification
 
 
@@ -147,6 +195,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b, ok) for pairs (hub, node): a hub's text travels once for ``BLOCK`` of its pairs, not with each."""
+    pairs = write_table(pairs, "jaccard-pairs")  # read three times below
     per_hub = pairs.groupBy("hub").agg(F.count("*").alias("pairs"))
     pairs = pairs.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("pairs") / BLOCK)))
     hubs = pairs.select("hub", "block").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
@@ -178,7 +227,7 @@ def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int) -> DataF
     while True:
         lead = left.groupBy("token").agg(F.min_by(F.struct("head", "n", "place"), F.struct(-F.col("met"), F.col("head"))).alias("lead"))
         star = left.join(lead, "token").withColumns({"m": F.col("lead.n"), "there": F.col("lead.place"), "hub": F.col("lead.head")})
-        star = star.filter(F.col("head") != F.col("hub"))
+        star = write_table(star.filter(F.col("head") != F.col("hub")), "jaccard-star")
         todo = star.filter(_may_link("n", "place", "m", "there")).select("hub", F.col("head").alias("node"))
         new = verify(_new(todo if done is not None else todo.union(inside), done), texts, n)
         done = new if done is None else done.union(new)
@@ -229,7 +278,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = sets.groupBy("group", "n").agg(F.count("*").alias("held")).filter("held > 1").select("group", "n")
     some = lists.select("group", "n").union(several).distinct()
     nodes = write_table(sets.select("node", "group", "n", "row").join(some, ["group", "n"]), "jaccard-some")
-    texts = write_table(d.select("row", "text").join(nodes.select("row", "node"), "row").select("node", "text"), "jaccard-texts")
+    texts = marked(d.select("row", "text"), nodes.select("row"), n)
+    texts = write_table(texts.join(nodes.select("row", "node"), "row").select("node", "text"), "jaccard-texts")
     # groups of several nodes are in no list if none of their shingles is in another group: a list of their own
     alone = several.join(lists.select("group", "n").distinct(), ["group", "n"], "left_anti")
     lists = lists.unionByName(alone.select(F.col("group").alias("token"), "group", "n", F.lit(1).alias("place")))

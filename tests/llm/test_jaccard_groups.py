@@ -122,3 +122,29 @@ def test_cost_of_clusters(spark, share, monkeypatch):
         assert used[1] <= 4 * used[0] + 100, used
     else:
         assert used[1] <= 0.05 * 300 * 299 / 2, used
+
+
+def test_only_wanted_texts_are_read_for_the_join(spark):
+    d = spark.range(60_000).selectExpr("id * 8589934593 + id AS row", "cast(id AS string) AS text")
+    wanted = d.filter("text % 20 = 0").select("row")
+    kept = {r["text"] for r in jg.marked(d, wanted, 8).collect()}
+    assert {str(i) for i in range(0, 60_000, 20)} <= kept
+    assert len(kept) < 1.25 * 3_000 + 57_000 / 8
+
+
+def test_texts_of_single_documents_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(500)]
+    rows += [(5_000 + i, rows[i][1] + " end") for i in range(20)]
+    seen = []
+    write = jg.write_table
+
+    def counted(df, name):
+        if name == "jaccard-texts":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            seen.append("is_marked" in plan)
+        return write(df, name)
+
+    monkeypatch.setattr(jg, "write_table", counted)
+    assert got(jg.jaccard_components(frame(spark, rows))) == expected(rows)
+    assert seen == [True]

@@ -179,3 +179,38 @@ def test_words_of_a_large_group_are_listed_once_not_once_a_cell(spark):
     shared = {frozenset((a, b)) for a in words for b in words if a < b and of[a] & of[b]}
     close = {p for p in shared if om.similar(*(words[n] for n in p))}
     assert frozenset((rows[3][0], rows[120][0])) in close and close <= met <= shared
+
+
+def _brute_cells(nodes):
+    """Pairs of nodes that share a cell by its definition, however cells are kept."""
+    at = {}
+    for node, words, keys, places in nodes:
+        own = int(np.floor(np.log(max(words, 1)) / np.log(1.25) + 1e-9))
+        for key, place in zip(keys, places):
+            for c in (own, own + 1):
+                reach = 1.25 ** (c + 1) * (1 - om.SIMILARITY)
+                for grid in (0, 1):
+                    at.setdefault((key, c, grid, int((place + grid * reach) // (2 * reach))), set()).add(node)
+    return {frozenset((a, b)) for s in at.values() for a in s for b in s if a < b}
+
+
+def test_a_bucket_that_one_cell_holds_is_one_cell(spark):
+    schema = "node binary, words long, keys array<long>, places array<long>"
+    # in one grid places 40, 41 and 46, 47 lie on either side of a border, in the other all are in one cell; two keys with the same nodes
+    nodes = [(bytes([i]), 100, [7, 8], [p, p]) for i, p in enumerate((40, 41, 46, 47))]
+    got = om._cells(spark.createDataFrame(nodes, schema)).collect()
+    assert len(got) == 4 and len({r["cell"] for r in got}) == 1 and {r["n"] for r in got} == {4}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cells_join_the_pairs_they_are_defined_to(spark, seed):
+    rng = random.Random(seed)
+    nodes = []
+    for i in range(120):
+        words = rng.choice([1, 5, 40, 95, 100, 104, 118, 125, 160, 300])
+        keys = rng.sample(range(25), 6)
+        nodes.append((bytes([i]), words, keys, [min(words - 1, rng.choice([0, 3, 20, 40, 44, 60, 150])) for _ in keys]))
+    cells = {}
+    for r in om._cells(spark.createDataFrame(nodes, "node binary, words long, keys array<long>, places array<long>")).collect():
+        cells.setdefault(r["cell"], set()).add(bytes(r["node"]))
+    assert {frozenset((a, b)) for s in cells.values() for a in s for b in s if a < b} == _brute_cells(nodes)

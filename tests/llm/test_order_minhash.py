@@ -214,3 +214,55 @@ def test_cells_join_the_pairs_they_are_defined_to(spark, seed):
     for r in om._cells(spark.createDataFrame(nodes, "node binary, words long, keys array<long>, places array<long>")).collect():
         cells.setdefault(r["cell"], set()).add(bytes(r["node"]))
     assert {frozenset((a, b)) for s in cells.values() for a in s for b in s if a < b} == _brute_cells(nodes)
+
+
+def test_words_that_only_one_component_lists_are_not_listed(spark, monkeypatch):
+    # 60 texts of one component share rare words that no other text has; three pairs of near copies are components of their own
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+
+    def other(prefix, words):
+        t = list(base)
+        for at in rng.sample(range(100), 30):
+            t[at] = f"{prefix}{rng.randrange(words)}"
+        return t
+
+    texts = [other("x", 300) for _ in range(60)]
+    for i in range(3):
+        t = other(f"y{i}-", 1000)
+        texts += [t, [*t[:50], "other", *t[51:]]]
+    rows = [(hashlib.md5(" ".join(t).encode()).digest(), " ".join(t)) for t in texts]
+    d = spark.createDataFrame(rows, "node binary, text string")
+    members = [(1, rows[i][0], rows[0][0] if i < 60 else rows[i][0], i >= 60) for i in range(66)]
+    listed = []
+    write = om.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        if "list" in out.columns:
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(om, "write_table", counted)
+    members = spark.createDataFrame(members, "cell long, node binary, root binary, is_rest boolean")
+    met = {frozenset((bytes(r["hub"]), bytes(r["node"]))) for r in om._met_by_kmers(members, d, 4).collect()}
+    assert met >= {frozenset((rows[i][0], rows[i + 1][0])) for i in (60, 62, 64)}
+    assert len(listed) == 2 and listed[0] < 66 * 10, listed  # about 20 words of each text are among its first
+
+
+@pytest.mark.parametrize("blocks", [0, 3])
+def test_lists_of_more_than_one_component_stay(spark, monkeypatch, blocks):
+    monkeypatch.setattr(om, "SLOTS_PER_TASK", 16 - blocks)
+    rng = random.Random(blocks)
+    lists = [rng.getrandbits(64) - 2**63 for _ in range(40)]
+    rows = [(bytes([rng.randrange(4)]), sorted(rng.sample(lists, rng.randrange(3)))) for _ in range(60)]
+    near = spark.createDataFrame(rows, "root binary, lists array<long>").repartition(5)
+    slots, bits = om._lists_of_more_roots(near, 4)
+    assert bits - blocks == om.SLOTS_PER_TASK
+    got = sorted((bytes(r["root"]), sorted(r["lists"])) for r in near.mapInArrow(om._in_lists(slots, bits), near.schema).collect())
+    roots = {}
+    for root, own in rows:
+        for v in own:
+            roots.setdefault(v, set()).add(root)
+    assert len({(v + 2**63) >> 48 for v in lists}) == len(lists)  # a slot each
+    assert got == sorted((root, [v for v in own if len(roots[v]) > 1]) for root, own in rows)

@@ -49,6 +49,8 @@ CAPACITY = 2048
 ROWS_PER_SWEEP = 200_000
 #: A round that places less than this share of the pieces left opens new sequences.
 LEAST_PLACED = 0.1
+#: Up to so many pieces of one size are chosen exactly to open sequences.
+FIRST_OPENED = 1000
 
 _SWEPT = "kind string, id long, size int, part int, sequence long, gap int, place long"
 
@@ -283,13 +285,14 @@ def _open(spark: SparkSession, state: DataFrame, counts: dict, capacity: int) ->
     """Open sequences with the largest pieces: all above half a sequence (no
     two of them fit together, nor any gap if it is full already) at the start,
     and as many more as the free space falls short of. Later, when rounds place
-    little though space is free, one in a hundred pieces at least opens one."""
+    little though space is free, one in a hundred pieces at least opens one, but no
+    more sequences open than the pieces left would fill."""
     histograms: dict[str, dict[int, int]] = {"p": {}, "g": {}}
     for r in state.groupBy("kind", "size").count().collect():  # at most ``capacity`` rows a kind
         histograms[r["kind"]][r["size"]] = r["count"]
     sizes, gaps = histograms["p"], histograms["g"]
     if counts["g"]:
-        want = max(-(-shortage(sizes, gaps) // capacity), counts["p"] // 100, 1)
+        want = max(-(-shortage(sizes, gaps) // capacity), min(counts["p"] // 100, -(-counts["p_total"] // capacity)), 1)
     else:
         large = {s: n for s, n in sizes.items() if 2 * s > capacity}
         rest = sum(s * n for s, n in sizes.items()) - sum(s * n for s, n in large.items()) - sum((capacity - s) * n for s, n in large.items())
@@ -301,10 +304,12 @@ def _open(spark: SparkSession, state: DataFrame, counts: dict, capacity: int) ->
             break
         above += sizes[s]
     opens = (F.col("kind") == "p") & (F.col("size") > limit)
-    if limit and want > above:  # of the pieces of the limit's size a share by hash, and one for certain
-        one = state.filter((F.col("kind") == "p") & (F.col("size") == limit)).agg(F.min("id")).first()[0]
-        share = int((want - above) / sizes[limit] * 2**40)
-        opens = opens | ((F.col("kind") == "p") & (F.col("size") == limit) & ((F.pmod(F.xxhash64("id"), F.lit(2**40)) < share) | (F.col("id") == one)))
+    if limit and want > above:  # of the pieces of the limit's size the first ones, or where that is many a share by hash
+        last = (F.col("kind") == "p") & (F.col("size") == limit)
+        if want - above <= FIRST_OPENED:
+            opens = opens | (last & F.col("id").isin([r["id"] for r in state.filter(last).select("id").orderBy("id").limit(want - above).collect()]))
+        else:
+            opens = opens | (last & (F.pmod(F.xxhash64("id"), F.lit(2**40)) < int((want - above) / sizes[limit] * 2**40)))
     marked = write_table(state.withColumn("opens", opens), "opening")
     seeds = marked.filter("opens")
     new = seeds.select(F.lit("g").alias("kind"), "id", (F.lit(capacity) - F.col("size")).cast("int").alias("size"))

@@ -136,6 +136,14 @@ def test_packing_of_short_pieces_over_many_partitions(spark, most):
     assert len(by) <= _best_fit(sizes) * 1.01 + 2
 
 
+def test_packing_opens_no_more_sequences_than_small_pieces_fill(spark):
+    rows = [("p", i, 1 + i % 3) for i in range(1764)] + [("g", 9999, 1)]
+    state = spark.createDataFrame(rows, "kind string, id long, size int")
+    after, first = packing._open(spark, state, packing._counts(state), 2048)
+    assert first.count() == 2  # 3,528 tokens
+    assert sorted(r["id"] for r in first.union(after.filter("kind = 'p'").selectExpr("id", "id", "0L")).collect()) == list(range(1764))
+
+
 def test_packing_edges(docs, empty):
     got = packing.pack_table(docs, TOKENIZER).collect()
     assert sum(r["length"] for r in got) == sum(len(encode(r[1])) + 1 for r in ROWS)

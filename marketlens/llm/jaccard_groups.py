@@ -44,8 +44,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import partitions
-from marketlens.llm.order_minhash import components
+from marketlens.llm.common import few, partitions
+from marketlens.llm.order_minhash import as_links, components
 from marketlens.llm.token_counts import Levels, token_levels
 from marketlens.session import write_table
 
@@ -55,6 +55,8 @@ WORDS, PERCENT = 4, 85
 BLOCK = 256
 #: Another round of leaders follows while this part of the round's pairs linked.
 SETTLED = 0.5
+#: Texts, or pairs of them, that one task writes.
+TEXTS_PER_TASK = 1_000
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -196,13 +198,14 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b, ok) for pairs (hub, node): a hub's text travels once for ``BLOCK`` of its pairs, not with each."""
     pairs = write_table(pairs, "jaccard-pairs")  # read three times below
+    found = pairs.count()
     per_hub = pairs.groupBy("hub").agg(F.count("*").alias("pairs"))
     pairs = pairs.join(per_hub, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("pairs") / BLOCK)))
     hubs = pairs.select("hub", "block").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
     rows = pairs.select("hub", "block", "node").join(texts, "node").select("hub", "block", F.lit(1).alias("kind"), "node", "text")
     rows = rows.unionByName(hubs.select("hub", "block", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("node"), "text"))
     rows = rows.repartition(n, "hub", "block").sortWithinPartitions("hub", "block", "kind").select("hub", "kind", "node", "text")
-    return write_table(rows.mapInArrow(_verify_blocks, "a binary, b binary, ok boolean"), "jaccard-verified")
+    return write_table(few(rows.mapInArrow(_verify_blocks, "a binary, b binary, ok boolean"), found, TEXTS_PER_TASK), "jaccard-verified")
 
 
 def _new(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -214,35 +217,41 @@ def _new(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
     return pairs.join(known.union(known.select("node", "hub")), ["hub", "node"], "left_anti")
 
 
-def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int) -> DataFrame | None:
-    """(node, root) of the components of all links; None if there is no link.
+def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int, entries: int) -> DataFrame:
+    """(node, root) of the components of all links.
 
-    ``nodes``: (node, group, n); ``lists``: (token, group, n, place).
+    ``nodes``: (node, group, n); ``lists``: (token, group, n, place); ``entries``: the most entries that lists of nodes have.
     """
     heads = nodes.groupBy("group", "n").agg(F.min("node").alias("head"))
     met = lists.groupBy("token").agg(F.count("*").alias("met")).join(lists, "token").groupBy("group", "n").agg(F.sum("met").alias("met"))
-    lists = write_table(lists.join(met, ["group", "n"]).join(heads, ["group", "n"]), "jaccard-lists")
+    lists = write_table(few(lists.join(met, ["group", "n"]).join(heads, ["group", "n"]), entries), "jaccard-lists")
     inside = nodes.join(heads, ["group", "n"]).filter("node <> head").select(F.col("head").alias("hub"), "node")
-    left, done = lists, None
+    left, done, roots, held = lists, None, None, lists.count()
     while True:
         lead = left.groupBy("token").agg(F.min_by(F.struct("head", "n", "place"), F.struct(-F.col("met"), F.col("head"))).alias("lead"))
         star = left.join(lead, "token").withColumns({"m": F.col("lead.n"), "there": F.col("lead.place"), "hub": F.col("lead.head")})
-        star = write_table(star.filter(F.col("head") != F.col("hub")), "jaccard-star")
+        star = write_table(few(star.filter(F.col("head") != F.col("hub")), held), "jaccard-star")
         todo = star.filter(_may_link("n", "place", "m", "there")).select("hub", F.col("head").alias("node"))
-        new = verify(_new(todo if done is not None else todo.union(inside), done), texts, n)
+        new = _new(todo if done is not None else todo.union(inside), done)
+        new = verify(few(new, entries), texts, n)
         done = new if done is None else done.union(new)
-        roots = components(done.filter("ok"))
+        tried, hits = new.agg(F.count("*"), F.count_if("ok")).first()
+        linked_now = new.filter("ok").select("a", "b")
+        if roots is None:
+            roots = components(linked_now, hits)
+        elif hits:
+            roots = components(linked_now.union(as_links(roots)), hits + entries)
         head_root = roots.select(F.col("node").alias("head"), "root")
         hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
         star = star.join(head_root, "head", "left").join(hub_root, "hub", "left")
         star = star.filter(F.coalesce("root", "head") != F.coalesce("hub_root", "hub"))
-        left = write_table(star.select(*lists.columns), "jaccard-left")
-        tried, hits = new.agg(F.count("*"), F.count_if("ok")).first()
-        if hits < SETTLED * tried or tried == 0 or left.isEmpty():
+        left = write_table(few(star.select(*lists.columns), held), "jaccard-left")
+        held = left.count()
+        if hits < SETTLED * tried or tried == 0 or held == 0:
             break
     # members: what is not in a list's largest component meets the list's nodes of other components
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    places = write_table(lists.select("token", "group", "n", "place").join(rooted, ["group", "n"]), "jaccard-members")
+    places = write_table(few(lists.select("token", "group", "n", "place").join(rooted, ["group", "n"]), entries), "jaccard-members")
     by_root = places.groupBy("token", "root").agg(F.count("*").alias("of"))
     major = by_root.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
     places = places.join(major, "token")
@@ -251,10 +260,8 @@ def links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, n: int) -> DataF
     pairs = minor.join(places, "token").filter((F.col("root") != F.col("hub_root")) & ((F.col("root") == F.col("major")) | (F.col("hub") < F.col("node")))
                                                & _may_link("n", "place", "m", "there"))
     more = verify(_new(pairs, done), texts, n).filter("ok")
-    if more.isEmpty():
-        return roots
-    kept = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(kept.union(more.select("a", "b")))
+    found = more.count()
+    return components(as_links(roots).union(more.select("a", "b")), found + entries) if found else roots
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,22 +275,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = token_levels(d.select("text"), shingles, n)
     rows = write_table(d.mapInArrow(_read_sets(levels), _SETS), "jaccard-sets")
     sets = rows.filter("n > 0").select("node", "group", "n", "row", "tokens", "places")
-    sets = write_table(sets.groupBy("node").agg(F.min_by(F.struct("group", "n", "row", "tokens", "places"), "row").alias("r")).select("node", "r.*"),
-                       "jaccard-nodes")
+    sets = sets.groupBy("node").agg(F.min_by(F.struct("group", "n", "row", "tokens", "places"), "row").alias("r")).select("node", "r.*")
+    sets = write_table(few(sets, rows.count()), "jaccard-nodes")
+    held = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    entries = sum(held)  # of lists, if each node has its own and one more
     groups = sets.groupBy("group", "n").agg(F.any_value("tokens").alias("tokens"), F.any_value("places").alias("places"))
     lists = groups.select("group", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    lists = write_table(lists.select(F.col("t.tokens").alias("token"), "group", "n", F.col("t.places").alias("place")), "jaccard-prefixes")
+    lists = write_table(few(lists.select(F.col("t.tokens").alias("token"), "group", "n", F.col("t.places").alias("place")), entries), "jaccard-prefixes")
     shared = lists.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
-    lists = write_table(lists.join(shared, "token", "left_semi"), "jaccard-shared")
+    lists = write_table(few(lists.join(shared, "token", "left_semi"), entries), "jaccard-shared")
     several = sets.groupBy("group", "n").agg(F.count("*").alias("held")).filter("held > 1").select("group", "n")
     some = lists.select("group", "n").union(several).distinct()
-    nodes = write_table(sets.select("node", "group", "n", "row").join(some, ["group", "n"]), "jaccard-some")
+    nodes = write_table(few(sets.select("node", "group", "n", "row").join(some, ["group", "n"]), held[0]), "jaccard-some")
     texts = marked(d.select("row", "text"), nodes.select("row"), n)
-    texts = write_table(texts.join(nodes.select("row", "node"), "row").select("node", "text"), "jaccard-texts")
+    texts = texts.join(nodes.select("row", "node"), "row").select("node", "text")
+    texts = write_table(few(texts, nodes.count(), TEXTS_PER_TASK), "jaccard-texts")
     # groups of several nodes are in no list if none of their shingles is in another group: a list of their own
     alone = several.join(lists.select("group", "n").distinct(), ["group", "n"], "left_anti")
     lists = lists.unionByName(alone.select(F.col("group").alias("token"), "group", "n", F.lit(1).alias("place")))
-    roots = links(nodes.select("node", "group", "n"), lists, texts, n)
+    roots = links(nodes.select("node", "group", "n"), lists, texts, n, entries)
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("class_id")).filter("node is not null")
     ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -8,7 +8,9 @@ import re
 import pytest
 
 from marketlens.llm import jaccard_groups as jg
+from marketlens.llm import order_minhash as om
 from marketlens.llm import token_counts
+from marketlens.llm.common import LEAST_TASKS
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n int, node string, row string, token long"
@@ -148,3 +150,30 @@ def test_texts_of_single_documents_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(jg, "write_table", counted)
     assert got(jg.jaccard_components(frame(spark, rows))) == expected(rows)
     assert seen == [True]
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Where AQE leaves many shuffle partitions as they are, a small table isn't as many files: each takes its executor processes."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(400)]
+    rows += [(1_000 * k + i, rows[i][1] + " end" * k) for i in range(300) for k in (1, 2)]
+    files = {}
+    for module in (jg, om):
+
+        def counted(df, name, write=module.write_table):
+            out = write(df, name)
+            files.setdefault(name, []).append(len(out.inputFiles()))
+            return out
+
+        monkeypatch.setattr(module, "write_table", counted)
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        assert got(jg.jaccard_components(frame(spark, rows).coalesce(3))) == expected(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {"jaccard-nodes", "jaccard-lists", "jaccard-star", "jaccard-verified", "omh-edges", "omh-roots"} <= set(files)
+    assert all(n <= LEAST_TASKS for counts in files.values() for n in counts), files
